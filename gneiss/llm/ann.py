@@ -110,7 +110,7 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & good & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def nearest(vectors: DataFrame, k: int = 10, every: int = 100, trees: int = 12, bits: int = 24, enough: int = 1200, block: int = 8192) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 10, every: int = 100, trees: int = 48, bits: int = 24, enough: int = 3000, block: int = 8192) -> DataFrame:
     """query_id, rank, vec_id, score: for each vec_id divisible by ``every``, its k nearest rows by Euclidean distance.
 
     Unusable vectors (see usable) take no part. Vectors of another length than the query's are no
