@@ -209,14 +209,14 @@ _DAY = "date_diff('day', DATE '1970-01-01', {}::DATE)"
 
 
 @query(f"""WITH x AS (SELECT o_orderkey AS ord, o_custkey % 50 AS shelf, {_DAY.format('o_orderdate')} AS off, {_DAY.format('o_orderdate')} + 1 + o_orderkey % 60 AS stop FROM orders),
-p AS (SELECT l_orderkey * 10 + l_linenumber AS point, l_partkey % 50 AS shelf, {_DAY.format('l_shipdate')} AS at FROM lineitem)
+p AS (SELECT ((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 100000 + l_suppkey AS point, l_partkey % 50 AS shelf, {_DAY.format('l_shipdate')} AS at FROM lineitem)
 SELECT p.shelf, p.point, p.at, (max(struct_pack(l := -(x.stop - x.off), ord := x.ord))).ord AS parent
 FROM p LEFT JOIN x ON p.shelf = x.shelf AND p.at >= x.off AND p.at < x.stop GROUP BY ALL""")
 def interval_parent(spark, d):
     day = lambda c: F.unix_date(F.col(c).cast("date")).cast("long")
     o = _t(spark, d, "orders").select(F.col("o_orderkey").alias("ord"), (F.col("o_custkey") % 50).alias("shelf"), day("o_orderdate").alias("off"))
     o = o.withColumn("stop", F.col("off") + 1 + F.col("ord") % 60)
-    p = _t(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("point"), (F.col("l_partkey") % 50).alias("shelf"), day("l_shipdate").alias("at")).distinct()
+    p = _t(spark, d, "lineitem").select((((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")) * 100000 + F.col("l_suppkey")).alias("point"), (F.col("l_partkey") % 50).alias("shelf"), day("l_shipdate").alias("at")).distinct()
     return intervals.innermost_parent(p, o, ["shelf"], 64)
 
 
