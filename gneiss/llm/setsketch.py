@@ -7,7 +7,7 @@ two sets merge by max, and equal registers are the likelier the more similar the
 1. Documents with equal sets are one class; the rest works on one representative a class.
 2. Registers are cut into bands; representatives that share a band are candidates. A bucket of up
    to ``small_bucket`` members gives its pairs; in a larger one each member meets the bucket's first
-   member and its own predecessor, in an order of the band's own.
+   member, in one of a few orders, so that a large group has several first members, not one a band.
 3. A candidate's similarity is estimated from all registers jointly, by maximum likelihood; pairs
    whose estimate is five standard errors below the bound go, the rest is confirmed on full sets.
 4. Links give components. In large buckets that still hold several components, every member outside
@@ -30,6 +30,9 @@ from gneiss.llm.common import components, delete_path, materialize, new_path
 #: Base of the registers' scale, and the rate of the exponential values.
 BASE, RATE = 1.001, 20.0
 
+#: Orders by which large buckets choose their first member.
+ORDERS = 6
+
 #: Words that a worker remembers the hash of.
 KNOWN_WORDS = 400_000
 
@@ -300,7 +303,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
 
 
 def _first_pairs(members: DataFrame, small: int, percent: int) -> DataFrame:
-    """All pairs of small buckets; in large ones each member with the first and with the one before it."""
+    """All pairs of small buckets; in large ones each member with the first."""
     fits = f"100 * least(n_u, n_v) >= {percent} * greatest(n_u, n_v)"
     few = members.where(F.col("members") <= small).groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("id", "n"))).alias("all"))
     few = few.select(F.posexplode("all").alias("at", "v"), "all").select(
@@ -308,18 +311,13 @@ def _first_pairs(members: DataFrame, small: int, percent: int) -> DataFrame:
     )
     few = few.select(F.col("u.id").alias("u"), F.col("v.id").alias("v"), F.col("u.n").alias("n_u"), F.col("v.n").alias("n_v"))
     many = members.where(F.col("members") > small)
-    # the bucket's first member comes by a pre-aggregated min; neighbours meet within slices of a bucket
-    place = F.xxhash64("bucket", "id")
+    # the bucket's first member comes by a pre-aggregated min; buckets share a few orders, so that a group's buckets mostly agree on it
+    place = F.xxhash64(F.pmod("bucket", F.lit(ORDERS)), F.col("id"))
     firsts = many.groupBy("bucket").agg(F.min_by(F.struct("id", "n"), place).alias("f"))
     stars = many.join(firsts.hint("merge"), "bucket").select(
         F.col("id").alias("u"), F.col("f.id").alias("v"), F.col("n").alias("n_u"), F.col("f.n").alias("n_v")
     )
-    slices = many.withColumn("slice", F.pmod(F.xxhash64("id", "bucket"), F.ceil(F.col("members") / 256)))
-    chain = slices.groupBy("bucket", "slice").agg(F.array_sort(F.collect_list(F.struct("n", "id"))).alias("all"))
-    chain = chain.select(F.explode(F.arrays_zip(F.slice("all", 2, 100_000).alias("a"), F.col("all").alias("b"))).alias("x")).select(
-        F.col("x.a.id").alias("u"), F.col("x.b.id").alias("v"), F.col("x.a.n").alias("n_u"), F.col("x.b.n").alias("n_v")
-    )
-    out = few.unionByName(stars).unionByName(chain).where("u IS NOT NULL AND v IS NOT NULL AND u <> v").where(fits)
+    out = few.unionByName(stars).where("u IS NOT NULL AND v IS NOT NULL AND u <> v").where(fits)
     return out.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
