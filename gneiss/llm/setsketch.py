@@ -33,6 +33,9 @@ BASE, RATE = 1.001, 20.0
 #: Orders by which large buckets choose their first member.
 ORDERS = 6
 
+#: Shingles by which 32-bit sets may differ from full ones.
+SLACK = 2
+
 #: Words that a worker remembers the hash of.
 KNOWN_WORDS = 400_000
 
@@ -215,26 +218,72 @@ def _confirm(k: int, percent: int):
     return run
 
 
-def _outsiders(least: float, percent: int):
-    """Blocks of a large bucket against its outsiders."""
+def _low_sets(k: int):
+    """The 32-bit halves of a text's shingle hashes, sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(k)
+        for batch in batches:
+            low = [np.unique(shingler.hashes(t.as_py()).astype(np.uint32)).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(low, pa.binary())], ["id", "low"])
+
+    return run
+
+
+#: Cells of a task's matrix of members by shingles.
+CELLS = 1 << 24
+
+
+def _outsiders(percent: int):
+    """A block of a large bucket against the bucket's outsiders: intersections of all pairs as one matrix product.
+
+    Sets are compared by 32-bit hashes, in which two shingles of one text rarely meet; the bound is eased by
+    ``SLACK`` shingles for that, and full sets confirm what passes.
+    """
 
     def run(mine: pa.Table, theirs: pa.Table) -> pa.Table:
         us, vs = [], []
         if mine.num_rows and theirs.num_rows:
-            get = lambda t: (t["id"].to_numpy(), t["n"].to_numpy(), t["component"].to_numpy(), np.frombuffer(b"".join(t["registers"].to_pylist()), np.uint16).reshape(t.num_rows, -1))
-            (a, n_a, c_a, r_a), (b, n_b, c_b, r_b) = get(mine), get(theirs)
-            for k in range(len(b)):
-                fits = (c_a != c_b[k]) & (100 * np.minimum(n_a, n_b[k]) >= percent * np.maximum(n_a, n_b[k]))
-                if fits.any():
-                    near = estimated(r_a[fits], np.broadcast_to(r_b[k], r_a[fits].shape), n_a[fits], np.full(fits.sum(), n_b[k])) >= least
-                    us.append(a[fits][near])
-                    vs.append(np.full(near.sum(), b[k]))
+            get = lambda t: (t["id"].to_numpy(), t["n"].to_numpy(), t["component"].to_numpy(), [np.frombuffer(x, np.uint32) for x in t["low"].to_pylist()])
+            (a, n_a, c_a, s_a), (b, n_b, c_b, s_b) = get(mine), get(theirs)
+            for rows in _parts(s_a):
+                words = np.unique(np.concatenate([s_a[k] for k in rows]))
+                left = _matrix([s_a[k] for k in rows], words)
+                step = max(1, CELLS // max(1, len(words)))
+                for at in range(0, len(b), step):
+                    own = slice(at, at + step)
+                    fits = (c_a[rows][:, None] != c_b[own][None]) & (100 * np.minimum(n_a[rows][:, None], n_b[own][None]) >= percent * np.maximum(n_a[rows][:, None], n_b[own][None]))
+                    if fits.any():
+                        both = left @ _matrix(s_b[own], words).T + SLACK
+                        i, j = np.nonzero(fits & (100 * both >= percent * (n_a[rows][:, None] + n_b[own][None] - both)))
+                        us.append(a[rows][i])
+                        vs.append(b[own][j])
         us, vs = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs))
         return pa.table({"u": np.maximum(us, vs).astype(np.int64), "v": np.minimum(us, vs).astype(np.int64)})
 
     return run
 
 
+def _parts(sets: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """Rows in runs whose matrix has CELLS cells at most, or one row."""
+    run, size = [], 0
+    for k, s in enumerate(sets):
+        if run and (len(run) + 1) * (size + len(s)) > CELLS:
+            yield np.array(run)
+            run, size = [], 0
+        run.append(k)
+        size += len(s)
+    yield np.array(run)
+
+
+def _matrix(sets: list[np.ndarray], words: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(sets), len(words)), np.float32)
+    for k, s in enumerate(sets):
+        at = np.minimum(np.searchsorted(words, s), len(words) - 1)
+        out[k, at[words[at] == s]] = 1
+    return out
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 48, rows: int = 6, small_bucket: int = 12, block: int = 512) -> DataFrame:
     """doc_id, n_shingles, class_id, component_id, kept: one row per input row.
 
@@ -278,11 +327,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     large = put(large, "large")
     parts = large.groupBy("bucket", "component").agg(F.count("*").alias("size"))
     main = parts.groupBy("bucket").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count("*").alias("parts"), F.sum("size").alias("members")).where("parts > 1")
-    large = large.join(main.hint("merge"), "bucket").join(reps.select("id", "registers").hint("merge"), "id")
+    large = put(large.join(main.hint("merge"), "bucket"), "apart")
+    needed = docs.join(large.select(F.col("id").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    large = large.join(needed.select("doc_id", "text").mapInArrow(_low_sets(shingle), "id long, low binary").hint("merge"), "id")
     large = put(large.withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("members") / block)).cast("int")), "apart")
     outsiders = large.where("component <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.ceil(F.col("members") / block).cast("int") - 1)))
     pairs = (
-        large.groupBy("bucket", "block").cogroup(outsiders.groupBy("bucket", "block")).applyInArrow(_outsiders(least, percent), "u long, v long")
+        large.groupBy("bucket", "block").cogroup(outsiders.groupBy("bucket", "block")).applyInArrow(_outsiders(percent), "u long, v long")
     ).where("u <> v").distinct()
     more = put(_confirmed(pairs, docs, classes, shingle, percent), "links")
     found = components(links.unionByName(more), "near")
