@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gneiss.llm.common import Remembered
+
 #: The byte-level pre-tokeniser's pattern, as public byte-level BPE vocabularies use it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -86,8 +88,7 @@ class ByteBpe:
         self.compatible_pairs: dict[tuple[int, int], bool] = {}
         self.words = regex.compile(PATTERN)
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.known: dict[str, bytes] = {}
-        self.digits: dict[bytes, str] = {}
+        self.known, self.known_words = Remembered(KNOWN_PIECES), Remembered(KNOWN_PIECES)
 
     def _merge(self, ids: list[int]) -> list[int]:
         """Plain BPE merging, for the tables only."""
@@ -170,23 +171,35 @@ class ByteBpe:
 
     def piece_ids(self, piece: str) -> bytes:
         """The ids of a piece as unsigned 32-bit little-endian numbers."""
-        out: list[int] = []
+        words, out = self.known_words, []
         for word in self.words.findall(piece):
-            out += self.word_ids(word.encode())
-        return np.array(out, "<u4").tobytes()
-
-    def _plain(self, text: str) -> list[bytes]:
-        known, out = self.known, []
-        for piece in PIECES.findall(text):
-            ids = known.get(piece)
+            ids = words.now.get(word)
             if ids is None:
-                ids = self.piece_ids(piece)
-                if len(piece) <= 64:
-                    if len(known) >= KNOWN_PIECES:
-                        known.clear()
-                    known[piece] = ids
+                ids = words.old.get(word)
+                if ids is None:
+                    ids = np.array(self.word_ids(word.encode()), "<u4").tobytes()
+                if len(word) <= 64:
+                    words.now[word] = ids
             out.append(ids)
-        return out
+        return b"".join(out)
+
+    def _plain(self, text: str) -> list[bytes]:
+        known, pieces = self.known, PIECES.findall(text)
+        known.turn()
+        self.known_words.turn()
+        now = known.now
+        try:
+            return list(map(now.__getitem__, pieces))
+        except KeyError:
+            out = []
+            for piece in pieces:
+                ids = now.get(piece)
+                if ids is None:
+                    ids = known.old.get(piece) or self.piece_ids(piece)
+                    if len(piece) <= 64:
+                        now[piece] = ids
+                out.append(ids)
+            return out
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text; strings of special tokens become those tokens."""

@@ -45,6 +45,17 @@ def materialize(df: DataFrame, label: str, path: str | None = None) -> DataFrame
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Remembered:
+    """A worker's table of bounded size in two generations: what is still in use outlives the turn."""
+
+    def __init__(self, most: int):
+        self.most, self.now, self.old = most, {}, {}
+
+    def turn(self) -> None:
+        if len(self.now) > self.most:
+            self.now, self.old = {}, self.now
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -9,6 +9,7 @@ into full windows, cutting freely, so that a group ends with one padded sequence
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import materialize
+from gneiss.llm.common import Remembered, materialize
 
 _OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _OUT_ARROW = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
@@ -28,14 +29,14 @@ _OUT_ARROW = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "
 END_ID = 2
 
 #: Entries that a worker's table of known words may hold.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 500_000
 
 
 class WordTokenizer:
     """A tokenizers file whose tokens never cross ASCII white space; each worker keeps the ids of words it has met.
 
     The file's normaliser and pre-tokeniser treat white space as a border, so a text's ids are those
-    of its words in order; unknown words go to the tokenizers library in one batch per text batch.
+    of its words in order; words not met before go to the tokenizers library, many at a time.
     """
 
     def __init__(self, path: str):
@@ -44,25 +45,51 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {}
+        self.known = Remembered(KNOWN_WORDS)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, and END_ID after them, as unsigned 32-bit little-endian numbers."""
         split = [_ascii_split(t) if any(c in t for c in _CONTROL) else t.split() for t in texts]
         known = self.known
-        new = list({w for words in split for w in words if w not in known})
-        if len(known) + len(new) > KNOWN_WORDS:
-            known.clear()
-            new = list({w for words in split for w in words})
-        for k in range(0, len(new), 10_000):
-            part = new[k : k + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+        known.turn()
+        self._learn({w for words in split for w in words if w not in known.now})
         end = np.array([END_ID], "<u4").tobytes()
-        out = [np.frombuffer(b"".join([*map(known.__getitem__, words), end]), "<u4") for words in split]
-        if len(known) > KNOWN_WORDS:
-            known.clear()
-        return out
+        return [np.frombuffer(b"".join([*map(known.now.__getitem__, words), end]), "<u4") for words in split]
+
+    def _learn(self, words: set[str]) -> None:
+        """Ids of words not known yet. Letters and punctuation after them are pre-tokens of their own, so they are learnt apart."""
+        known, cut, wanted = self.known, [], set()
+        for w in words:
+            if (ids := known.old.get(w)) is not None:
+                known.now[w] = ids
+                continue
+            core = w.rstrip(".,;:!?")
+            if core != w and _letters(core):
+                cut.append((w, core, w[len(core) :]))
+                wanted.update(x for x in (core, w[len(core) :]) if x not in known.now)
+            else:
+                wanted.add(w)
+        letters = [w for w in wanted if _letters(w)]
+        for k in range(0, len(letters), 20_000):
+            part = letters[k : k + 20_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            borders = np.flatnonzero(self.ends[ids]) + 1
+            if len(borders) != len(part):  # a word that the normaliser splits
+                wanted.update(part)
+                continue
+            wanted.difference_update(part)
+            raw, at = ids.tobytes(), 0
+            for w, to in zip(part, (4 * borders).tolist(), strict=True):
+                known.now[w] = raw[at:to]
+                at = to
+        rest = list(wanted)
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else [], strict=True):
+            known.now[w] = np.array(e.ids, "<u4").tobytes()
+        for w, core, tail in cut:
+            known.now[w] = known.now[core] + known.now[tail]
 
 
 #: Characters at which str.split() cuts although the tokenizer's white space does not hold them.
@@ -70,6 +97,11 @@ _CONTROL = "\x1c\x1d\x1e\x1f"
 _ASCII = str.maketrans("\t\n\x0b\x0c\r", "     ")
 
 
+def _letters(word: str) -> bool:
+    """Whether a word is still nothing but letters when the normaliser has been over it, and so one pre-token."""
+    return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
+
+
 def _ascii_split(text: str) -> list[str]:
     return [w for w in text.translate(_ASCII).split(" ") if w]
 
