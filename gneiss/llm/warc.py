@@ -91,8 +91,8 @@ def records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, records_per_archive: int = 5_000) -> None:
-    """Writes all pages as WARC archives under ``path``; records that share a digest stand together."""
-    records(pages, least_bytes).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", records_per_archive).text(path)
+    """Writes all pages as gzipped WARC archives under ``path``; records that share a digest stand together. Offsets count uncompressed bytes."""
+    records(pages, least_bytes).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", records_per_archive).option("compression", "gzip").text(path)
 
 
 def parse(blob: bytes) -> Iterator[tuple[dict[str, str], bytes, int]]:
@@ -117,12 +117,14 @@ def _page(urn: str) -> int | None:
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each archive's captures, sorted."""
     from base64 import b32encode
+    from gzip import decompress
     from hashlib import sha1
 
     for batch in batches:
         for path, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             archive, captures = path.rsplit("/", 1)[-1], []
-            for head, block, at in parse(blob.as_py()):
+            raw = blob.as_py()
+            for head, block, at in parse(decompress(raw) if path.endswith(".gz") else raw):
                 kind, digest, size = head["WARC-Type"], head["WARC-Payload-Digest"].removeprefix("sha1:"), int(head["X-Payload-Length"])
                 if kind == "response" and (len(block) != size or b32encode(sha1(block).digest()).decode() != digest):
                     raise ValueError(f"{path}: the record at byte {at} is damaged")
