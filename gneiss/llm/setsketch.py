@@ -11,9 +11,9 @@ two sets merge by max, and equal registers are the likelier the more similar the
 3. A candidate's similarity is estimated from all registers jointly, by maximum likelihood; pairs
    whose estimate is five standard errors below the bound go, the rest is confirmed on full sets.
 4. Links give components. In large buckets that still hold several components, every member outside
-   the bucket's main component meets all members of other components, block by block, with the
-   registers compared in numpy; survivors are confirmed likewise. So no candidate link is lost, and
-   only members that are not yet joined cost more than a constant each.
+   the bucket's main component meets all members of other components, block by block, as products of
+   matrices of whole sets. Each block hands on a spanning forest of the links it finds, so that what
+   is joined is joined whole, and the links handed on grow with the components, not with the pairs.
 """
 
 from __future__ import annotations
@@ -33,9 +33,6 @@ BASE, RATE = 1.001, 20.0
 #: Orders by which large buckets choose their first member.
 ORDERS = 6
 
-#: Shingles by which 32-bit sets may differ from full ones.
-SLACK = 2
-
 #: Words that a worker remembers the hash of.
 KNOWN_WORDS = 400_000
 
@@ -218,14 +215,13 @@ def _confirm(k: int, percent: int):
     return run
 
 
-def _low_sets(k: int):
-    """The 32-bit halves of a text's shingle hashes, sorted."""
+def _sets(k: int):
+    """A text's shingle hashes, sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(k)
         for batch in batches:
-            low = [np.unique(shingler.hashes(t.as_py()).astype(np.uint32)).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(low, pa.binary())], ["id", "low"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingler.hashes(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], ["id", "hashes"])
 
     return run
 
@@ -234,17 +230,34 @@ def _low_sets(k: int):
 CELLS = 1 << 24
 
 
+class Forest:
+    """Union-find over component ids; ``join`` tells whether a link joined two trees."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = x = self.up.get(y, y)
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
 def _outsiders(percent: int):
     """A block of a large bucket against the bucket's outsiders: intersections of all pairs as one matrix product.
 
-    Sets are compared by 32-bit hashes, in which two shingles of one text rarely meet; the bound is eased by
-    ``SLACK`` shingles for that, and full sets confirm what passes.
+    Whole sets are compared, so what passes is a link. Links matter here only for what they join: of
+    those found, the ones that join two components go out, at most one less than there are components.
     """
 
     def run(mine: pa.Table, theirs: pa.Table) -> pa.Table:
-        us, vs = [], []
+        us, vs, forest = [], [], Forest()
         if mine.num_rows and theirs.num_rows:
-            get = lambda t: (t["id"].to_numpy(), t["n"].to_numpy(), t["component"].to_numpy(), [np.frombuffer(x, np.uint32) for x in t["low"].to_pylist()])
+            get = lambda t: (t["id"].to_numpy(), t["n"].to_numpy(), t["component"].to_numpy(), [np.frombuffer(x, np.uint64) for x in t["hashes"].to_pylist()])
             (a, n_a, c_a, s_a), (b, n_b, c_b, s_b) = get(mine), get(theirs)
             for rows in _parts(s_a):
                 words = np.unique(np.concatenate([s_a[k] for k in rows]))
@@ -254,12 +267,15 @@ def _outsiders(percent: int):
                     own = slice(at, at + step)
                     fits = (c_a[rows][:, None] != c_b[own][None]) & (100 * np.minimum(n_a[rows][:, None], n_b[own][None]) >= percent * np.maximum(n_a[rows][:, None], n_b[own][None]))
                     if fits.any():
-                        both = left @ _matrix(s_b[own], words).T + SLACK
+                        both = left @ _matrix(s_b[own], words).T
                         i, j = np.nonzero(fits & (100 * both >= percent * (n_a[rows][:, None] + n_b[own][None] - both)))
-                        us.append(a[rows][i])
-                        vs.append(b[own][j])
-        us, vs = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs))
-        return pa.table({"u": np.maximum(us, vs).astype(np.int64), "v": np.minimum(us, vs).astype(np.int64)})
+                        joins = np.stack([c_a[rows][i], c_b[own][j]], axis=1)
+                        first = np.unique(joins, axis=0, return_index=True)[1] if len(i) else ()
+                        for k in first:
+                            if forest.join(int(joins[k, 0]), int(joins[k, 1])):
+                                us.append(int(a[rows][i[k]]))
+                                vs.append(int(b[own][j[k]]))
+        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
     return run
 
@@ -329,13 +345,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     main = parts.groupBy("bucket").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count("*").alias("parts"), F.sum("size").alias("members")).where("parts > 1")
     large = put(large.join(main.hint("merge"), "bucket"), "apart")
     needed = docs.join(large.select(F.col("id").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    large = large.join(needed.select("doc_id", "text").mapInArrow(_low_sets(shingle), "id long, low binary").hint("merge"), "id")
+    large = large.join(needed.select("doc_id", "text").mapInArrow(_sets(shingle), "id long, hashes binary").hint("merge"), "id")
     large = put(large.withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("members") / block)).cast("int")), "apart")
     outsiders = large.where("component <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.ceil(F.col("members") / block).cast("int") - 1)))
-    pairs = (
-        large.groupBy("bucket", "block").cogroup(outsiders.groupBy("bucket", "block")).applyInArrow(_outsiders(percent), "u long, v long")
-    ).where("u <> v").distinct()
-    more = put(_confirmed(pairs, docs, classes, shingle, percent), "links")
+    more = large.groupBy("bucket", "block").cogroup(outsiders.groupBy("bucket", "block")).applyInArrow(_outsiders(percent), "u long, v long")
+    more = put(more, "links")
     found = components(links.unionByName(more), "near")
 
     out = sketched.join(classes.select("set_key", "class_id").hint("merge"), "set_key", "left")
