@@ -11,8 +11,8 @@ two sets merge by max, and equal registers are the likelier the more similar the
 3. A candidate's similarity is estimated from all registers jointly, by maximum likelihood; pairs
    whose estimate is five standard errors below the bound go, the rest is confirmed on full sets.
 4. Links give components. In large buckets that still hold several components, every member outside
-   the bucket's main component meets all members of other components, block by block, as products of
-   matrices of whole sets. Each block hands on a spanning forest of the links it finds, so that what
+   the bucket's main component meets all members of other components, block by block on both sides,
+   as products of matrices of whole sets. Each block hands on a spanning forest of the links it finds, so that what
    is joined is joined whole, and the links handed on grow with the components, not with the pairs.
 """
 
@@ -300,7 +300,7 @@ def _matrix(sets: list[np.ndarray], words: np.ndarray) -> np.ndarray:
     return out
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 48, rows: int = 6, small_bucket: int = 12, block: int = 512) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 48, rows: int = 6, small_bucket: int = 12, block: int = 512, out_block: int = 1024) -> DataFrame:
     """doc_id, n_shingles, class_id, component_id, kept: one row per input row.
 
     Two documents are linked if their sets' Jaccard similarity is at least ``percent`` percent,
@@ -342,13 +342,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     )
     large = put(large, "large")
     parts = large.groupBy("bucket", "component").agg(F.count("*").alias("size"))
-    main = parts.groupBy("bucket").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count("*").alias("parts"), F.sum("size").alias("members")).where("parts > 1")
+    main = parts.groupBy("bucket").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count("*").alias("parts"), F.sum("size").alias("members"), (F.sum("size") - F.max("size")).alias("apart")).where("parts > 1")
     large = put(large.join(main.hint("merge"), "bucket"), "apart")
     needed = docs.join(large.select(F.col("id").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     large = large.join(needed.select("doc_id", "text").mapInArrow(_sets(shingle), "id long, hashes binary").hint("merge"), "id")
-    large = put(large.withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("members") / block)).cast("int")), "apart")
-    outsiders = large.where("component <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.ceil(F.col("members") / block).cast("int") - 1)))
-    more = large.groupBy("bucket", "block").cogroup(outsiders.groupBy("bucket", "block")).applyInArrow(_outsiders(percent), "u long, v long")
+    # blocks of members by blocks of outsiders: a task holds block + out_block sets, however large the bucket
+    cut = lambda salt, count, size: F.pmod(F.xxhash64(F.lit(salt), "id"), F.ceil(F.col(count) / size)).cast("int")
+    each = lambda count, size: F.explode(F.sequence(F.lit(0), F.ceil(F.col(count) / size).cast("int") - 1))
+    large = put(large.withColumns({"block": cut(0, "members", block), "side": cut(1, "apart", out_block)}), "apart")
+    outsiders = large.where("component <> main").withColumn("block", each("members", block))
+    large = large.withColumn("side", each("apart", out_block))
+    cell = ["bucket", "block", "side"]
+    more = large.groupBy(*cell).cogroup(outsiders.groupBy(*cell)).applyInArrow(_outsiders(percent), "u long, v long")
     more = put(more, "links")
     found = components(links.unionByName(more), "near")
 

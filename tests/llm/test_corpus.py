@@ -150,7 +150,7 @@ def test_near_duplicates(docs, texts, empty, k, small):
                 p, q = sorted((top(a), top(b)))
                 up[q] = p
     assert links > 30
-    got = setsketch.near_duplicates(docs, k, small_bucket=small, block=4).collect()
+    got = setsketch.near_duplicates(docs, k, small_bucket=small, block=4, out_block=2).collect()
     assert len(got) == len(texts)
     sizes = dict(sets_of(texts, k))
     for r in got:
