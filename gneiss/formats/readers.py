@@ -421,3 +421,125 @@ def jffs2(data: bytes) -> Iterator[Entry]:
             kind = KINDS.get(mode & 0o170000, "regular")
             body = state(log[:k]) if kind in ("regular", "symlink") else b""
             yield Entry(path(ino), kind, body if kind == "regular" else None, mode & 0o7777, uid, gid, mtime, body.decode("latin-1") if kind == "symlink" else None, ino, ino not in live, k < len(log), version)
+
+
+@reader("ext2", "ext3", "ext4", "ext")
+def ext(data: bytes) -> Iterator[Entry]:
+    """Extents and block maps; names left in directory slack and freed inodes as deleted entries, with the bytes their map still reaches."""
+    first, log = struct.unpack_from("<II", data, 1024 + 20)
+    (per_group,), (features,) = struct.unpack_from("<I", data, 1024 + 40), struct.unpack_from("<I", data, 1024 + 96)
+    total, revision, block = struct.unpack_from("<I", data, 1024)[0], struct.unpack_from("<I", data, 1024 + 76)[0], 1024 << log
+    width = struct.unpack_from("<H", data, 1024 + 88)[0] if revision else 128
+    wide = bool(features & 0x80)
+    step = struct.unpack_from("<H", data, 1024 + 254)[0] if wide else 32
+
+    def node(ino):
+        group, k = divmod(ino - 1, per_group)
+        at = (first + 1) * block + group * step
+        table = struct.unpack_from("<I", data, at + 8)[0] | (struct.unpack_from("<I", data, at + 40)[0] << 32 if wide and step >= 64 else 0)
+        at = table * block + k * width
+        return data[at : at + width]
+
+    def extents(raw, depth=0):
+        """(first block in the file, blocks, block on disk or 0 for zeros) of an extent tree's node."""
+        magic, n, _, level = struct.unpack_from("<HHHH", raw, 0)
+        if magic != 0xF30A or depth > 6:
+            return
+        for at in range(12, 12 + 12 * n, 12):
+            if level:
+                _, low, high = struct.unpack_from("<IIH", raw, at)
+                where = low | high << 32
+                yield from extents(data[where * block : (where + 1) * block], depth + 1)
+            else:
+                begin, count, high, low = struct.unpack_from("<IHHI", raw, at)
+                yield begin, count - 32768 if count > 32768 else count, 0 if count > 32768 else low | high << 32
+
+    def mapped(raw, blocks):
+        """The same for a map of 12 direct blocks and three levels of indirect ones."""
+        fan, at = block // 4, 12
+        for k, where in enumerate(struct.unpack_from("<12I", raw, 0)):
+            yield k, 1, where
+
+        def below(where, level, at):
+            if where and at < blocks and (where + 1) * block <= len(data):
+                for k, x in enumerate(struct.unpack_from(f"<{fan}I", data, where * block)):
+                    if level:
+                        yield from below(x, level - 1, at + k * fan**level)
+                    else:
+                        yield at + k, 1, x
+
+        for level, where in enumerate(struct.unpack_from("<3I", raw, 48)):
+            yield from below(where, level, at)
+            at += fan ** (level + 1)
+
+    def content(raw, size):
+        (flags,) = struct.unpack_from("<I", raw, 32)
+        if flags & 0x10000000:
+            return raw[40 : 40 + min(size, 60)]
+        runs, out = extents(raw[40:100]) if flags & 0x80000 else mapped(raw[40:100], -(-size // block)), bytearray(size)
+        for begin, count, where in runs:
+            if where and begin * block < size:
+                got = data[where * block : (where + count) * block][: size - begin * block]
+                out[begin * block : begin * block + len(got)] = got
+        return bytes(out)
+
+    def entry(path, ino, raw, deleted=False):
+        mode, uid, low = struct.unpack_from("<HHI", raw, 0)
+        (mtime,), (gid,) = struct.unpack_from("<I", raw, 16), struct.unpack_from("<H", raw, 24)
+        kind, size = KINDS.get(mode & 0o170000, "regular"), low | (struct.unpack_from("<I", raw, 108)[0] << 32 if mode & 0o170000 == 0o100000 else 0)
+        notes, body, target = [], None, None
+        if size > max(len(data), 1 << 28):
+            notes, size = [f"ext-size: {size}"], 0
+        if kind == "regular":
+            body = content(raw, size)
+        elif kind == "symlink":
+            target = (raw[40 : 40 + size] if size < 60 and not struct.unpack_from("<I", raw, 32)[0] & 0x80000 else content(raw, size)).decode("utf-8", "surrogateescape")
+        own = struct.unpack_from("<HH", raw, 120)
+        return Entry(path, kind, body, mode & 0o7777, uid | own[0] << 16, gid | own[1] << 16, mtime, target, ino, deleted, diagnostics=notes)
+
+    def names(raw):
+        """(inode, name, in slack) of a directory's entries; slack is searched in steps of four bytes."""
+        for base in range(0, len(raw), block):
+            at, end = base, min(base + block, len(raw))
+            while at + 8 <= end:
+                ino, span, n = struct.unpack_from("<IHB", raw, at)
+                if span < 8 or at + span > end:
+                    break
+                if ino and n:
+                    yield ino, raw[at + 8 : at + 8 + n], False
+                spare, stop = at + (8 + -(-n // 4) * 4 if ino else 8), at + span
+                while spare + 12 <= stop:
+                    gone, span_, n_, kind = struct.unpack_from("<IHBB", raw, spare)
+                    name = raw[spare + 8 : spare + 8 + n_]
+                    if 0 < gone <= total and n_ and 1 <= kind <= 7 and span_ % 4 == 0 and 8 + n_ <= span_ <= block and spare + 8 + n_ <= stop and not set(name) & {0, 47}:
+                        yield gone, name, True
+                        spare += 8 + -(-n_ // 4) * 4
+                    else:
+                        spare += 4
+                at += span
+
+    seen, lost = {2: ""}, []
+
+    def walk(ino, base, depth=0):
+        raw = node(ino)
+        for child, name, slack in names(content(raw, min(struct.unpack_from("<I", raw, 4)[0], len(data)))):
+            path = base + name.decode("utf-8", "surrogateescape")
+            if name in (b".", b"..") or child > total:
+                continue
+            if slack:
+                lost.append((child, path))
+            elif child in seen:
+                yield Entry(path, "hardlink", link_target=seen[child], inode=child)
+            else:
+                seen[child] = path
+                made = entry(path, child, node(child))
+                yield made
+                if made.kind == "directory" and depth < 64:
+                    yield from walk(child, f"{path}/", depth + 1)
+
+    yield from walk(2, "")
+    for ino, path in [*lost, *((k, f"inode-{k}") for k in range(11, total + 1))]:
+        raw = node(ino)
+        if ino not in seen and len(raw) >= 128 and struct.unpack_from("<H", raw, 0)[0] & 0o170000 in KINDS and struct.unpack_from("<I", raw, 20)[0]:
+            seen[ino] = path
+            yield entry(path, ino, raw, True)
