@@ -6,6 +6,7 @@ damage yields what it has and a diagnostic entry; it never takes the task down.
 
 from __future__ import annotations
 
+import hashlib
 import io
 import struct
 import tarfile
@@ -543,3 +544,54 @@ def ext(data: bytes) -> Iterator[Entry]:
         if ino not in seen and len(raw) >= 128 and struct.unpack_from("<H", raw, 0)[0] & 0o170000 in KINDS and struct.unpack_from("<I", raw, 20)[0]:
             seen[ino] = path
             yield entry(path, ino, raw, True)
+
+
+#: Where a super partition's geometry and its copy lie, and the two magics.
+SUPER_GEOMETRY, SUPER_MAGIC, SUPER_TABLES = (4096, 8192), 0x616C4467, 0x414C5030
+
+
+@reader("android-super", "super")
+def android_super(data: bytes) -> Iterator[Entry]:
+    """One entry per logical partition of the first slot, its extents in order; damaged tables give way to their copies."""
+
+    def sound(raw, at):
+        return hashlib.sha256(raw[:at] + bytes(32) + raw[at + 32 :]).digest() == raw[at : at + 32]
+
+    for where in SUPER_GEOMETRY:
+        magic, size = struct.unpack_from("<II", data, where)
+        if magic == SUPER_MAGIC and 52 <= size <= 4096 and sound(data[where : where + size], 8):
+            most, slots = struct.unpack_from("<II", data, where + 40)
+            break
+    else:
+        raise ValueError("no sound geometry")
+    base, notes = SUPER_GEOMETRY[-1] + 4096, []
+    for at in (base, base + most * slots):
+        magic, major, _, size = struct.unpack_from("<IHHI", data, at)
+        head, (length,) = data[at : at + size], struct.unpack_from("<I", data, at + 44)
+        tables = data[at + size : at + size + length]
+        if magic == SUPER_TABLES and major == 10 and size >= 128 and sound(head, 12) and hashlib.sha256(tables).digest() == head[48:80]:
+            break
+        notes = ["super-backup-tables"]
+    else:
+        raise ValueError("no sound tables")
+
+    def rows(k, form):
+        start, n, width = struct.unpack_from("<III", head, 80 + 12 * k)
+        return [struct.unpack_from(form, tables, start + i * width) for i in range(n)]
+
+    extents, groups = rows(1, "<QIQI"), rows(2, "<36sIQ")
+    for name, flags, first, n, group in rows(0, "<36sIIII"):
+        parts, own = [], list(notes)
+        for sectors, target, sector, device in extents[first : first + n]:
+            if target == 0 and device == 0:
+                parts.append(data[sector * 512 : (sector + sectors) * 512])
+                if len(parts[-1]) < sectors * 512:
+                    own.append("super-extent-past-end")
+            elif target == 1 and sectors * 512 <= max(len(data), 1 << 28):
+                parts.append(bytes(sectors * 512))
+            else:
+                own.append("super-extent-elsewhere")
+        extra = {"attributes": str(flags), "extents": str(n)}
+        if group < len(groups):
+            extra["group"] = groups[group][0].rstrip(b"\0").decode("utf-8", "replace")
+        yield Entry(name.rstrip(b"\0").decode("utf-8", "surrogateescape"), "regular", b"".join(parts), extra=extra, diagnostics=own)
