@@ -205,6 +205,18 @@ def test_fences(spark):
     assert all(got[k].kept for k in range(200)) and got[1000].reason == "symbol_share"
 
 
+def test_fences_hold_where_junk_is_many(spark):
+    clean = [(k, " ".join(f"word{(k * 7 + j) % 900}" for j in range(60)), "en", "a") for k in range(200)]
+    junk = [(1000 + k, " ".join(f"to%%%{k}x{j}" for j in range(60)), "en", "a") for k in range(20)]
+    lines = [(2000, "\n".join(["again"] * 5 + [f"w{j}a w{j}b w{j}c w{j}d w{j}e w{j}f w{j}g" for j in range(6)]), "en", "a")]
+    short = [(3000, " ".join("abcdefghijklmnopqrstuvwxyz"[j % 26] + "y" for j in range(26)), "en", "a")]
+    long = [(4000, " ".join(f"longword{j:02d}" for j in range(26)), "en", "a")]
+    rows = spark.createDataFrame(clean + junk + lines + short + long, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in quality.quality(rows).collect()}
+    assert all(got[k].kept for k in range(200)) and all("symbol_share" in got[1000 + k].reason for k in range(20))
+    assert "dup_line_share" in got[2000].reason and got[3000].reason == got[4000].reason == "word_length"
+
+
 def test_pii(spark, docs, texts, empty):
     rows = pii.find_spans(docs).collect()
     assert len(rows) == len(texts)
