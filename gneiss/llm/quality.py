@@ -1,7 +1,9 @@
 """Quality rules whose thresholds come from the corpus: quantile sketches per language and source.
 
 Each document is measured once. Per (lang, source) each measure's values go into a KLL sketch,
-which Spark builds map-side and merges. The upper fence of a measure is median + fence * (upper
+which Spark builds map-side and merges; sketches of a language, and of the whole corpus, are merges
+of the group sketches. A group takes its fences from the smallest of these levels that holds
+``least_rows`` rows, so that a source of a few documents doesn't set its own. The upper fence of a measure is median + fence * (upper
 quantile - median); the word length also has a lower one, median - fence * (median - lower quantile),
 with the quantile of 1 - upper. Each gap counts as the measure's least spread at least. With quartiles a quarter of a
 group may be junk on one side and the fences still hold. Documents are joined with their group's
@@ -26,6 +28,9 @@ MEASURES = {"symbol_share": 0.05, "dup_line_share": 0.1, "repeat_share": 0.05, "
 #: The measures that also have a fence below, with the least spread there; of the others, less is never junk.
 BELOW = {"word_length": 0.75}
 
+#: Rows that pass the base rules which a group or language must hold to set its own fences.
+LEAST_ROWS = 30
+
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: What is measured: the counts, and the lines that duplicate lines are a share of.
 MEASURED = (*COUNTS, "n_lines")
@@ -112,6 +117,7 @@ def quality(docs: DataFrame, min_words: int = 20, most_repeat_percent: int = 30,
     their own; a null text has no words; repeated rows and null ids stay; extra columns are ignored;
     an empty table gives an empty result.
 
+    Groups of fewer than ``LEAST_ROWS`` rows take the fences of their language, or of the corpus.
     The fences are one row per group. Their table is joined by Spark's choice: broadcast where its
     size is within spark.sql.autoBroadcastJoinThreshold, else by a sort-merge join whose hot
     partitions adaptive execution splits.
@@ -132,13 +138,25 @@ def keep_good(docs: DataFrame, min_words: int = 20, most_repeat_percent: int = 3
     return _judged(measured(docs), fences, min_words, most_repeat_percent).where(F.col("__q_reason") == "").select(*docs.columns)
 
 
-def thresholds(rows: DataFrame, min_words: int, most_repeat_percent: int, upper: float, fence: float) -> DataFrame:
-    """The fences of each measure for each language and source, from merged KLL sketches of the rows that pass the base rules."""
+def thresholds(rows: DataFrame, min_words: int, most_repeat_percent: int, upper: float, fence: float, least_rows: int = LEAST_ROWS) -> DataFrame:
+    """The fences of each measure for each language and source, from merged KLL sketches of the rows that pass the base rules.
+
+    The level is the group, its language or the corpus: the first that holds ``least_rows`` such rows, else the corpus.
+    """
     rows = _shares(rows, min_words, most_repeat_percent).where(~F.col("__q_base_failed"))
     sketches = rows.groupBy(F.col("lang").alias("__q_lang"), F.col("source").alias("__q_source")).agg(
-        *(F.kll_sketch_agg_double(F.col(f"__q_{m}")).alias(m) for m in MEASURES)
+        F.count("*").alias("n"), *(F.kll_sketch_agg_double(F.col(f"__q_{m}")).alias(m) for m in MEASURES)
     )
-    return sketches.select("__q_lang", "__q_source", *_fences(upper, fence))
+    sketches = materialize(sketches, "sketches")
+    merged = [F.sum("n").alias("n"), *(F.kll_merge_agg_double(F.col(m)).alias(m) for m in MEASURES)]
+    languages = sketches.groupBy(F.col("__q_lang").alias("__q_of")).agg(*merged)
+    corpus = sketches.agg(*merged)
+    names = ["n", *MEASURES]
+    level = lambda df, x: df.select(*[c for c in df.columns if c not in names], F.struct(*names).alias(x))
+    same = F.col("__q_lang").eqNullSafe(F.col("__q_of"))
+    levels = level(sketches, "own").join(level(languages, "wide"), same).crossJoin(F.broadcast(level(corpus, "all")))
+    chosen = F.when(F.col("own.n") >= least_rows, F.col("own")).when(F.col("wide.n") >= least_rows, F.col("wide")).otherwise(F.col("all"))
+    return levels.select("__q_lang", "__q_source", chosen.alias("x")).select("__q_lang", "__q_source", "x.*").select("__q_lang", "__q_source", *_fences(upper, fence))
 
 
 def _fences(upper: float, fence: float) -> list[Column]:

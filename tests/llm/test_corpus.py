@@ -217,6 +217,15 @@ def test_fences_hold_where_junk_is_many(spark):
     assert "dup_line_share" in got[2000].reason and got[3000].reason == got[4000].reason == "word_length"
 
 
+def test_small_groups_take_the_fences_of_a_wider_level(spark):
+    text = lambda k: " ".join(f"word{(k * 7 + j) % 900}" for j in range(60))
+    bad = " ".join(f"#{j}%|" for j in range(60))
+    rows = [(k, text(k), "en" if k < 150 else None, f"s{k % 2}") for k in range(300)]
+    rows += [(1000, bad, "en", "lone"), (1001, text(5), "en", "lone"), (1002, bad, "fr", "lone"), (1003, bad, None, None), (1004, text(6), "fr", "other")]
+    got = {r.doc_id: r.kept for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert [k for k in sorted(got) if not got[k]] == [1000, 1002, 1003]
+
+
 def test_pii(spark, docs, texts, empty):
     rows = pii.find_spans(docs).collect()
     assert len(rows) == len(texts)
