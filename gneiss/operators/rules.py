@@ -149,21 +149,22 @@ def rules_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
     return spark.createDataFrame([(k, r.pack, r.id, r.category, r.kind, r.pattern, r.validate, r.severity, r.in_files, r.in_regions, r.description) for k, r in enumerate(rules)], schema)
 
 
-def scan_bytes(rule: Rule, pattern: re.Pattern, data: bytes, most: int = HITS_PER_RULE) -> Iterator[tuple[int, bytes]]:
-    """(offset, match) of a rule's kept matches: successive, the next from the end of the last, also of one that failed its check."""
+def scan_bytes(rule: Rule, pattern: re.Pattern, data: bytes, most: int | None = HITS_PER_RULE) -> Iterator[tuple[int, bytes]]:
+    """(offset, match) of a rule's kept matches: successive, the next from the end of the last, also of one that failed its check; the first ``most``, or all for None."""
     check, at, kept = VALIDATORS.get(rule.validate), 0, 0
-    while kept < most and at <= len(data) and (m := pattern.search(data, at)):
+    while (most is None or kept < most) and at <= len(data) and (m := pattern.search(data, at)):
         if check is None or check(m[0]):
             kept += 1
             yield m.start(), m[0]
         at = m.start() + max(len(m[0]), 1)
 
 
-def sweep(items: DataFrame, rules: list[Rule], max_hits: int = MAX_HITS, max_item_bytes: int = MAX_ITEM_BYTES) -> DataFrame:
+def sweep(items: DataFrame, rules: list[Rule], max_hits: int | None = MAX_HITS, max_item_bytes: int | None = MAX_ITEM_BYTES, per_rule: int | None = HITS_PER_RULE) -> DataFrame:
     """All hits of ``rules`` in ``items`` (item long, node, path string, content binary, region boolean), in order.
 
     ``item`` is the encounter order. Paths are matched before contents, and only for files. The first
-    ``max_hits`` hits in encounter order stay. One pass over the items with all patterns compiled once
+    ``max_hits`` hits in encounter order stay, and the first ``per_rule`` of a rule in an item; contents
+    are read up to ``max_item_bytes``. These are the limits of an interactive scan: None lifts each. One pass over the items with all patterns compiled once
     a worker; the only shuffle is that of the ordered hits.
     """
 
@@ -178,7 +179,7 @@ def sweep(items: DataFrame, rules: list[Rule], max_hits: int = MAX_HITS, max_ite
                 data = (content or b"")[:max_item_bytes]
                 for r, p in ready:
                     if r.kind != "glob-path" and (r.in_regions if region else r.in_files):
-                        for at, found in scan_bytes(r, p, data):
+                        for at, found in scan_bytes(r, p, data, per_rule):
                             around = data[max(0, at - CONTEXT_BYTES) : at + len(found) + CONTEXT_BYTES]
                             out.append((r.pack, r.id, r.category, r.severity, node, path, at, quote_bytes(found, MATCH_QUOTE), quote_bytes(around, CONTEXT_QUOTE), item, False))
             columns = list(zip(*out, strict=True)) if out else [()] * 11
@@ -189,10 +190,17 @@ def sweep(items: DataFrame, rules: list[Rule], max_hits: int = MAX_HITS, max_ite
     return capped(hits, max_hits)
 
 
-def capped(hits: DataFrame, most: int) -> DataFrame:
-    """The first ``most`` hits in encounter order."""
+def capped(hits: DataFrame, most: int | None) -> DataFrame:
+    """The first ``most`` hits in encounter order, or all for None."""
     order = ["item", F.col("by_path").desc(), "offset", "pack", "rule"]
-    return hits.orderBy(*order).limit(most)
+    return hits.orderBy(*order) if most is None else hits.orderBy(*order).limit(most)
+
+
+def limit_diagnostic(hits: DataFrame, most: int | None) -> str | None:
+    """The reference's warning where a sweep's hits reach its limit; none without a limit."""
+    if most is None or hits.count() < most:
+        return None
+    return f"the sweep reached max_hits_total ({most}) and stopped; raise it, or narrow the packs, to see the rest"
 
 
 def final_order(hits: DataFrame) -> DataFrame:

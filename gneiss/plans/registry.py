@@ -108,7 +108,7 @@ def _items(spark, d) -> DataFrame:
 def _matches(spark, d, rule: str, core: str) -> DataFrame:
     """All matches of one rule, cut to the part that the pattern means."""
     chosen = [r for r in rules.builtin() if r.id == rule]
-    hits = rules.sweep(_items(spark, d), chosen, max_hits=(1 << 31) - 1)
+    hits = rules.sweep(_items(spark, d), chosen, max_hits=None, max_item_bytes=None, per_rule=None)
     return hits.groupBy(F.col("item").alias("doc_id"), F.regexp_extract("match", core, 0).alias("match")).agg(F.count("*").alias("n"))
 
 
@@ -144,7 +144,7 @@ def luhn_cards(spark, d):
 
 
 def _pii(spark, d) -> DataFrame:
-    return rules.sweep(_items(spark, d), [r for r in rules.builtin("pii", "network") if r.id in ("email", "ipv4", "payment-card")])
+    return rules.sweep(_items(spark, d), [r for r in rules.builtin("pii", "network") if r.id in ("email", "ipv4", "payment-card")], max_hits=None, max_item_bytes=None, per_rule=None)
 
 
 _PII_SQL = f"""m AS (SELECT doc_id, 'pii' AS pack, 'email' AS rule, 'pii' AS category, 'medium' AS severity, unnest(regexp_extract_all(text, '{_PATTERN["email"]}')) AS m FROM documents

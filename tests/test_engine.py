@@ -104,6 +104,20 @@ def test_sweep_caps_and_order(spark):
     assert [(r.item, r.rule) for r in got] == [(0, "conf"), (0, "email"), (0, "email"), (0, "email"), (1, "conf"), (1, "email")]
 
 
+def test_registered_sweeps_count_all_hits(spark, tmp_path):
+    many = " ".join(f"user{k}@example.org 10.0.{k}.1" for k in range(100))
+    spark.createDataFrame([(1, many), (2, many)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    run = registry.queries()
+    assert {(r.doc_id, r.rule): r.hits for r in run["sweep_top_hits"](spark, str(tmp_path)).collect()} == {(d, r): 100 for d in (1, 2) for r in ("email", "ipv4")}
+    assert {r.value: r.hits for r in run["sweep_summary"](spark, str(tmp_path)).where("by = 'rule'").collect()} == {"email": 200, "ipv4": 200}
+    for name in ("rule_hits_email", "rule_hits_ipv4"):
+        assert sum(r.n for r in run[name](spark, str(tmp_path)).collect()) == 200
+    items = registry._items(spark, str(tmp_path))
+    assert rules.sweep(items, rules.builtin("pii"), max_hits=None, per_rule=7).where("rule = 'email'").count() == 14
+    assert rules.limit_diagnostic(rules.sweep(items, rules.builtin("pii"), max_hits=9), 9).startswith("the sweep reached max_hits_total (9)")
+    assert rules.limit_diagnostic(rules.sweep(items, rules.builtin("pii"), max_hits=None), None) is None
+
+
 def test_entropy():
     assert entropy.profile_of(b"")["mean"] == 0 and entropy.profile_of(b"\xff" * 4096)["fill"] == 255
     assert abs(entropy.profile_of(bytes(range(256)))["mean"] - 8) < 1e-9 and abs(entropy.profile_of(b"ab" * 100)["mean"] - 1) < 1e-9
