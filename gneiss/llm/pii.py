@@ -1,12 +1,12 @@
 """Personal data: fixed patterns, and terms that give a protected entity away.
 
 The patterns find e-mail addresses, IP addresses, payment cards and phone numbers. Each found value
-is a protected entity. Terms (words) that stand within ``reach`` words of an entity may disclose it:
-over the corpus, with c(e, t) the documents in which t stands near e, c(e) those that hold e, c(t)
-those that hold t, and N all documents, the pointwise mutual information log(c(e, t) N / (c(e) c(t)))
-is what t tells about e, and log(N / c(e)) is what there is to know. A term whose share of that
-reaches ``remove`` is removed near that entity, one that reaches ``generalise`` is generalised to its
-shape. A pair counts from ``least_docs`` documents on: one document is no evidence.
+is a protected entity. Any word of a document that holds an entity may disclose it: over the corpus,
+with c(e, t) the documents that hold both, c(e) those that hold e, c(t) those that hold t, and N all
+documents, log(c(e, t) N / (c(e) (c(t) + 2))) is what t tells about e, and log(N / c(e)) is what there
+is to know. The 2 are documents yet unseen that hold t without e: they keep words seen once or twice
+from telling all, and fade as counts grow. A term whose share reaches ``remove`` is removed
+wherever it stands in the entity's documents, one that reaches ``generalise`` is generalised to its shape.
 
 Documents without personal data get no span and no change.
 """
@@ -14,12 +14,11 @@ Documents without personal data get no span and no change.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.llm.common import materialize
@@ -39,6 +38,9 @@ _DIGIT = re.compile(r"[0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _EDGE = ".,;:!?()[]{}\"'“”«»…"
 
+#: Documents added to each word's count: those yet unseen that hold it without the entity.
+UNSEEN = 2
+
 #: Distinct words that a task counts before it hands the counts on.
 HELD_WORDS = 200_000
 
@@ -102,47 +104,44 @@ def words_of(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def terms_near(text: str, spans: list[tuple[str, int, int]], reach: int) -> Iterator[tuple[str, str, int, int]]:
-    """(entity, term, start, end) of the words within ``reach`` words of each span; words that touch a base span don't count."""
-    words = words_of(text)
-    starts = [a for _, a, _ in words]
-    taken = sorted((a, b) for _, a, b in spans)
-    first = [a for a, _ in taken]
-
-    def free(a: int, b: int) -> bool:
-        k = bisect_left(first, b)
-        return not any(y > a for _, y in taken[max(0, k - 8) : k])
-
-    for kind, a, b in spans:
-        name = entity(kind, text[a:b])
-        for word, x, y in [*words[max(0, (lo := bisect_left(starts, a)) - reach) : lo], *words[(hi := bisect_left(starts, b)) : hi + reach]]:
-            if free(x, y):
-                yield name, word, x, y
+def terms_beside(text: str, spans: list[tuple[str, int, int]]) -> dict[str, list[tuple[int, int]]]:
+    """The words of a whole text, each with all places where it stands clear of the base spans."""
+    merged: list[list[int]] = []
+    for a, b in sorted((a, b) for _, a, b in spans):
+        if merged and a < merged[-1][1]:
+            merged[-1][1] = max(b, merged[-1][1])
+        else:
+            merged.append([a, b])
+    out: dict[str, list[tuple[int, int]]] = {}
+    k = 0
+    for word, x, y in words_of(text):
+        while k < len(merged) and merged[k][1] <= x:
+            k += 1
+        if k == len(merged) or merged[k][0] >= y:
+            out.setdefault(word, []).append((x, y))
+    return out
 
 
 _KIND = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-_NEAR = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+_WORDS = pa.list_(pa.struct([("term", pa.string()), ("at", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]))
 _SPANS = "array<struct<kind:string,start:long,end:long>>"
 
 
-def _find(reach: int):
-    """Per row its base spans, its distinct entities, and the words near them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            base, entities, near = [], [], []
-            for text in batch.column(2):
-                text = text.as_py() or ""
-                spans = base_spans(text)
-                base.append([{"kind": k, "start": a, "end": b} for k, a, b in spans])
-                entities.append(sorted({entity(k, text[a:b]) for k, a, b in spans}))
-                near.append([{"entity": e, "term": t, "start": a, "end": b} for e, t, a, b in terms_near(text, spans, reach)] if spans else [])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(base, _KIND), pa.array(entities, pa.list_(pa.string())), pa.array(near, _NEAR)],
-                ["doc_id", "text_key", "base", "entities", "near"],
-            )
-
-    return run
+def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per row its base spans, its distinct entities, and, where there are any, its words with their places."""
+    for batch in batches:
+        base, entities, words = [], [], []
+        for text in batch.column(2):
+            text = text.as_py() or ""
+            spans = base_spans(text)
+            base.append([{"kind": k, "start": a, "end": b} for k, a, b in spans])
+            entities.append(sorted({entity(k, text[a:b]) for k, a, b in spans}))
+            beside = terms_beside(text, spans) if spans else {}
+            words.append([{"term": t, "at": [{"start": a, "end": b} for a, b in at]} for t, at in beside.items()])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(base, _KIND), pa.array(entities, pa.list_(pa.string())), pa.array(words, _WORDS)],
+            ["doc_id", "text_key", "base", "entities", "words"],
+        )
 
 
 def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,26 +163,37 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame, least_docs: int = 3, generalise: float = 0.8) -> DataFrame:
-    """(entity, term, share): the terms that tell at least ``generalise`` of what there is to know about an entity.
+def disclosing_terms(docs: DataFrame, found: DataFrame, generalise: float = 0.8) -> DataFrame:
+    """id, key, term, at, share: the terms that tell at least ``generalise`` of what there is to know about an entity of
+    their document, with the largest such share and all places where they stand.
 
-    ``found`` has a row per document. Everything is counted over all documents. Pairs come only from
-    the words near an entity, so their number is linear in the entities; words' counts meet
-    pre-aggregated per task.
+    ``found`` has a row per document. Everything is counted over all documents; repeated rows count as often
+    as they stand there. A word and an entity become a pair only where the word's own count leaves it a chance:
+    c(e, t) is at most c(t) and c(e). Words' counts meet pre-aggregated per task.
     """
-    pair = F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term")))
-    joint = found.select(F.explode(F.array_distinct(pair)).alias("x")).groupBy("x.entity", "x.term").agg(F.count("*").alias("n_both"))
-    joint = joint.where(F.col("n_both") >= least_docs)
-    known = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+    held = found.where(F.size("entities") > 0).groupBy(F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
+    held = materialize(held.agg(F.count("*").alias("copies"), F.first("entities").alias("entities"), F.first("words").alias("words")), "held")
+    total = F.lit(float(found.count()))
+    each = held.select("id", "key", "copies", F.explode("entities").alias("entity"))
+    known = each.groupBy("entity").agg(F.sum("copies").alias("n_entity"))
+    each = each.join(known.hint("merge"), "entity").select(F.col("id").alias("of"), F.col("key").alias("of_key"), "entity", "n_entity")
     vocabulary = docs.select(F.col("text").cast("string")).mapInArrow(_vocabulary, "term string, n long")
     vocabulary = vocabulary.groupBy("term").agg(F.sum("n").alias("n_term"))
-    joint = joint.join(known.hint("merge"), "entity").join(vocabulary.hint("merge"), "term")
-    total = F.lit(float(found.count()))
-    # a word that other white space cuts differently may be counted less often than its pairs
-    told = F.log(F.col("n_both") * total / (F.col("n_entity") * F.greatest("n_term", "n_both")))
-    there = F.log(total / F.col("n_entity"))
-    share = F.when(there > 0, told / there).otherwise(F.lit(0.0))
-    return joint.select("entity", "term", share.alias("share")).where(F.col("share") >= generalise)
+    words = held.select("id", "key", "copies", F.explode("words").alias("x")).select("id", "key", "copies", "x.term", "x.at")
+    words = words.join(vocabulary.hint("merge"), "term")
+
+    def share(n_both: Column) -> Column:
+        told = F.log(n_both * total / (F.col("n_entity") * (F.greatest("n_term", n_both) + UNSEEN)))
+        there = F.log(total / F.col("n_entity"))
+        return F.when(there > 0, told / there).otherwise(F.lit(0.0))
+
+    same = F.col("id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("of_key"))
+    chance = share(F.least("n_term", "n_entity")) >= generalise
+    pairs = materialize(words.join(each.hint("merge"), same & chance).drop("of", "of_key"), "pairs")
+    joint = pairs.groupBy("entity", "term").agg(F.sum("copies").alias("n_both"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term"))
+    joint = joint.select("entity", "term", share(F.col("n_both")).alias("share")).where(F.col("share") >= generalise)
+    told = pairs.select("id", "key", "entity", "term", "at").join(joint.hint("merge"), ["entity", "term"])
+    return told.groupBy("id", "key", "term").agg(F.max("share").alias("share"), F.first("at").alias("at"))
 
 
 def shape(word: str) -> str:
@@ -191,25 +201,24 @@ def shape(word: str) -> str:
     return re.sub(r"(.)\1{2,}", r"\1\1", "".join("9" if c.isdigit() else "X" if c.isupper() else "x" if c.isalpha() else c for c in word))
 
 
-def find_spans(docs: DataFrame, reach: int = 8, least_docs: int = 3, generalise: float = 0.8) -> DataFrame:
+def find_spans(docs: DataFrame, generalise: float = 0.8) -> DataFrame:
     """doc_id, text_key, base, terms: one row per input row.
 
     base are the patterns' spans (kind, start, end) by kind, then start, in code points, end
-    exclusive; terms are the spans (start, end, share) of disclosing terms near the row's own
-    entities. text_key tells rows with one doc_id and different texts apart. A null text is
+    exclusive; terms are the spans (start, end, share) of all occurrences of terms that disclose one of
+    the row's own entities. text_key tells rows with one doc_id and different texts apart. A null text is
     empty; repeated rows count and come out as often as they stand there; extra columns are ignored.
     Texts are not shuffled: only spans and terms are.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = materialize(
         docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(
-            _find(reach), f"doc_id long, text_key long, base {_SPANS}, entities array<string>, near array<struct<entity:string,term:string,start:long,end:long>>"
+            _find, f"doc_id long, text_key long, base {_SPANS}, entities array<string>, words array<struct<term:string,at:array<struct<start:long,end:long>>>>"
         ),
         "found",
     )
-    told = materialize(disclosing_terms(docs, found, least_docs, generalise), "told")
-    near = found.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), F.explode("near").alias("x")).select("id", "key", "x.*")
-    terms = near.join(told.hint("merge"), ["entity", "term"]).groupBy("id", "key", "start", "end").agg(F.max("share").alias("share"))
+    told = materialize(disclosing_terms(docs, found, generalise), "told")
+    terms = told.select("id", "key", "share", F.explode("at").alias("x")).select("id", "key", "x.start", "x.end", "share")
     terms = terms.groupBy("id", "key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "share"))).alias("terms"))
     same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key"))
     none = F.array().cast("array<struct<start:long,end:long,share:double>>")
@@ -235,13 +244,13 @@ def _sanitise(remove: float):
     return run
 
 
-def sanitise(docs: DataFrame, reach: int = 8, least_docs: int = 3, generalise: float = 0.8, remove: float = 0.95) -> DataFrame:
+def sanitise(docs: DataFrame, generalise: float = 0.8, remove: float = 0.95) -> DataFrame:
     """The input's columns, with the sanitised text in ``text`` and its length in ``n_chars`` where that column exists.
 
     Base spans stand as [KIND]; terms whose share reaches ``remove`` are left out, the others are
     generalised to their shape. Texts without spans stay as they are, null included.
     """
-    spans = find_spans(docs, reach, least_docs, generalise).where((F.size("base") > 0) | (F.size("terms") > 0)).dropDuplicates(["doc_id", "text_key"])
+    spans = find_spans(docs, generalise).where((F.size("base") > 0) | (F.size("terms") > 0)).dropDuplicates(["doc_id", "text_key"])
     spans = spans.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("base").alias("__base"), F.col("terms").alias("__terms"))
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key"))
     joined = docs.join(spans.hint("merge"), same, "left").drop("__id", "__key")

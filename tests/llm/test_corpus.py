@@ -242,6 +242,19 @@ def test_pii(spark, docs, texts, empty):
     assert "Zanzibar" not in pii.sanitise(spark.createDataFrame(told, "doc_id long, text string, lang string")).where("doc_id = 0").first().text
 
 
+def test_pii_terms_of_whole_documents(spark):
+    filler = " ".join(f"plain{j}" for j in range(30))
+    rows = [(k, f"plans {filler} and more") for k in range(400)]
+    rows += [(1000, f"Zanzibar report\n{filler}\nwrite to jo@x.org soon\n{filler} Zanzibar"), (1001, "Contact\u00a0: mo@x.org " + filler)]
+    rows += [(2000 + k, f"Quagga {filler} call me at kim@y.org {filler} quagga {k}") for k in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: [(dict(rows)[r.doc_id][t.start : t.end].lower(), t.start) for t in r.terms] for r in pii.find_spans(docs).collect()}
+    assert [w for w, _ in out[1000]].count("zanzibar") == 2 and [w for w, _ in out[2003]].count("quagga") == 2
+    assert not any(w.startswith("plain") for x in out.values() for w, _ in x) and not any(out[k] for k in range(400))
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert "Zanzibar" not in clean[1000] and "uagga" not in clean[2000] and filler in clean[1000] and clean[7] == dict(rows)[7]
+
+
 def told_texts(rows):
     return [(r[0], r[1]) for r in rows]
 
