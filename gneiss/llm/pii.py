@@ -155,7 +155,8 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for text in batch.column(0):
-            raw = {w.strip(_EDGE) for w in (text.as_py() or "").lower().split()}
+            # of bytes, split() cuts at the same white space as words_of
+            raw = {w.decode().strip(_EDGE).lower() for w in set((text.as_py() or "").encode().split())}
             raw.discard("")
             counts.update(raw)
             if len(counts) > HELD_WORDS:
@@ -180,7 +181,7 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, generalise: float = 0.8)
     vocabulary = docs.select(F.col("text").cast("string")).mapInArrow(_vocabulary, "term string, n long")
     vocabulary = vocabulary.groupBy("term").agg(F.sum("n").alias("n_term"))
     words = held.select("id", "key", "copies", F.explode("words").alias("x")).select("id", "key", "copies", "x.term", "x.at")
-    words = words.join(vocabulary.hint("merge"), "term")
+    words = words.join(vocabulary.hint("merge"), "term", "left").withColumn("n_term", F.coalesce("n_term", F.lit(1)))
 
     def share(n_both: Column) -> Column:
         told = F.log(n_both * total / (F.col("n_entity") * (F.greatest("n_term", n_both) + UNSEEN)))

@@ -250,6 +250,7 @@ def test_pii_terms_of_whole_documents(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     out = {r.doc_id: [(dict(rows)[r.doc_id][t.start : t.end].lower(), t.start) for t in r.terms] for r in pii.find_spans(docs).collect()}
     assert [w for w, _ in out[1000]].count("zanzibar") == 2 and [w for w, _ in out[2003]].count("quagga") == 2
+    assert any(w == "contact\u00a0" for w, _ in out[1001])
     assert not any(w.startswith("plain") for x in out.values() for w, _ in x) and not any(out[k] for k in range(400))
     clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
     assert "Zanzibar" not in clean[1000] and "uagga" not in clean[2000] and filler in clean[1000] and clean[7] == dict(rows)[7]
