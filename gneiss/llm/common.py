@@ -45,6 +45,37 @@ def materialize(df: DataFrame, label: str, path: str | None = None) -> DataFrame
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Intermediate tables of one operator; ``clean`` deletes them, whether the operator ended well or not."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def put(self, df: DataFrame, label: str) -> DataFrame:
+        """df as a table that lives until ``clean``."""
+        self.paths.append(path := new_path(self.spark, label))
+        return materialize(df, label, path)
+
+    def clean(self) -> None:
+        for path in self.paths:
+            delete_path(self.spark, path)
+        self.paths.clear()
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.clean()
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 class Remembered:
     """A worker's table of bounded size in two generations: what is still in use outlives the turn."""
 
@@ -65,14 +96,15 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def components(links: DataFrame, label: str, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, label: str, most_rounds: int = 60, scratch: Scratch | None = None) -> DataFrame:
     """(node, component) for every node of the undirected links (u, v); component is the smallest node.
 
     Alternating large-star and small-star rounds: in each, every link is pointed at the smallest
     neighbour of its centre. That neighbour is a pre-aggregated min(), and links meet it in a
     sort-merge join whose hot partitions adaptive execution splits, so no node's neighbours are
     ever gathered. Each round is a table in the shared folder; only a count and a hash sum, which
-    tell whether the round changed anything, come to the driver.
+    tell whether the round changed anything, come to the driver. The last round's table belongs to
+    ``scratch``, where one is given.
     """
     spark = links.sparkSession
     path = new_path(spark, f"{label}-links")
@@ -93,6 +125,8 @@ def components(links: DataFrame, label: str, most_rounds: int = 60) -> DataFrame
         seen = (state["n"], state["s"])
     else:
         raise RuntimeError("components did not settle")
+    if scratch is not None:
+        scratch.paths.append(path)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import components, delete_path, materialize, new_path
+from gneiss.llm.common import Scratch, components, free_name, materialize
 
 #: Base of the registers' scale, and the rate of the exponential values.
 BASE, RATE = 1.001, 20.0
@@ -159,8 +159,8 @@ def _sketches(k: int, m: int):
                 key.append(blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None)
                 registers.append(sketch.registers(h).tobytes() if len(h) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size, pa.int64()), pa.array(key, pa.binary()), pa.array(registers, pa.binary())],
-                ["doc_id", "n_shingles", "set_key", "registers"],
+                [batch.column(0), batch.column(2), pa.array(size, pa.int64()), pa.array(key, pa.binary()), pa.array(registers, pa.binary())],
+                ["doc_id", "text_key", "n_shingles", "set_key", "registers"],
             )
 
     return run
@@ -306,35 +306,93 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     Two documents are linked if their sets' Jaccard similarity is at least ``percent`` percent,
     which full sets confirm; component_id is the smallest doc_id reachable over links, kept says
     whether that is the document itself. class_id is the smallest doc_id with an equal set. A null
-    or empty text has the empty set and no link. Repeated rows with one doc_id count as one document
-    per row; rows with a null doc_id keep null ids, and kept is true for them. Extra columns are
+    or empty text has the empty set and no link. Rows with one doc_id are one document: what one of
+    them is linked with, all of them reach. Rows with a null doc_id take part by their text and are no
+    component's smallest; their kept is false where the component holds an id, else true. Extra columns are
     ignored. A pair at exactly 0.8 shares no band of 6 registers in 48 with probability 5e-7.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    m, made = bands * rows, []
+    with Scratch(spark) as scratch:
+        sketched, classes, found = _grouped(scratch, docs, shingle, percent, bands, rows, small_bucket, block, out_block, one_document_an_id=True)
+        classes = classes.select("set_key", "id", F.col("rep.doc_id").alias("class_id"))
+        known = classes.join(found.hint("merge"), F.col("id") == F.col("node"), "left")
+        known = scratch.put(known.select("set_key", "class_id", F.coalesce("component", "id").alias("component")), "known")
+        least = known.groupBy(F.col("component").alias("of")).agg(F.min("class_id").alias("component_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+        known = known.join(least.hint("merge"), F.col("component") == F.col("of"), "left")
+        known = known.select("set_key", "class_id", F.coalesce("component_id", "class_id").alias("component_id"))
+        out = sketched.join(known.hint("merge"), "set_key", "left")
+        component = F.coalesce("component_id", "class_id", "doc_id")
+        return materialize(
+            out.select(
+                "doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), component.alias("component_id"),
+                F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"),
+            ),
+            "near",
+        )
+
+
+def one_of_each_group(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 48, rows: int = 6) -> DataFrame:
+    """The input's rows and columns less near duplicates: of each component of linked rows one row stays.
+
+    Rows are judged by their texts, so rows that repeat a doc_id with another text stand for themselves. The one
+    that stays has the smallest doc_id (null last), then the smallest MD5 of its text; of rows that
+    repeat both, the one with the smallest other columns. Rows without words are linked with nothing
+    and all stay. Only rows that repeat id and text are aggregated; all others are kept or dropped by an anti-join.
+    """
+    id_, key = free_name(docs, "row_id"), free_name(docs, "row_key")
+    spark = docs.sparkSession
+    with Scratch(spark) as scratch:
+        sketched, classes, found = _grouped(scratch, docs, shingle, percent, bands, rows, one_document_an_id=False)
+        known = classes.join(found.hint("merge"), F.col("id") == F.col("node"), "left")
+        known = scratch.put(known.select("set_key", "rep", F.coalesce("component", "id").alias("component")), "known")
+        best = known.groupBy(F.col("component").alias("of")).agg(F.min("rep").alias("best"), F.count("*").alias("n")).where("n > 1").drop("n")
+        known = known.join(best.hint("merge"), F.col("component") == F.col("of"), "left").select("set_key", F.coalesce("best", "rep").alias("best"))
+        rows_of = sketched.where("set_key IS NOT NULL").groupBy("set_key", "doc_id", "text_key").agg(F.count("*").alias("copies"))
+        rows_of = rows_of.join(known.hint("merge"), "set_key")
+        stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_key") == F.col("best.text_key"))
+        marked = rows_of.select(F.col("doc_id").alias(id_), F.col("text_key").alias(key), stays.alias("stays"), "copies").where("NOT stays OR copies > 1")
+        marked = materialize(marked, "marked")
+    text_id, text_key = free_name(docs, "text_id"), free_name(docs, "text_key")
+    keyed = docs.withColumns({text_id: F.col("doc_id").cast("long"), text_key: F.unhex(F.md5(F.col("text").cast("string")))})
+    same = F.col(text_id).eqNullSafe(F.col(id_)) & (F.col(text_key) == F.col(key))
+    out = keyed.join(marked.select(id_, key).hint("merge"), same, "left_anti").select(*docs.columns)
+    again = marked.where("stays").select(id_, key)
+    if again.isEmpty():
+        return out
+    whole = F.struct(*docs.columns)
+    one = keyed.join(again.hint("merge"), same).groupBy(id_, key).agg(F.min(whole).alias(key + "_row"))
+    return out.unionByName(one.select(f"{key}_row.*"))
+
 
-    def put(df: DataFrame, label: str) -> DataFrame:
-        made.append(path := new_path(spark, label))
-        return materialize(df, label, path)
+def _grouped(scratch: Scratch, docs: DataFrame, shingle: int, percent: int, bands: int, rows: int, small_bucket: int = 12, block: int = 512, out_block: int = 1024, one_document_an_id: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, text_key, n_shingles, set_key), classes (set_key, id, rep, n, registers), and components (node, component) of class ids.
 
+    A class is a set of shingles. Its id is a number of its own; rep names a row that holds it, by
+    doc_id and the MD5 of its text, so that texts are found again whatever ids repeat. With
+    ``one_document_an_id``, classes that share a doc_id are linked as well.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.withColumn("text_key", F.unhex(F.md5("text")))
+    m, put = bands * rows, scratch.put
     # five standard errors of the share of equal registers at the bound
     least = percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / m) ** 0.5
-    sketched = put(docs.mapInArrow(_sketches(shingle, m), "doc_id long, n_shingles long, set_key binary, registers binary"), "sketches")
-    full = sketched.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
-    classes = full.groupBy("set_key").agg(F.min("doc_id").alias("class_id"), F.min("n_shingles").alias("n"))
-    classes = put(classes, "classes")
-    reps = put(
-        full.join(classes.select(F.col("class_id").alias("doc_id"), F.col("set_key").alias("k")).hint("merge"), "doc_id", "inner")
-        .where("k = set_key").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "registers").dropDuplicates(["id"]),
-        "reps",
-    )
+    sketched = put(docs.mapInArrow(_sketches(shingle, m), "doc_id long, text_key binary, n_shingles long, set_key binary, registers binary"), "sketches")
+    full = sketched.where("set_key IS NOT NULL")
+    row = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_key")
+    classes = full.groupBy("set_key").agg(F.min(row).alias("rep"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"))
+    # written once, so that the numbers stay what they are
+    classes = put(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    reps = classes.select("id", "n", "registers")
     banded = reps.mapInArrow(_bands(bands, rows), "bucket long, id long, n long")
     sizes = banded.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
     members = put(banded.join(sizes.hint("merge"), "bucket"), "members")
 
-    links = put(_confirmed(_near(_first_pairs(members, small_bucket, percent), reps, least), docs, classes, shingle, percent), "links")
-    labels = put(components(links, "near"), "labels")
+    near = put(_near(_first_pairs(members, small_bucket, percent), reps, least), "candidates")
+    links = _confirmed(scratch, near, docs, classes, shingle, percent)
+    if one_document_an_id:
+        links = links.unionByName(_shared_ids(full, classes))
+    links = put(links, "links")
+    labels = put(components(links, "near", scratch=scratch), "labels")
     # what large buckets still hold apart
     large = members.where(F.col("members") > small_bucket)
     large = large.join(labels.hint("merge"), large["id"] == labels["node"], "left").select(
@@ -344,8 +402,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     parts = large.groupBy("bucket", "component").agg(F.count("*").alias("size"))
     main = parts.groupBy("bucket").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count("*").alias("parts"), F.sum("size").alias("members"), (F.sum("size") - F.max("size")).alias("apart")).where("parts > 1")
     large = put(large.join(main.hint("merge"), "bucket"), "apart")
-    needed = docs.join(large.select(F.col("id").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    large = large.join(needed.select("doc_id", "text").mapInArrow(_sets(shingle), "id long, hashes binary").hint("merge"), "id")
+    needed = _texts(docs, classes, large.select("id").distinct())
+    large = large.join(needed.mapInArrow(_sets(shingle), "id long, hashes binary").hint("merge"), "id")
     # blocks of members by blocks of outsiders: a task holds block + out_block sets, however large the bucket
     cut = lambda salt, count, size: F.pmod(F.xxhash64(F.lit(salt), "id"), F.ceil(F.col(count) / size)).cast("int")
     each = lambda count, size: F.explode(F.sequence(F.lit(0), F.ceil(F.col(count) / size).cast("int") - 1))
@@ -354,22 +412,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     large = large.withColumn("side", each("apart", out_block))
     cell = ["bucket", "block", "side"]
     more = large.groupBy(*cell).cogroup(outsiders.groupBy(*cell)).applyInArrow(_outsiders(percent), "u long, v long")
-    more = put(more, "links")
-    found = components(links.unionByName(more), "near")
-
-    out = sketched.join(classes.select("set_key", "class_id").hint("merge"), "set_key", "left")
-    out = out.join(found.hint("merge"), F.col("class_id") == F.col("node"), "left")
-    component = F.coalesce("component", "class_id", "doc_id")
-    result = put(
-        out.select(
-            "doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), component.alias("component_id"),
-            F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
-        ),
-        "near",
-    )
-    for path in made[:-1]:
-        delete_path(spark, path)
-    return result
+    found = components(links.unionByName(put(more, "links")), "near", scratch=scratch)
+    return sketched.drop("registers"), classes, found
+
+
+def _shared_ids(full: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links between the classes of rows that share a doc_id: each with the first."""
+    twice = full.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("set_key").alias("first"), F.max("set_key").alias("last")).where("first <> last")
+    pairs = full.join(twice.hint("merge"), "doc_id").where("set_key <> first").select("set_key", "first").distinct()
+    number = lambda key, name: classes.select(F.col("set_key").alias(key), F.col("id").alias(name)).hint("merge")
+    return pairs.join(number("set_key", "u"), "set_key").join(number("first", "v"), "first").select("u", "v")
 
 
 def _first_pairs(members: DataFrame, small: int, percent: int) -> DataFrame:
@@ -398,11 +450,17 @@ def _near(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
     return both.select("u", "v", "n_u", "n_v", "r_u", "r_v").mapInArrow(_estimate_pairs(least), "u long, v long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+def _texts(docs: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text) of the classes in ``ids``: a row's id and the MD5 of its text name it, so equal rows give one text."""
+    wanted = classes.join(ids.hint("merge"), "id", "left_semi").select("id", F.col("rep.doc_id").alias("of"), F.col("rep.text_key").alias("of_key"))
+    same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_key") == F.col("of_key"))
+    return docs.join(wanted.hint("merge"), same).dropDuplicates(["id"]).select("id", "text")
+
+
+def _confirmed(scratch: Scratch, pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs whose full sets confirm the link; only the texts that stand in a pair are moved."""
-    pairs = materialize(pairs, "candidates")
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    texts = materialize(docs.join(ids.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"t_{c}")).hint("merge")
+    ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    texts = scratch.put(_texts(docs, classes, ids), "texts")
+    side = lambda c: texts.select(F.col("id").alias(c), F.col("text").alias(f"t_{c}")).hint("merge")
     both = pairs.join(side("u"), "u").join(side("v"), "v")
     return both.select("v", "u", "t_v", "t_u").mapInArrow(_confirm(k, percent), "u long, v long")

@@ -160,6 +160,55 @@ def test_near_duplicates(docs, texts, empty, k, small):
     assert setsketch.near_duplicates(empty, k).count() == 0
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    rnd = random.Random(11)
+    words = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    a, b = words(59), words(59)
+    rows = [(7, " ".join(a)), (7, " ".join(b)), (8, " ".join(a + ["x"])), (9, " ".join(b + ["x"]))]
+    for _ in range(60):  # ids that repeat over mixed texts, null ids, identical rows
+        base = words(40)
+        for _ in range(rnd.randint(1, 4)):
+            own = list(base)
+            if rnd.random() < 0.6:
+                own[rnd.randrange(40)] = "changed"
+            rows.append((rnd.choice([None, *range(20, 90)]), " ".join(own)))
+    rows += [rows[5], rows[5], (30, ""), (30, ""), (31, None)]
+    docs = spark.createDataFrame([(*r, "clash", 1) for r in rows], "doc_id long, text string, row_id string, text_key int")
+    sets = sets_of(rows, 2)
+
+    def groups(by_id):
+        up = list(range(len(rows)))
+
+        def top(x):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for i, (d, x) in enumerate(sets):
+            for j in range(i):
+                e, y = sets[j]
+                if (x and y and 100 * len(x & y) >= 80 * len(x | y)) or (by_id and x and y and d is not None and d == e):
+                    up[top(i)] = top(j)
+        out = defaultdict(list)
+        for i in range(len(rows)):
+            out[top(i)].append(i)
+        return out.values()
+
+    want = []
+    for g in groups(True):
+        least = min((rows[i][0] for i in g if rows[i][0] is not None), default=None)
+        want += [(rows[i][0], len(sets[i][1]), least if sets[i][1] else rows[i][0], (rows[i][0] == least or least is None) if sets[i][1] else True) for i in g]
+    got = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in setsketch.near_duplicates(docs, 2).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    left = setsketch.one_of_each_group(docs, 2)
+    assert left.columns == docs.columns
+    best = lambda g: min(g, key=lambda i: (rows[i][0] is None, rows[i][0] or 0, hashlib.md5(rows[i][1].encode()).digest()))
+    stay = [rows[best(g)] for g in groups(False) if sets[g[0]][1]] + [r for r, (_, x) in zip(rows, sets, strict=True) if not x]
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted(stay, key=str)
+    none = docs.where("false")
+    assert setsketch.one_of_each_group(none).count() == 0
+
+
 def test_estimate_is_close():
     rnd, sketch = np.random.default_rng(1), setsketch.SetSketch(1024)
     for share in (0.5, 0.8, 0.95):
