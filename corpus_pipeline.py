@@ -25,10 +25,12 @@ def without_frequent_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that are near duplicates by five-word shingles, the one with the smallest id stays."""
-    found = setsketch.near_duplicates(docs, shingle=5, percent=80)
-    gone = found.where("NOT kept").select("doc_id")
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    """Of rows that are near duplicates by five-word shingles one stays: the smallest id, then the smallest text hash.
+
+    Rows are judged by their texts: a repeated id with another text is another row, of identical rows one stays, and rows
+    without words (null and empty texts) all stay.
+    """
+    return setsketch.one_of_each_group(docs, shingle=5, percent=80)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
