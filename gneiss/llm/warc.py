@@ -1,11 +1,15 @@
 """WARC archives of captures, and their index, merged from locally sorted runs.
 
-Writing: every page is one WARC/1.1 record. Records are text blocks that end with CRLF CRLF, so
-Spark's text writer with that line separator writes valid archives to any file system that Spark
-reaches. Of pages with equal payloads, the one with the smallest id is a response and the others
-are revisits that carry no payload.
+Writing: every page is one WARC/1.1 record and every record one gzip member, so that a reader can seek
+to it; an archive begins with a warcinfo record and ends where its bytes reach a bound. Of pages
+with equal payloads, the one with the smallest id is a response with an HTTP head and the payload, the
+others are revisits with the head alone.
 
-Reading: each archive is parsed by one task, which sorts its captures by (URL key, timestamp, id): a
+Spark's text writer puts the members into files on any file system that Spark reaches. It ends each row with
+a separator, which here is one zero byte: a gzip member ends with the high byte of its length, which is zero
+below 16 MiB, so that byte is left to the writer. A longer record is followed by an empty member.
+
+Reading: each archive is parsed by one task, member by member, which sorts its captures by (URL key, timestamp, id): a
 run. Runs are cut at common key borders, and for each range a loser tree merges the pieces of all
 runs, so that ranges in order are the global capture history.
 """
@@ -13,6 +17,8 @@ runs, so that ranges in order are the global capture history.
 from __future__ import annotations
 
 import re
+import uuid
+import zlib
 from collections.abc import Iterator
 from datetime import UTC, datetime
 from urllib.parse import parse_qsl, urlencode, urlsplit
@@ -21,17 +27,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import materialize, new_path
+from gneiss.llm.common import delete_path, materialize, new_path
 
 CRLF = "\r\n"
 
+#: Fixed value: the profile of revisits whose payload is the same.
+REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+
+#: Bytes that a writing task holds before it hands them on, and bytes that a reading one unpacks at a time.
+HELD_BYTES, STEP = 4 << 20, 1 << 15
+
 #: The alphabet of base32.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 #: Seconds since 1970 of the capture of page 0 where the pages carry no timestamp; each next page comes a second later.
 FIRST_CAPTURE = 1_700_000_000
 
-_CAPTURE = "url_key string, timestamp string, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, archive string, offset long, payload binary"
+_CAPTURE = "url_key string, timestamp string, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, archive string, offset long, length long, payload binary"
 _NAMES = [x.split()[0] for x in _CAPTURE.split(", ")]
 _KINDS = [{"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[x.split()[1]] for x in _CAPTURE.split(", ")]
 
@@ -59,79 +71,166 @@ def url_key(url: str | None) -> str:
 
 
 def records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """One WARC record per page, in the column ``value``, with the page's role.
+    """page_id, url, html, payload_bytes, payload_digest, first_id, first_url: each page with the page it revisits, if any.
 
-    Pages with equal payloads of at least ``least_bytes`` bytes: the smallest page_id is the response.
-    The groups meet pre-aggregated, and only groups of two and more are joined back; the part of the
-    join that holds a group with a third of all pages is split by adaptive execution.
+    Pages with equal payloads of at least ``least_bytes`` bytes: the smallest page_id is the response; pages without an
+    id are responses among themselves. The groups meet pre-aggregated, and only groups of two and more are joined back;
+    the part of the join that holds a group with a third of all pages is split by adaptive execution.
     """
-    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     pages = pages.withColumns({"payload_bytes": F.octet_length("html").cast("long"), "payload_digest": base32_sha1(F.col("html"))})
-    groups = pages.where(F.col("payload_bytes") >= least_bytes).groupBy(F.col("payload_digest").alias("d")).agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    named = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))
+    groups = pages.where(F.col("payload_bytes") >= least_bytes).groupBy(F.col("payload_digest").alias("d")).agg(F.min(named).alias("first"), F.count("*").alias("n"))
     joined = pages.join(groups.where("n > 1").drop("n").hint("merge"), F.col("payload_digest") == F.col("d"), "left")
-    refers = F.when(F.col("page_id") != F.col("first"), F.col("first"))
-    revisit = refers.isNotNull()
-    date = F.date_format(F.timestamp_seconds(F.lit(FIRST_CAPTURE) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(10**9))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    # a line break or control character in a URL would end the header
-    url = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\x00-\x20\x7f]", "%20")
-    lines = [
-        F.lit("WARC/1.1"),
-        F.concat(F.lit("WARC-Type: "), F.when(revisit, "revisit").otherwise("response")),
-        F.concat(F.lit("WARC-Record-ID: <urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("none")), F.lit(">")),
-        F.concat(F.lit("WARC-Date: "), date),
-        F.concat(F.lit("WARC-Target-URI: "), url),
-        F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("payload_digest")),
-        F.concat(F.lit("X-Payload-Length: "), F.col("payload_bytes").cast("string")),
-        F.when(revisit, F.concat(F.lit("WARC-Refers-To: <urn:page:"), refers.cast("string"), F.lit(">"))),
-        F.when(revisit, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
-        F.concat(F.lit("Content-Length: "), F.when(revisit, "0").otherwise(F.col("payload_bytes").cast("string"))),
-    ]
-    head = F.concat_ws(CRLF, *lines)
-    return joined.select(F.concat(head, F.lit(CRLF * 2), F.when(revisit, "").otherwise(F.col("html"))).alias("value"))
+    first = F.when(F.coalesce(F.col("page_id") != F.col("first.page_id"), F.col("first.page_id").isNotNull()), F.col("first"))
+    return joined.select("page_id", "url", "html", "payload_bytes", "payload_digest", first["page_id"].alias("first_id"), first["url"].alias("first_url"))
 
 
-def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, records_per_archive: int = 5_000) -> None:
-    """Writes all pages as gzipped WARC archives under ``path``; records that share a digest stand together. Offsets count uncompressed bytes."""
-    records(pages, least_bytes).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", records_per_archive).option("compression", "gzip").text(path)
+def uri(url: str) -> str:
+    """A URL as a header holds it: control characters and spaces are percent-encoded, as they would end the header."""
+    return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
 
 
-def parse(blob: bytes) -> Iterator[tuple[dict[str, str], bytes, int]]:
-    """(header, block, offset) of each record of an archive."""
-    at = 0
-    while at < len(blob):
-        end = blob.index(b"\r\n\r\n", at)
-        first, *lines = blob[at:end].decode().split(CRLF)
-        if not first.startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        head = dict(x.split(": ", 1) for x in lines)
-        size = int(head["Content-Length"])
-        yield head, blob[end + 4 : end + 4 + size], at
-        at = end + 4 + size + 4
+def _date(page_id: int | None) -> str:
+    return datetime.fromtimestamp(FIRST_CAPTURE + (page_id or 0) % 10**9, UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
-def _page(urn: str) -> int | None:
-    name = urn.removeprefix("<urn:page:").removesuffix(">")
-    return None if name == "none" else int(name)
+def record(kind: str, name: str, date: str, fields: list[tuple[str, object]], block: bytes) -> bytes:
+    """A WARC/1.1 record; fields that are None are left out."""
+    head = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:uuid:{name}>"), ("WARC-Date", date), *fields, ("Content-Length", len(block))]
+    return "".join(["WARC/1.1\r\n", *(f"{k}: {v}\r\n" for k, v in head if v is not None), CRLF]).encode() + block + b"\r\n\r\n"
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each archive's captures, sorted."""
+def member(data: bytes) -> bytes:
+    """Data as a gzip member that ends with a zero byte, followed by an empty one where its length would not."""
+    def one(x: bytes) -> bytes:
+        z = zlib.compressobj(6, zlib.DEFLATED, 31)
+        return z.compress(x) + z.flush()
+
+    out = one(data)
+    return out if out[-1] == 0 else out + one(b"")
+
+
+def _capture_record(name: str, page: int | None, url: str, html: bytes, digest: str, first: int | None, first_url: str | None) -> bytes:
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(html)}\r\n\r\n".encode()
+    fields = [("WARC-Target-URI", uri(url)), ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Page-ID", "none" if page is None else page), ("Content-Type", "application/http; msgtype=response")]
+    if first is None:
+        return record("response", name, _date(page), fields, http + html)
+    fields += [("WARC-Profile", REVISIT), ("WARC-Refers-To-Target-URI", uri(first_url or "")), ("WARC-Refers-To-Date", _date(first)), ("X-Refers-To-Page", first)]
+    return record("revisit", name, _date(page), fields, http)
+
+
+def _members(label: str, archive_bytes: int):
+    """Rows of ``records`` as gzip members, with the number of the task's archive that each goes to and its place there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, archive, place, filled, held, out = TaskContext.get().partitionId(), 0, 0, 0, 0, []
+
+        def name() -> str:
+            return str(uuid.uuid5(uuid.NAMESPACE_URL, f"{label}/{part}/{archive}/{place}"))
+
+        def put(data: bytes) -> None:
+            nonlocal place, filled, held
+            packed = member(data)[:-1]  # the writer ends it with a zero byte
+            out.append((archive, place, packed))
+            place, filled, held = place + 1, filled + len(packed) + 1, held + len(packed)
+
+        def flush() -> pa.RecordBatch:
+            nonlocal held
+            done = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)], ["archive", "place", "value"])
+            out.clear()
+            held = 0
+            return done
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                page, url, html, _, digest, first, first_url = (c[k].as_py() for c in batch.columns)
+                if place == 0:
+                    put(record("warcinfo", name(), _date(0), [("Content-Type", "application/warc-fields")], b"software: gneiss\r\nformat: WARC File Format 1.1\r\n"))
+                put(_capture_record(name(), page, url, html.encode(), digest, first, first_url))
+                if held > HELD_BYTES:
+                    yield flush()
+                if filled >= archive_bytes:
+                    archive, place, filled = archive + 1, 0, 0
+        if out:
+            yield flush()
+
+    return run
+
+
+def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, archive_bytes: int = 64 << 20) -> None:
+    """Writes all pages as WARC archives of ``archive_bytes`` bytes, and the rest of a record, at most; records that share a digest stand together."""
+    rows = records(pages, least_bytes).mapInArrow(_members(path, archive_bytes), "archive int, place long, value binary")
+    rows = rows.sortWithinPartitions("archive", "place").select("archive", F.col("value").cast("string").alias("value"))
+    rows.write.partitionBy("archive").option("lineSep", "\0").text(path)
+
+
+def members_of(blob: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, length, data) of each gzip member, in small steps, so that a long archive isn't copied for each."""
+    at, view = 0, memoryview(blob)
+    while at < len(blob):
+        z, end, parts = zlib.decompressobj(31), at, []
+        while not z.eof:
+            if end >= len(blob):
+                raise ValueError(f"the gzip member at byte {at} is cut off")
+            step = view[end : end + STEP]
+            parts.append(z.decompress(step))
+            end += len(step)
+        end -= len(z.unused_data)
+        yield at, end - at, b"".join(parts)
+        at = end
+
+
+def parse(data: bytes) -> tuple[dict[str, str], bytes]:
+    """Header and block of a record."""
+    head, _, rest = data.partition(b"\r\n\r\n")
+    first, *lines = head.decode().split(CRLF)
+    fields = dict(x.split(": ", 1) for x in lines)
+    size = int(fields.get("Content-Length", -1))
+    if not first.startswith("WARC/") or size < 0 or rest[size:] != b"\r\n\r\n":
+        raise ValueError("no WARC record")
+    return fields, rest[:size]
+
+
+def _page(name: str | None) -> int | None:
+    return None if name in (None, "none") else int(name)
+
+
+def capture(data: bytes) -> tuple | None:
+    """(url_key, timestamp, page_id, url, record_type, payload_bytes, payload_digest, refers_to, payload) of a record, None for other kinds."""
     from base64 import b32encode
-    from gzip import decompress
     from hashlib import sha1
 
+    head, block = parse(data)
+    kind = head["WARC-Type"]
+    if kind not in ("response", "revisit"):
+        return None
+    http, _, payload = block.partition(b"\r\n\r\n")
+    size = int(re.search(rb"(?i)\r\nContent-Length: *([0-9]+)", http)[1])
+    digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
+    if kind == "response" and (len(payload) != size or b32encode(sha1(payload).digest()).decode() != digest):
+        raise ValueError("the payload is damaged")
+    stamp = datetime.fromisoformat(head["WARC-Date"]).astimezone(UTC).strftime("%Y%m%d%H%M%S")
+    url = head["WARC-Target-URI"]
+    return url_key(url), stamp, _page(head["X-Page-ID"]), url, kind, size, digest, _page(head.get("X-Refers-To-Page")), payload
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each archive's captures, sorted."""
     for batch in batches:
         for path, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            archive, captures = path.rsplit("/", 1)[-1], []
-            raw = blob.as_py()
-            for head, block, at in parse(decompress(raw) if path.endswith(".gz") else raw):
-                kind, digest, size = head["WARC-Type"], head["WARC-Payload-Digest"].removeprefix("sha1:"), int(head["X-Payload-Length"])
-                if kind == "response" and (len(block) != size or b32encode(sha1(block).digest()).decode() != digest):
-                    raise ValueError(f"{path}: the record at byte {at} is damaged")
-                url = head["WARC-Target-URI"]
-                stamp = datetime.fromisoformat(head["WARC-Date"]).astimezone(UTC).strftime("%Y%m%d%H%M%S")
-                refers = _page(head["WARC-Refers-To"]) if "WARC-Refers-To" in head else None
-                captures.append((url_key(url), stamp, _page(head["WARC-Record-ID"]), url, kind, size, digest, refers, archive, at, block))
+            archive, captures = "/".join(path.rsplit("/", 2)[-2:]), []
+            for at, length, data in members_of(blob.as_py()):
+                if not data:
+                    continue
+                try:
+                    found = capture(data)
+                except (ValueError, KeyError, TypeError) as e:
+                    raise ValueError(f"{path}: the record at byte {at} can't be read: {e}") from e
+                if found:
+                    captures.append((*found[:-1], archive, at, length, found[-1]))
             captures.sort(key=order)
             yield from _batches(captures, _NAMES, _KINDS)
 
@@ -202,8 +301,11 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_archives(spark, path: str) -> DataFrame:
-    """All captures of the archives under ``path``, payloads included (none for revisits), each archive's sorted."""
-    blobs = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    """All captures of the archives under ``path``, payloads included (none for revisits), each archive's sorted.
+
+    offset and length are those of the capture's gzip member in the archive.
+    """
+    blobs = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path)
     return blobs.select("path", "content").mapInArrow(_runs, _CAPTURE)
 
 
@@ -219,12 +321,19 @@ def merged_index(runs: DataFrame, captures_per_range: int = 50_000) -> DataFrame
     return index.repartitionByRange(ranges, "url_key", "timestamp", "page_id").mapInArrow(_merge, schema)
 
 
-def capture_histories(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
+def capture_histories(pages: DataFrame, least_bytes: int = 0, path: str | None = None) -> DataFrame:
     """Writes ``pages`` (page_id, url, html) as archives in the shared folder, reads them back and returns the merged index.
 
-    One row per input row. A null html is empty; null URLs are empty; repeated rows are captures of
-    their own; extra columns are ignored; an empty table gives an empty index.
+    One row per input row. A null html is empty; null URLs are empty; a null page_id stays null and its
+    page revisits the smallest id with its payload, if there is one; repeated rows are captures of
+    their own; extra columns are ignored; an empty table gives an empty index. The archives are deleted
+    unless ``path`` names the folder for them.
     """
-    path = new_path(pages.sparkSession, "warc")
-    write_archives(pages, path, least_bytes)
-    return merged_index(read_archives(pages.sparkSession, path))
+    spark = pages.sparkSession
+    kept = path or new_path(spark, "warc")
+    try:
+        write_archives(pages, kept, least_bytes)
+        return merged_index(read_archives(spark, kept))
+    finally:
+        if path is None:
+            delete_path(spark, kept)

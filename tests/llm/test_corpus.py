@@ -1,6 +1,7 @@
 """Corpus operators against brute force, and on nulls, empties, repeats, clashing columns and empty tables."""
 
 import base64
+import gzip
 import hashlib
 import random
 import re
@@ -341,6 +342,32 @@ def test_warc(spark, empty):
     assert {r.page_id: (r.record_type, r.refers_to) for r in got} == {5: ("revisit", 2), 2: ("response", None), 9: ("response", None), 3: ("response", None), 4: ("revisit", 3), 7: ("response", None)}
     assert warc.capture_histories(spark.createDataFrame([], df.schema)).count() == 0
     assert warc.url_key("https://www.Example.com:8080/b?z=1&a=2#f") == "com,example)/b?a=2&z=1"
+    nameless = spark.createDataFrame([(None, "http://a.org/1", "p"), (3, None, "p"), (None, "u", "q"), (None, "v", "q")], "page_id long, url string, html string")
+    assert sorted((r.url, r.record_type, r.refers_to) for r in warc.capture_histories(nameless).collect()) == [("", "response", None), ("http://a.org/1", "revisit", 3), ("u", "response", None), ("v", "response", None)]
+
+
+def test_warc_members_can_be_sought(spark, tmp_path):
+    rnd = random.Random(8)
+    pages = [(k, f"http://h{k % 7}.org/{k} x", "".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(4000)))) for k in range(300)] + [(1000, "http://long.org", "long" * (5 << 20))]
+    pages += [(2000 + k, "http://again.org", pages[3][2]) for k in range(20)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    path = str(tmp_path / "archives")
+    warc.write_archives(df, path, archive_bytes=100_000)
+    rows = warc.read_archives(spark, path).collect()
+    texts, names = {p: h for p, _, h in pages}, set()
+    assert len(rows) == len(pages) and len({r.archive for r in rows}) > 4
+    for r in rows:
+        with open(f"{path}/{r.archive}", "rb") as f:
+            f.seek(r.offset)
+            data = gzip.decompress(f.read(r.length))
+        head, block = warc.parse(data)
+        names.add(head["WARC-Record-ID"])
+        assert head["X-Page-ID"] == str(r.page_id) and block.startswith(b"HTTP/1.1 200 OK")
+        assert r.payload.decode() == (texts[r.page_id] if r.record_type == "response" else "")
+    assert len(names) == len(pages)
+    for archive in {r.archive for r in rows}:
+        own = [warc.parse(data)[0]["WARC-Type"] for _, _, data in warc.members_of((tmp_path / "archives" / archive).read_bytes()) if data]
+        assert own[0] == "warcinfo" and own.count("warcinfo") == 1
 
 
 def test_loser_tree():
