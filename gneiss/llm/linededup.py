@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import SPACE, materialize
+from gneiss.llm.common import SPACE, materialize, new_path
 
 def line_key(line: bytes) -> bytes:
     """The key of a line: white space stripped at both ends, A-Z lower-cased."""
@@ -144,7 +144,11 @@ def frequent_lines(docs: DataFrame, min_docs: int, min_chars: int, batches: int,
     """All (doc_id, key) rows, and the keys found in at least min_docs documents; both are written tables."""
     spark = docs.sparkSession
     batch = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")
-    keys = materialize(line_keys(docs, min_chars).withColumn("batch", batch), "lines")
+    path = new_path(spark, "lines")
+    keys = line_keys(docs, min_chars).withColumn("batch", batch)
+    # one folder a batch, so that a batch reads no other's rows
+    keys.write.partitionBy("batch").parquet(path)
+    keys = spark.read.schema(keys.schema).parquet(path)
     runs = LineRuns(spark, min_docs, fanout, buckets=max(16, -(-keys.count() // 4_000_000)))
     for k in range(batches):
         runs.add(keys.where(F.col("batch") == k).select("doc_id", "key"))
@@ -153,7 +157,7 @@ def frequent_lines(docs: DataFrame, min_docs: int, min_chars: int, batches: int,
     return keys.select("doc_id", "key"), frequent
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 5, fanout: int = 4) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 9, fanout: int = 3) -> DataFrame:
     """Drops every line whose key stands in at least ``min_docs`` documents, in all documents.
 
     Returns doc_id, n_lines, n_dropped, kept_text: one row per input row. A null text is one empty
@@ -172,7 +176,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches
     )
 
 
-def drop_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 5, fanout: int = 4) -> DataFrame:
+def drop_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 9, fanout: int = 3) -> DataFrame:
     """The input's columns, with the kept lines in ``text`` and its length in ``n_chars`` where that column exists; null texts stay null."""
     names = docs.columns
 
