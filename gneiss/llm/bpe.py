@@ -37,6 +37,9 @@ PIECES = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?=[{WHITE}]|$(?![\\s\\S]))|[{WHIT
 #: Entries that a worker's table of known pieces may hold.
 KNOWN_PIECES = 400_000
 
+#: Pairs of tokens that a worker remembers the compatibility of.
+KNOWN_PAIRS = 1_000_000
+
 
 def byte_alphabet() -> dict[str, int]:
     """The printable character that stands for each byte: itself, or the next free one from 256 on."""
@@ -85,7 +88,7 @@ class ByteBpe:
             if i in self.usable:
                 self.automaton.add_word(b.decode("latin-1"), (len(b), i))
         self.automaton.make_automaton()
-        self.compatible_pairs: dict[tuple[int, int], bool] = {}
+        self.pairs = Remembered(KNOWN_PAIRS)
         self.words = regex.compile(PATTERN)
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.known, self.known_words = Remembered(KNOWN_PIECES), Remembered(KNOWN_PIECES)
@@ -114,11 +117,13 @@ class ByteBpe:
         return self._merge([single[b] for b in self.tokens[i]]) == [i]
 
     def compatible(self, a: int, b: int) -> bool:
-        """Whether BPE leaves the border between two neighbouring tokens alone; memoised."""
-        key = (a, b)
-        got = self.compatible_pairs.get(key)
+        """Whether BPE leaves the border between two neighbouring tokens alone, from the table of pairs met lately."""
+        key, pairs = (a, b), self.pairs
+        got = pairs.now.get(key)
         if got is None:
-            got = self.compatible_pairs[key] = self._border_stays(a, b)
+            got = pairs.old.get(key)
+            pairs.turn()
+            pairs.now[key] = got = self._border_stays(a, b) if got is None else got
         return got
 
     def _border_stays(self, a: int, b: int) -> bool:
