@@ -436,19 +436,61 @@ def test_flow_moves_the_fewest_bytes():
         assert cost == best
 
 
+def brute_licenses(text, least=0.8):
+    """(dice, name) of every unit and window, without any pruning."""
+    known, out = license.templates(), []
+    grams = lambda w: [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]
+    dice = lambda g, t: 2 * len(set(g) & set(t.bigrams)) / (len(set(g)) + len(t.bigrams))
+    lines = (text or "").split("\n")
+    for unit in lines + ([text] if len(lines) > 1 else []):
+        out += [(dice(g, t), t.name) for t in known if (g := grams(license.normal_words(unit)))]
+    pairs = grams(license.normal_words(text or ""))
+    for t in known:
+        for first in {k - place for gram, place in t.anchors() for k, g in enumerate(pairs) if g == gram}:
+            out.append((dice(pairs[max(first, 0) : first + len(t.words) - 1], t), t.name))
+    return [x for x in out if x[0] >= least]
+
+
 def test_license(spark, docs, empty):
-    con = duckdb.connect()
+    import textwrap
+
+    con, rnd = duckdb.connect(), random.Random(6)
     rows = [(1, "Some text\nReleased under the MIT License.\nmore"), (2, "licensed UNDER the Apache-License, version 2.0"), (3, None), (4, ""), (5, "Licensed under CC BY-NC 4.0."), (5, "x"), (None, "MIT")]
-    rows += [(100 + k, t) for k, t in enumerate(some_texts()[:40])]
+    rows += [(100 + k, t) for k, t in enumerate(some_texts())]
+    prose = lambda n: " ".join(rnd.choice(["plain", "words", "of", "software", "the", "license"]) for _ in range(n))
+    wanted = {}
+    for k, (name, texts) in enumerate(license.WHOLE_TEXTS.items()):
+        for j, text in enumerate(texts):
+            body = textwrap.fill(text, 60)
+            rows.append((1000 + 10 * k + j, f"Copyright 2020\n\n{body}\n\nint main() {{}}"))
+            rows.append((2000 + 10 * k + j, f"{prose(300)}\n * " + body.replace("\n", "\n * ") + f"\n{prose(400)}"))
+            wanted |= {1000 + 10 * k + j: name, 2000 + 10 * k + j: name}
+            words = text.split()
+            for m in range(3):  # some words changed or left out
+                rows.append((3000 + 100 * k + 10 * j + m, " ".join(w if rnd.random() > 0.04 * m else rnd.choice(["", "changed"]) for w in words)))
+    rows.append((9000, "This project is released under the MIT License, see LICENSE. " + "x" * 60_000))
+    wanted[9000] = "MIT"
     df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, found string")
     con.register("documents", df.toPandas().astype({"doc_id": "Int64"})[["doc_id", "text"]])
     got = [tuple(r) for r in license.license_scan(df).collect()]
     want = con.sql(license.oracle_sql()).fetchall()
     assert sorted(map(str, got)) == sorted(map(str, want))
-    assert {g[0]: g[4] for g in got if g[4]} == {1: "MIT", 2: "Apache-2.0", 5: "CC-BY-NC-4.0"}
+    assert {g[0]: g[4] for g in got if g[4] and g[0] < 100} == {1: "MIT", 2: "Apache-2.0", 5: "CC-BY-NC-4.0"}
+    assert {g[0]: g[4] for g in got if g[0] in wanted} == wanted
+    brute = [(d, brute_licenses(x)) for d, x in rows]
+    assert sorted(((g[0], g[2], g[3]) for g in got), key=str) == sorted(((d, len(x), ",".join(sorted({n for _, n in x}))) for d, x in brute), key=str)
+    tied = license.license_scan(df.where("doc_id = 1"), texts={"B": ["released under the mit license"], "A": ["Released under the MIT license!"]}).first()
+    assert (tied.best_license, tied.licenses) == ("A", "A,B")
     assert license.license_scan(empty).count() == 0
 
 
+def test_telling_words_are_needed():
+    telling = set(license.telling_words(license.templates(), 0.8))
+    for t in license.templates():
+        left = [g for g in t.bigrams if not set(g.split()) & telling]
+        assert 2 * len(left) / (len(left) + len(t.bigrams)) < 0.8 and t.anchors()
+
+
 def test_pipeline(spark, docs, texts):
     at, rows = docs.drop("key", "shard", "row", "members"), []
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
