@@ -130,7 +130,7 @@ class Template:
 
 
 #: Words of the templates that much other prose holds as well; others tell more.
-COMMON = frozenset("under without following possible provided required version product source particular related subject specific conditions including otherwise program published works general public this".split())
+COMMON = frozenset("under without following possible provided required version product source particular related subject specific conditions including otherwise program published works general public this you".split())
 
 
 def telling_words(known: list[Template], least: float) -> list[str]:
