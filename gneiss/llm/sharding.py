@@ -7,7 +7,9 @@ bytes a row. The network has one node for each old shard's block and one for eac
 as large as old shards times size classes, whatever the corpus. A block's rows are told apart
 by their place in an order of the block, which is counted in parts, so that no block is one task.
 
-Then the shards that change are written anew, and the result is read from the written files.
+Then the files of the shards that change are written anew, the others stay as they are, and the result is read from
+both. A block's price a row is its mean size, and a class spans a quarter of a doubling, so the bytes moved are the fewest
+for the blocks and at most 2 ** (1 / 4) times, 1.19, the fewest for single rows.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 import heapq
 from collections import defaultdict
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -120,8 +122,18 @@ def plan(blocks: list[tuple[int, int, int, int]], old: int, new: int) -> list[tu
     return sorted(out)
 
 
-def assign(docs: DataFrame, old_shard, shards: int = 40, rows_a_part: int = 20_000) -> DataFrame:
-    """The input's rows with size (long), old_shard, shard (int) and slot (long, gapless from 0 in each shard).
+def unchanged(moves: list[tuple[int, int, int, int]]) -> set[int]:
+    """The shards that neither give nor take a row."""
+    return {i for i, _, _, _ in moves} - {x for i, _, j, _ in moves if i != j for x in (i, j)}
+
+
+def assign(docs: DataFrame, old_shard, shards: int = 40, rows_a_part: int = 5_000) -> DataFrame:
+    """The input's rows with size, old_shard, shard and slot; see assigned."""
+    return assigned(docs, old_shard, shards, rows_a_part)[0]
+
+
+def assigned(docs: DataFrame, old_shard, shards: int = 40, rows_a_part: int = 5_000) -> tuple[DataFrame, list[tuple[int, int, int, int]]]:
+    """The input's rows with size (long), old_shard, shard (int) and slot (long, gapless from 0 in each shard), and the transfers of plan.
 
     ``old_shard`` is a column of integers from 0 on. Only the table of blocks, at most MOST_CLASSES rows
     to an old shard, comes to the driver.
@@ -132,12 +144,10 @@ def assign(docs: DataFrame, old_shard, shards: int = 40, rows_a_part: int = 20_0
     rows = docs.withColumns({"size": size, "old_shard": old_shard.cast("int"), "__class": kind, "__mark": mark})
     counts = rows.groupBy("old_shard").agg(F.count("*").alias("n")).agg(F.max("n").alias("most"), F.max("old_shard").alias("last")).first()
     if counts["most"] is None:
-        return rows.withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")}).drop("__class", "__mark")
+        return rows.withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")}).drop("__class", "__mark"), []
     parts = -(-counts["most"] // rows_a_part)
     rows = rows.withColumn("__part", F.pmod("__mark", F.lit(parts)).cast("int"))
-    stats = materialize(
-        rows.groupBy("old_shard", "__class", "__part").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")), "blocks"
-    )
+    stats = materialize(rows.groupBy("old_shard", "__class", "__part").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")), "blocks")
     # where each part's rows of a class begin: in the part's own order, and in the block's
     inside = W.partitionBy("old_shard", "__part").orderBy("__class").rowsBetween(W.unboundedPreceding, -1)
     across = W.partitionBy("old_shard", "__class").orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
@@ -146,7 +156,8 @@ def assign(docs: DataFrame, old_shard, shards: int = 40, rows_a_part: int = 20_0
     starts = starts.select(*(F.col(c).alias(f"s{c}") for c in ("old_shard", "__class", "__part")), (F.col("before") - F.col("first")).alias("__lift"))
     blocks = [tuple(r) for r in stats.groupBy("old_shard", "__class").agg(F.sum("n"), F.sum("bytes")).collect()]
     moves, base, at = [], defaultdict(int), defaultdict(int)
-    for i, c, j, n in plan(blocks, counts["last"] + 1, shards):
+    transfers = plan(blocks, counts["last"] + 1, shards)
+    for i, c, j, n in transfers:
         moves.append((i, c, at[i, c], at[i, c] + n, j, base[j]))
         at[i, c] += n
         base[j] += n
@@ -163,20 +174,53 @@ def assign(docs: DataFrame, old_shard, shards: int = 40, rows_a_part: int = 20_0
         (F.col("old_shard") == F.col("m_old")) & (F.col("__class") == F.col("m_class")) & (F.col("__rank") >= F.col("lo")) & (F.col("__rank") < F.col("hi")),
     )
     ranked = ranked.withColumn("slot", F.col("base") + F.col("__rank") - F.col("lo"))
-    return ranked.select(*docs.columns, "size", "old_shard", "shard", "slot")
+    return ranked.select(*docs.columns, "size", "old_shard", "shard", "slot"), transfers
+
+
+_FILE = "doc_id long, text string, old_shard int, slot long"
+
+
+def _write(placed: DataFrame, path: str) -> None:
+    placed.select("doc_id", "text", "old_shard", "slot", "shard").write.partitionBy("shard").parquet(path)
 
 
 def reshard(docs: DataFrame, old_shard, shards: int = 40, path: str | None = None) -> DataFrame:
     """Writes doc_id and text into files by shard and returns the files' rows with old_shard, shard and slot.
 
     One row per input row. A null text stays null and counts ROW_BYTES; null ids and repeated rows
-    are placed like others; extra columns are ignored; an empty table gives an empty result. All rows of an old shard that
-    shrinks or grows are written anew, which with a change of the shard count is every shard.
+    are placed like others; extra columns are ignored; an empty table gives an empty result. The rows come from a
+    table, not from shard files, so all of them are written; see reshard_files for files.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     path = path or new_path(spark, "shards")
-    placed = assign(docs, old_shard, shards).select("doc_id", "text", "old_shard", "slot", "shard")
-    placed.write.partitionBy("shard").parquet(path)
-    schema = placed.schema
-    return spark.read.schema(schema).parquet(path)
+    _write(assigned(docs, old_shard, shards)[0], path)
+    return spark.read.schema(_FILE + ", shard int").parquet(path)
+
+
+def reshard_files(spark: SparkSession, layout: dict[int, str], shards: int, path: str) -> dict[int, str]:
+    """Reshards files as ``reshard`` writes them; ``layout`` and the result name each shard's folder.
+
+    Only shards that give or take a row are written, to ``path``; the folders of the others stand in
+    the result as they stood in ``layout``, with their slots. Old folders are left to the caller.
+    """
+    if not layout:
+        return {}
+    docs = spark.read.schema(_FILE).parquet(layout[min(layout)]).withColumn("was", F.lit(min(layout)))
+    for shard in sorted(layout)[1:]:
+        docs = docs.unionByName(spark.read.schema(_FILE).parquet(layout[shard]).withColumn("was", F.lit(shard)))
+    placed, transfers = assigned(docs.select("doc_id", "text", "was"), F.col("was"), shards)
+    kept = {i: layout[i] for i in unchanged(transfers) if i < shards}
+    changed = placed.where(~F.col("shard").isin(sorted(kept)))
+    held = {j for _, _, j, _ in transfers} - set(kept)
+    if held:
+        _write(changed, path)
+    return kept | {j: f"{path}/shard={j}" for j in held}
+
+
+def read_layout(spark: SparkSession, layout: dict[int, str]) -> DataFrame:
+    """doc_id, text, old_shard, slot, shard of the files that a layout names; old_shard is that of the shard's last writing."""
+    out = spark.createDataFrame([], _FILE + ", shard int")
+    for shard, folder in layout.items():
+        out = out.unionByName(spark.read.schema(_FILE).parquet(folder).withColumn("shard", F.lit(shard)))
+    return out

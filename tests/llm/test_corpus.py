@@ -248,6 +248,43 @@ def test_quality(docs, texts, empty):
     assert quality.quality(empty).count() == 0 and quality.keep_good(empty).count() == 0
 
 
+def test_verdicts_follow_exact_quantiles(spark):
+    rnd = random.Random(12)
+    rows = []
+    for k in range(1500):
+        words = [f"{'w' * rnd.randint(1, 9)}{rnd.randrange(400)}" + ("#" if rnd.random() < 0.05 * (k % 5) else "") for _ in range(rnd.randint(20, 80))]
+        lines = [" ".join(words[i : i + 6]) for i in range(0, len(words), 6)]
+        lines += rnd.choices(lines, k=rnd.choice([0, 0, 0, 1, 5]))
+        rows.append((k, "\n".join(lines), f"l{k % 2}", f"s{k % 3}" if k % 7 else "rare"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in quality.quality(docs).collect()}
+    values = {}
+    for d, text, lang, source in rows:
+        n, chars, symbols, dup, repeat, n_lines = quality.measure(text)
+        if not got[d].base_failed:
+            values[d] = ((lang, source), {"symbol_share": symbols / n, "dup_line_share": dup / n_lines, "repeat_share": repeat / n, "word_length": chars / n})
+    members = defaultdict(list)
+    for g, v in values.values():
+        members[g].append(v)
+    assert min(map(len, members.values())) >= quality.LEAST_ROWS
+    sure = 0
+    for d, (g, own) in values.items():
+        loose, strict = [], []
+        for m, least in quality.MEASURES.items():
+            all_ = np.array([v[m] for v in members[g]])
+            for shift, out in ((0.04, loose), (-0.04, strict)):  # the sketch's rank error, well above its 1.7 percent
+                low, mid_low, mid_high, top = (np.quantile(all_, q) for q in (0.25 - shift, 0.5 - shift, 0.5 + shift, 0.75 + shift))
+                out.append(own[m] > mid_high + 3 * max(top - mid_high, least) + 3 * abs(shift) * (all_.max() - all_.min()) * np.sign(shift))
+                if m in quality.BELOW:
+                    out.append(own[m] < mid_low - 3 * max(mid_low - low, quality.BELOW[m]) - 3 * abs(shift) * (all_.max() - all_.min()) * np.sign(shift))
+        if any(loose):
+            assert not got[d].kept
+        if not any(strict):
+            assert got[d].kept
+        sure += any(loose) or not any(strict)
+    assert sure > 0.7 * len(values) and 20 < sum(not got[d].kept for d in values)
+
+
 def test_fences(spark):
     clean = [(k, " ".join(f"word{(k * 7 + j) % 900}" for j in range(60)), "en", "a") for k in range(200)]
     dirty = [(1000, " ".join(f"#{j}%|" for j in range(60)), "en", "a")]
@@ -409,6 +446,38 @@ def test_sharding(docs, texts, empty):
     assert sharding.reshard(empty, F.lit(0), 7).count() == 0
 
 
+def test_reshard_query(spark, docs, texts, tmp_path):
+    docs.select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op7_reshard(spark, str(tmp_path)).collect()
+    want = [(d, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for d, t in texts]
+    assert sorted(((r.doc_id, r["size"], r.text_crc32) for r in got), key=str) == sorted(want, key=str)
+    assert {(r.law, r.grown_shard) for r in got} == {("rows", None)} and {r.shard for r in got} == set(range(40))
+
+
+def test_only_changed_files_are_written(spark, tmp_path):
+    rows = [(k, "x" * (k % 50)) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    first = str(tmp_path / "first")
+    sharding.reshard(docs, F.pmod("doc_id", F.lit(8)), 8, first)
+    layout = {k: f"{first}/shard={k}" for k in range(8)}
+    same = sharding.reshard_files(spark, layout, 8, str(tmp_path / "same"))
+    assert same == layout and not (tmp_path / "same").exists()
+    docs.where("doc_id < 50").coalesce(1).selectExpr("doc_id + 1000 AS doc_id", "text", "8 AS old_shard", "doc_id AS slot").write.parquet(str(tmp_path / "eighth"))
+    more = sharding.reshard_files(spark, layout | {8: str(tmp_path / "eighth")}, 9, str(tmp_path / "more"))
+    assert more == layout | {8: str(tmp_path / "eighth")}
+    fewer = sharding.reshard_files(spark, layout, 7, str(tmp_path / "fewer"))
+    grown = sharding.reshard_files(spark, layout, 10, str(tmp_path / "grown"))
+    for now, n in ((fewer, 7), (grown, 10)):
+        out = sharding.read_layout(spark, now).collect()
+        assert sorted((r.doc_id, r.text) for r in out) == rows
+        slots = defaultdict(list)
+        for r in out:
+            slots[r.shard].append(r.slot)
+        counts = [len(v) for v in slots.values()]
+        assert len(counts) == n and max(counts) - min(counts) <= 1 and all(sorted(v) == list(range(len(v))) for v in slots.values())
+    assert sharding.reshard_files(spark, {}, 3, str(tmp_path / "none")) == {}
+
+
 def test_flow_moves_the_fewest_bytes():
     rnd = random.Random(4)
     for _ in range(60):
