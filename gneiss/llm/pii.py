@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import materialize
+from gneiss.llm.common import Scratch, materialize
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -164,7 +164,7 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame, generalise: float = 0.8) -> DataFrame:
+def disclosing_terms(scratch: Scratch, docs: DataFrame, found: DataFrame, generalise: float = 0.8) -> DataFrame:
     """id, key, term, at, share: the terms that tell at least ``generalise`` of what there is to know about an entity of
     their document, with the largest such share and all places where they stand.
 
@@ -173,7 +173,7 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, generalise: float = 0.8)
     c(e, t) is at most c(t) and c(e). Words' counts meet pre-aggregated per task.
     """
     held = found.where(F.size("entities") > 0).groupBy(F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
-    held = materialize(held.agg(F.count("*").alias("copies"), F.first("entities").alias("entities"), F.first("words").alias("words")), "held")
+    held = scratch.put(held.agg(F.count("*").alias("copies"), F.first("entities").alias("entities"), F.first("words").alias("words")), "held")
     total = F.lit(float(found.count()))
     each = held.select("id", "key", "copies", F.explode("entities").alias("entity"))
     known = each.groupBy("entity").agg(F.sum("copies").alias("n_entity"))
@@ -190,7 +190,7 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, generalise: float = 0.8)
 
     same = F.col("id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("of_key"))
     chance = share(F.least("n_term", "n_entity")) >= generalise
-    pairs = materialize(words.join(each.hint("merge"), same & chance).drop("of", "of_key"), "pairs")
+    pairs = scratch.put(words.join(each.hint("merge"), same & chance).drop("of", "of_key"), "pairs")
     joint = pairs.groupBy("entity", "term").agg(F.sum("copies").alias("n_both"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term"))
     joint = joint.select("entity", "term", share(F.col("n_both")).alias("share")).where(F.col("share") >= generalise)
     told = pairs.select("id", "key", "entity", "term", "at").join(joint.hint("merge"), ["entity", "term"])
@@ -218,7 +218,8 @@ def find_spans(docs: DataFrame, generalise: float = 0.8) -> DataFrame:
         ),
         "found",
     )
-    told = materialize(disclosing_terms(docs, found, generalise), "told")
+    with Scratch(docs.sparkSession) as scratch:
+        told = materialize(disclosing_terms(scratch, docs, found, generalise), "told")
     terms = told.select("id", "key", "share", F.explode("at").alias("x")).select("id", "key", "x.start", "x.end", "share")
     terms = terms.groupBy("id", "key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "share"))).alias("terms"))
     same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key"))

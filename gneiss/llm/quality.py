@@ -134,7 +134,7 @@ def quality(docs: DataFrame, min_words: int = 20, most_repeat_percent: int = 30,
 def keep_good(docs: DataFrame, min_words: int = 20, most_repeat_percent: int = 30, upper: float = 0.75, fence: float = 3.0) -> DataFrame:
     """The input's rows and columns less the rows that ``quality`` would reject; texts are measured twice and never shuffled."""
     fences = thresholds(measured(docs.select("text", "lang", "source")).drop("text"), min_words, most_repeat_percent, upper, fence)
-    fences = materialize(fences, "fences")
+    fences = materialize(fences, "fences")  # one row a group
     return _judged(measured(docs), fences, min_words, most_repeat_percent).where(F.col("__q_reason") == "").select(*docs.columns)
 
 
