@@ -10,17 +10,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gneiss.llm import linededup, packing, pii, quality, setsketch
-from gneiss.llm.common import materialize, table
+from gneiss.llm.common import delete_path, materialize, new_path, table
 from gneiss.llm.queries import tokenizer_path
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go: base rules, then fences of their language and source.
+
+    Null texts have no words and go; null languages and sources are groups of their own; repeated rows are judged alike;
+    further columns stay.
+    """
     return quality.keep_good(docs)
 
 
 def without_frequent_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in ten documents or more go from all documents."""
+    """Lines found in ten documents or more go from all documents; each row is a document.
+
+    Null texts stay null, empty lines stay, no row goes; further columns stay, n_chars follows the text.
+    """
     return linededup.drop_lines(docs)
 
 
@@ -34,12 +41,12 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data and the terms that disclose it are replaced."""
+    """Personal data and the terms that disclose it are replaced; null texts stay null, no row goes, further columns stay."""
     return pii.sanitise(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' tokens in sequences."""
+    """The documents' tokens in sequences; a null text is one end token, repeated rows are packed as often as they stand there."""
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
 
 
@@ -56,10 +63,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the documents of ``sf_dir``; a stage's table goes when the next one's is written."""
+    docs, paths = table(spark, sf_dir, "documents"), []
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = materialize(docs, name)
+            paths.append(new_path(spark, name))
+            docs = materialize(docs, name, paths[-1])
+            for path in paths[:-1]:
+                delete_path(spark, path)
+            del paths[:-1]
     return docs
