@@ -157,7 +157,7 @@ def frequent_lines(docs: DataFrame, min_docs: int, min_chars: int, batches: int,
     return keys.select("doc_id", "key"), frequent
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 9, fanout: int = 3) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 2) -> DataFrame:
     """Drops every line whose key stands in at least ``min_docs`` documents, in all documents.
 
     Returns doc_id, n_lines, n_dropped, kept_text: one row per input row. A null text is one empty
@@ -176,7 +176,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches
     )
 
 
-def drop_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 9, fanout: int = 3) -> DataFrame:
+def drop_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 2) -> DataFrame:
     """The input's columns, with the kept lines in ``text`` and its length in ``n_chars`` where that column exists; null texts stay null."""
     names = docs.columns
 
