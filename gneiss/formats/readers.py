@@ -138,7 +138,7 @@ def ar(data: bytes) -> Iterator[Entry]:
             else:
                 name = name.removesuffix(b"/")
             number = lambda a, n, base=10, at=at: int(data[at + a : at + a + n].strip() or b"0", base)
-            yield Entry(name.decode("utf-8", "surrogateescape"), "regular", body, number(40, 8, 8), number(28, 6), number(34, 6), number(16, 12))
+            yield Entry(name.decode("utf-8", "surrogateescape"), "regular", body, number(40, 8, 8) & 0o7777, number(28, 6), number(34, 6), number(16, 12))
         at += 60 + size + size % 2
 
 
@@ -334,16 +334,21 @@ def fat(data: bytes) -> Iterator[Entry]:
 
     def walk(raw, base, depth=0):
         long: dict[int, str] = {}
+        lost: list[str] = []  # parts of deleted long names: their numbers are gone, their order, last part first, is not
         for at in range(0, len(raw) - 31, 32):
             e = raw[at : at + 32]
             if e[0] == 0:
                 break
             if e[11] == 0x0F:
+                part = (e[1:11] + e[14:26] + e[28:32]).decode("utf-16-le", "replace").split("\0")[0].rstrip("￿")
                 if e[0] != 0xE5:
-                    long[e[0] & 0x1F] = (e[1:11] + e[14:26] + e[28:32]).decode("utf-16-le", "replace").split("\0")[0].rstrip("￿")
+                    long[e[0] & 0x1F] = part
+                else:
+                    lost.insert(0, part)
                 continue
-            name, gone = "".join(long[k] for k in sorted(long)), e[0] == 0xE5
-            long = {}
+            gone = e[0] == 0xE5
+            name = "".join(lost if gone else (long[k] for k in sorted(long)))
+            long, lost = {}, []
             if e[11] & 8:
                 continue
             stem, tail = (b"_" + e[1:8] if gone else e[:8]).decode("cp437").rstrip(), e[8:11].decode("cp437").rstrip()
