@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tomllib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -67,29 +68,30 @@ def overlap(signatures: list[Signature]) -> int:
     return max(len(s.magic) for s in signatures) - 1
 
 
+def places(data: bytes, magic: bytes, end: int | None = None) -> Iterator[int]:
+    """All places of a magic that start before ``end``, overlapping ones too, at the speed of a byte search."""
+    stop = len(data) if end is None else min(len(data), end + len(magic) - 1)
+    at = data.find(magic, 0, stop)
+    while at >= 0:
+        yield at
+        at = data.find(magic, at + 1, stop)
+
+
 def magic_hits(chunks: DataFrame, signatures: list[Signature]) -> DataFrame:
     """(source_id, signature, offset): all places of all magics in chunks (source_id, chunk_off, core_len, content).
 
     A hit belongs to the chunk in whose core its magic starts, so overlaps count none twice. The
     offset is where the structure starts; negative ones and misaligned ones are dropped.
     """
-    import re
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # one alternation finds the places of any magic at memory speed; look-ahead keeps overlapping ones
-        any_magic = re.compile(b"(?=" + b"|".join(sorted({re.escape(s.magic[:2]) for s in signatures})) + b")", re.DOTALL)
-        by_head: dict[bytes, list[Signature]] = {}
-        for s in signatures:
-            by_head.setdefault(s.magic[:2], []).append(s)
         for batch in batches:
             sources, names, offsets = [], [], []
             for source, base, core, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for m in any_magic.finditer(data):
-                    if m.start() >= core:
-                        break
-                    for s in by_head[data[m.start() : m.start() + 2]]:
-                        at = base + m.start() - s.magic_offset
-                        if at >= 0 and at % s.alignment == 0 and data.startswith(s.magic, m.start()):
+                for s in signatures:
+                    for place in places(data, s.magic, core):
+                        at = base + place - s.magic_offset
+                        if at >= 0 and at % s.alignment == 0:
                             sources.append(source)
                             names.append(s.name)
                             offsets.append(at)
@@ -98,41 +100,48 @@ def magic_hits(chunks: DataFrame, signatures: list[Signature]) -> DataFrame:
     return chunks.select("source_id", "chunk_off", "core_len", "content").mapInArrow(run, "source_id string, signature string, offset long")
 
 
+_FOUND = "image_id string, offset long, size long, confidence int, format string, category string, signature string, evidence string, attrs string, diagnostics string"
+
+
 def scan(blobs: DataFrame, signatures: list[Signature] | None = None, max_hits: int = MAX_HITS) -> DataFrame:
     """Findings of blobs (source_id, content), resolved: kept ones have a null owner, absorbed ones their owner's place.
 
     Blobs are rows of bounded size (binaryFile's limit is 2 GiB); larger images come as chunks through magic_hits.
-    Hits of one image are few, so resolving is one grouped task an image.
+    Hits of one image are few, so resolving is one grouped task an image. Of an image with more than ``max_hits`` finds
+    the first stay, and the last of them says scan-hit-limit.
     """
     signatures = signatures if signatures is not None else builtin()
-    named = {s.name: s for s in signatures}
-    schema = "image_id string, offset long, size long, confidence int, format string, category string, signature string, evidence string, attrs map<string,string>, diagnostics array<string>"
+    names = [x.split()[0] for x in _FOUND.split(", ")]
+    kinds = [{"string": pa.string(), "long": pa.int64(), "int": pa.int32()}[x.split()[1]] for x in _FOUND.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import re
-
         for batch in batches:
-            rows = []
             for source, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = []
-                for s in named.values():
-                    end = -1
-                    for m in re.finditer(b"(?=" + re.escape(s.magic) + b")", data):
-                        at = m.start() - s.magic_offset
-                        if at < 0 or at % s.alignment or at < end:
-                            continue
-                        f = validators.validate(s, data, at)
-                        if f is None:
-                            continue
-                        if f.confidence >= 85 and f.size and f.offset == at:
-                            end = at + f.size
-                        found.append((source, f.offset, f.size, f.confidence, f.format, s.category, s.name, validators.evidence(s, m.start()), list(f.attrs.items()), f.diagnostics))
-                found.sort(key=lambda x: (x[1], -x[3], -x[2], x[6], x[4]))
-                rows += found[:max_hits]
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 10
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [x.split()[0] for x in re.split(r", (?=\w+ )", schema)])
-
-    found = blobs.select("source_id", F.col("content").cast("binary")).mapInArrow(run, schema)
-    owners = intervals.resolve(found.select("image_id", "offset", "size", "confidence", "format", "category", "signature"))
-    return found.join(owners.select("image_id", "offset", "signature", "format", "place", "owner"), ["image_id", "offset", "signature", "format"])
+                found = findings_of(data or b"", signatures)
+                if len(found) > max_hits:
+                    found = found[:max_hits]
+                    found[-1][1].diagnostics.append("scan-hit-limit")
+                rows = [(source, f.offset, f.size, f.confidence, f.format, s.category, s.name, said, json.dumps(f.attrs), json.dumps(f.diagnostics)) for s, f, said in found]
+                columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+
+    found = blobs.select("source_id", F.col("content").cast("binary")).mapInArrow(run, _FOUND)
+    return intervals.resolve(found).withColumns({"attrs": F.from_json("attrs", "map<string,string>"), "diagnostics": F.from_json("diagnostics", "array<string>")})
+
+
+def findings_of(data: bytes, signatures: list[Signature]) -> list[tuple[Signature, validators.Finding, str]]:
+    """The validated hits of all signatures in an image, in the total order of finds, with the text of their evidence."""
+    found = []
+    for s in signatures:
+        end = -1
+        for place in places(data, s.magic):
+            at = place - s.magic_offset
+            if at < 0 or at % s.alignment or at < end:
+                continue
+            f = validators.validate(s, data, at)
+            if f is None:
+                continue
+            if f.confidence >= 85 and f.size and f.offset == at:
+                end = at + f.size
+            found.append((s, f, validators.evidence(s, place)))
+    return sorted(found, key=lambda x: (x[1].offset, -x[1].confidence, -x[1].size, x[0].name, x[1].format))

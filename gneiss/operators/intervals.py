@@ -64,12 +64,12 @@ def _tier(score: int) -> int:
     return sum(score >= x for x in (25, 60, 85, 99))
 
 
-def covered_starts(hits: DataFrame, by: list[str]) -> DataFrame:
+def covered_starts(hits: DataFrame, by: list[str], order: list[str] = ("offset",)) -> DataFrame:
     """Drops hits that start inside the last accepted one of their group with a tier from consistent on; acceptance feeds back."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         keep, end = [], -1
-        pdf = pdf.sort_values("offset")
+        pdf = pdf.sort_values(list(order))
         for at, size, score in pdf[["offset", "size", "confidence"]].itertuples(index=False):
             keep.append(at >= end)
             if keep[-1] and score >= 85 and size > 0:

@@ -1 +1,594 @@
-"""Queries of the evidence graph, of records and of the survey, over the relational tables."""
+"""Queries of the evidence graph, of rules, records, versions and the survey, over the relational tables."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from gneiss.formats import builders
+from gneiss.functions import entropy, hashing, text
+from gneiss.operators import diff, discovery, graph, intervals, records, rules, survey, versions
+from gneiss.plans.registry import _BYTES, _items, _t, query
+
+_s = lambda c: F.col(c).cast("string")
+
+
+def _pick(values: list, key) -> F.Column:
+    """The value that a number chooses from a list, in turn."""
+    return F.element_at(F.array(*(F.lit(v) for v in values)), (F.pmod(key, F.lit(len(values))) + 1).cast("int"))
+
+
+def _pick_sql(values: list, key: str) -> str:
+    return f"([{', '.join('NULL' if v is None else repr(v) for v in values)}])[({key}) % {len(values)} + 1]"
+
+
+# --- partition tables -----------------------------------------------------------------------------
+
+_ROLES = ["gpt-primary", "gpt-backup", "mbr-primary", "gpt-primary"]
+
+
+@query(f"""WITH f AS (SELECT o_custkey AS image_id, o_orderkey AS place, {_pick_sql(_ROLES, "o_orderkey")} AS role, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE 'g' || o_orderkey % 2 END AS disk_guid FROM orders WHERE o_orderstatus <> 'P'),
+t AS (SELECT *, CASE WHEN role LIKE 'gpt%' AND disk_guid <> '' THEN row_number() OVER (PARTITION BY image_id, disk_guid, role ORDER BY place) END AS turn FROM f),
+p AS (SELECT t.image_id, t.place, t.role, b.place AS backup FROM t LEFT JOIN t b ON b.image_id = t.image_id AND b.disk_guid = t.disk_guid AND b.turn = t.turn AND b.role = 'gpt-backup' WHERE t.role = 'gpt-primary')
+FROM p UNION ALL SELECT image_id, place, role, NULL FROM t WHERE role <> 'gpt-primary' AND (image_id, place) NOT IN (SELECT image_id, backup FROM p WHERE backup IS NOT NULL)""")
+def choose_tables(spark, d):
+    k = F.col("o_orderkey")
+    role = _pick(_ROLES, k)
+    guid = F.when(k % 5 == 0, "").otherwise(F.concat(F.lit("g"), (k % 2).cast("string")))
+    f = _t(spark, d, "orders").select(
+        F.col("o_custkey").alias("image_id"), k.alias("place"), F.when(role.startswith("gpt"), "gpt").otherwise("mbr").alias("format"),
+        F.when(F.col("o_orderstatus") != "P", "partition-table").otherwise("filesystem").alias("category"), role.alias("role"), guid.alias("disk_guid"),
+    )
+    return graph.choose_tables(f).select("image_id", "place", "role", "backup")
+
+
+_SECTORS = [512, 4096, 0, None]
+
+
+@query(f"""WITH x AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'mbr' ELSE 'gpt' END AS format, CASE WHEN p_size % 7 = 0 THEN 0 ELSE p_size * 700 END AS size,
+ coalesce({_pick_sql(_SECTORS, "p_partkey")}, 512) AS s, p_size * 128 AS a FROM part),
+c AS (SELECT *, CASE WHEN format = 'mbr' THEN 512 WHEN s > 0 THEN ((a + s - 1) // s) * s + 2 * s ELSE a + 1024 END AS claim FROM x)
+SELECT p_partkey, (CASE WHEN size > 0 THEN least(claim, size) ELSE claim END)::BIGINT AS claim FROM c""")
+def table_claims(spark, d):
+    k, n = F.col("p_partkey"), F.col("p_size").cast("long")
+    size = F.when(n % 7 == 0, 0).otherwise(n * 700).cast("long")
+    claim = graph.table_bytes(F.when(k % 3 == 0, "mbr").otherwise("gpt"), size, _pick(_SECTORS, k), n, F.lit(128))
+    return _t(spark, d, "part").select("p_partkey", claim.alias("claim"))
+
+
+@query("""WITH e AS (SELECT o_custkey AS image_id, (o_orderkey + 1) * 1000 AS start, 500 + o_orderkey * 7 % 700 AS size FROM orders),
+r AS (SELECT image_id, 1 AS place, start, size, false AS protective, false AS nested FROM e
+ UNION ALL SELECT DISTINCT image_id, 0, 512, 900000000, true, false FROM e UNION ALL SELECT image_id, 2, 4096, 512, false, true FROM e GROUP BY image_id)
+SELECT image_id, place::BIGINT AS place, start::BIGINT AS start, (CASE WHEN start >= 2000000 THEN 0 ELSE least(size, 2000000 - start) END)::BIGINT AS length, protective, nested, start >= 2000000 AS outside FROM r""")
+def partition_map(spark, d):
+    """A new table with an entry per order, the old one that shields it, and a table within the first entry, which describes another disk."""
+    e = _t(spark, d, "orders").select(F.col("o_custkey").alias("image_id"), ((F.col("o_orderkey") + 1) * 1000).alias("start"), (500 + F.col("o_orderkey") * 7 % 700).alias("size"))
+    item = F.concat_ws(":", F.lit("1"), _s("start"), _s("size"), F.lit("linux"))
+    own = e.groupBy("image_id").agg(F.array_join(F.collect_list(item), ";").alias("partitions"), (F.min("start") + 1).alias("inside"))
+    table = lambda place, offset, format_, partitions: own.select("image_id", F.lit(place).cast("long").alias("place"), offset.cast("long").alias("offset"), F.lit(format_).alias("format"), partitions.alias("partitions"), F.lit(2_000_000).cast("long").alias("image_size"))
+    tables = table(0, F.lit(0), "mbr", F.lit("1:512:900000000:0xee")).unionByName(table(1, F.lit(512), "gpt", F.col("partitions"))).unionByName(table(2, F.col("inside"), "mbr", F.lit("1:4096:512:0x83;bad:1:2:3")))
+    return graph.table_entries(tables).select("image_id", "place", "start", "length", "protective", "nested", "outside")
+
+
+@query("""WITH g AS (SELECT o_custkey AS image, unnest(range(o_orderkey * 10, o_orderkey * 10 + 8)) AS x FROM orders),
+c AS (SELECT DISTINCT o_custkey AS image, unnest(range(l_orderkey * 10 + l_linenumber, l_orderkey * 10 + l_linenumber + l_quantity::BIGINT % 4)) AS x FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+f AS (SELECT g.* FROM g ANTI JOIN c USING (image, x)),
+n AS (SELECT image, x, x - row_number() OVER (PARTITION BY image ORDER BY x) AS part FROM f)
+SELECT image, min(x) AS gap_off, max(x) + 1 AS gap_end FROM n GROUP BY image, part""")
+def subtract_claims(spark, d):
+    orders = _t(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("image"))
+    gaps = orders.select("image", (F.col("o_orderkey") * 10).alias("gap_off"), (F.col("o_orderkey") * 10 + 8).alias("gap_end"))
+    at = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    claims = _t(spark, d, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("image", at.alias("off"), (at + F.col("l_quantity").cast("long") % 4).alias("stop"))
+    return graph.subtract_claims(gaps, claims, ["image"])
+
+
+@query("""WITH s AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R')
+SELECT ps.p_partkey AS image_id, ps.start, ps.length FROM (SELECT p_partkey, unnest(range(1, 11)) AS start, p_size AS length, p_size % 3 AS fill FROM part) ps
+ANTI JOIN s ON s.l_partkey = ps.p_partkey AND s.l_suppkey = ps.start WHERE length > 0 AND fill <> 0""")
+def partitions_to_rescan(spark, d):
+    """Partitions that no find starts and whose head is not one byte repeated."""
+    parts = _t(spark, d, "part").select(F.col("p_partkey").alias("image_id"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(10).cast("long"))).alias("start"), F.col("p_size").alias("length"), F.when(F.col("p_size") % 3 == 0, F.unhex(F.lit("ffffffff"))).otherwise(F.unhex(F.lit("ff00ff"))).alias("head"))
+    found = _t(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("image_id"), F.col("l_suppkey").alias("offset"))
+    return graph.to_rescan(parts, found).select("image_id", "start", "length")
+
+
+_REGION = "CASE doc_id % 4 WHEN 1 THEN repeat('A', 300 + doc_id) WHEN 2 THEN repeat(chr(32), 4) ELSE coalesce(text, '') END"
+
+
+@query(f"""WITH x AS (SELECT doc_id, {_REGION} AS text FROM documents), {_BYTES.strip().replace('FROM documents', 'FROM x')},
+e AS (SELECT doc_id, w, -sum((n / t) * log2(n / t)) AS e FROM c JOIN (SELECT doc_id, w, sum(n) AS t FROM c GROUP BY ALL) USING (doc_id, w) GROUP BY ALL), m AS (SELECT doc_id, avg(e) AS mean FROM e GROUP BY ALL),
+p AS (SELECT doc_id, v, sum(n) AS n FROM c GROUP BY ALL),
+s AS (SELECT doc_id, sum(n) AS t, count(*) AS kinds, max(v) AS v, sum(CASE WHEN v BETWEEN 32 AND 126 OR v IN (9, 10, 13) THEN n ELSE 0 END) AS pr FROM p GROUP BY ALL)
+SELECT doc_id, CASE WHEN kinds = 1 THEN '0x' || lower(hex(v::BIGINT)) END AS fill,
+ CASE WHEN kinds = 1 THEN 'erased' WHEN t < 256 THEN NULL WHEN mean < 1.5 THEN 'sparse' WHEN pr / t >= 0.85 THEN 'text' WHEN mean < 7.2 THEN 'binary' ELSE 'packed' END AS class
+FROM x LEFT JOIN m USING (doc_id) LEFT JOIN s USING (doc_id)""")
+def gap_description(spark, d):
+    """What regions look like that no signature matched: text, one byte repeated, and too little to say."""
+    k = F.col("doc_id")
+    content = F.when(k % 4 == 1, F.repeat(F.lit("A"), (300 + k).cast("int"))).when(k % 4 == 2, F.repeat(F.lit(" "), F.lit(4))).otherwise(F.coalesce("text", F.lit("")))
+    rows = _t(spark, d, "documents").select("doc_id", graph.describe_gap(content.cast("binary")).alias("g"))
+    return rows.select("doc_id", "g.fill", "g.class")
+
+
+# --- nodes ----------------------------------------------------------------------------------------
+
+_CATEGORIES = ["partition-table", "filesystem", "container", "compressed", "crypto", "other"]
+
+
+@query(f"""WITH x AS (SELECT p_partkey, {_pick_sql(_CATEGORIES, "p_partkey")} AS category, CASE WHEN p_partkey % 11 = 0 THEN 'uimage' ELSE p_type END AS format FROM part)
+SELECT p_partkey AS image_id, CASE category WHEN 'partition-table' THEN 'partition' WHEN 'filesystem' THEN 'filesystem' WHEN 'container' THEN 'container' WHEN 'compressed' THEN 'container' ELSE CASE WHEN format = 'uimage' THEN 'container' ELSE 'region' END END AS kind,
+ CASE p_partkey % 3 WHEN 0 THEN p_brand WHEN 1 THEN p_name ELSE format END AS name, category, p_size::BIGINT AS length,
+ 'said; also-matched: ' || p_brand || ' (s) at 0x' || lower(hex(p_size::BIGINT)) || ' with confidence 25' AS diagnostics
+FROM x JOIN part USING (p_partkey)""")
+def finding_nodes(spark, d):
+    """Findings as nodes: kinds by category and format, names by the first attribute that is not empty."""
+    k = F.col("p_partkey")
+    attrs = F.create_map(F.lit("label"), F.when(k % 3 == 0, F.col("p_brand")).otherwise(""), F.lit("name"), F.when(k % 3 == 1, F.col("p_name")).otherwise(""), F.lit("category"), F.lit("old"))
+    also = F.array(F.struct(F.col("p_brand").alias("format"), F.lit("s").alias("signature"), F.col("p_size").cast("long").alias("offset"), F.lit(25).alias("confidence")))
+    f = _t(spark, d, "part").select(
+        k.alias("image_id"), F.lit(0).alias("offset"), F.col("p_size").cast("long").alias("size"), F.lit(60).alias("confidence"), F.when(k % 11 == 0, "uimage").otherwise(F.col("p_type")).alias("format"),
+        _pick(_CATEGORIES, k).alias("category"), F.lit("sig").alias("signature"), F.lit("e").alias("evidence"), attrs.alias("attrs"), F.array(F.lit("said")).alias("diagnostics"), also.alias("also"),
+    )
+    return graph.nodes_from_findings(f).select("image_id", "kind", "name", F.col("attrs")["category"].alias("category"), "length", F.array_join("diagnostics", "; ").alias("diagnostics"))
+
+
+@query("""WITH n AS (SELECT 'r' || r_regionkey AS key, NULL AS parent, r_regionkey::BIGINT % 2 AS c FROM region UNION ALL SELECT 's' || s_suppkey, 'r' || s_nationkey % 6, s_nationkey % 6 % 2 FROM supplier),
+i AS (SELECT *, format('n{:06d}', row_number() OVER (PARTITION BY c ORDER BY key)) AS id FROM n)
+SELECT i.c, i.key, i.id, p.id AS parent_id, i.parent IS NOT NULL AND p.id IS NULL AS parent_missing FROM i LEFT JOIN i p ON p.c = i.c AND p.key = i.parent""")
+def number_nodes(spark, d):
+    r = _t(spark, d, "region").select(F.concat(F.lit("r"), _s("r_regionkey")).alias("key"), F.lit(None).cast("string").alias("parent"), (F.col("r_regionkey").cast("long") % 2).alias("c"))
+    up = F.col("s_nationkey") % 6
+    s = _t(spark, d, "supplier").select(F.concat(F.lit("s"), _s("s_suppkey")).alias("key"), F.concat(F.lit("r"), up.cast("string")).alias("parent"), (up % 2).cast("long").alias("c"))
+    return graph.number_nodes(r.unionByName(s), ["c"], "key").select("c", "key", "id", "parent_id", "parent_missing")
+
+
+_ITEM = "l_orderkey * 10 + l_linenumber"
+
+
+@query(f"SELECT l_partkey, {_ITEM} AS ord, (row_number() OVER (PARTITION BY l_partkey ORDER BY l_quantity, l_returnflag = 'R', {_ITEM}) - 1)::INTEGER AS item FROM lineitem")
+def byte_order(spark, d):
+    x = _t(spark, d, "lineitem").select("l_partkey", F.col("l_quantity").alias("offset"), (F.col("l_returnflag") == "R").alias("is_gap"), F.expr(_ITEM).alias("ord"))
+    return graph.in_byte_order(x, ["l_partkey"]).select("l_partkey", "ord", "item")
+
+
+@query("""SELECT o_orderkey, coalesce(sum(o_orderkey % 5) OVER w, 0)::BIGINT AS files_before, coalesce(sum(o_orderkey % 977) OVER w, 0)::BIGINT AS bytes_before FROM orders
+WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+def budget_used_before(spark, d):
+    o = _t(spark, d, "orders").select("o_custkey", "o_orderkey", (F.col("o_orderkey") % 5).alias("n_files"), (F.col("o_orderkey") % 977).alias("n_bytes"))
+    return graph.used_before(o, ["o_custkey"], "o_orderkey").select("o_orderkey", "files_before", "bytes_before")
+
+
+_KINDS = ["partition", "filesystem", "container", "region"]
+_NODES = f"""SELECT c_custkey AS image_id, 'c' || c_custkey AS id, NULL AS parent_id, 'image' AS kind, '' AS format, 0 AS "offset", 9999 AS length, false AS is_table, false AS protective, false AS outside FROM customer
+UNION ALL SELECT o_custkey, 'o' || o_orderkey, 'c' || o_custkey, {_pick_sql(_KINDS, "o_orderkey")}, CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE 'f' END, o_orderkey % 100, o_orderkey * 7 % 500 * (o_orderkey % 3), o_orderkey % 8 = 4, o_orderkey % 16 = 8, false FROM orders
+UNION ALL SELECT o_custkey, 'l' || l_orderkey || '.' || l_linenumber, 'o' || l_orderkey, {_pick_sql(_KINDS[1:], "l_partkey")}, 'g', CASE WHEN l_linenumber % 2 = 0 THEN l_orderkey % 100 ELSE l_orderkey % 100 + 1 END, l_quantity::BIGINT, false, false, false FROM lineitem JOIN orders ON o_orderkey = l_orderkey"""
+
+
+@query(f"""WITH n AS ({_NODES}), r AS (SELECT n.*, p.kind AS pk, p.offset AS po FROM n LEFT JOIN n p ON p.image_id = n.image_id AND p.id = n.parent_id),
+m AS (SELECT *, kind = 'partition' AND NOT (is_table OR protective OR outside) AS entry, kind IN ('filesystem', 'container', 'region') AND format <> '' AS find FROM r),
+a AS (SELECT *, find AND coalesce(pk = 'partition' AND po = "offset", false) AS at_start FROM m),
+k AS (SELECT *, CASE WHEN entry OR (find AND (coalesce(pk = 'image', false) OR coalesce(pk = 'partition', false) AND NOT at_start)) THEN CASE WHEN length = 0 THEN 'unknown-size' WHEN length > 300 THEN 'too-large' ELSE 'carve' END WHEN at_start THEN 'in-parent' END AS action FROM a)
+SELECT k.image_id, k.id, k.action, CASE WHEN k.action = 'in-parent' THEN c.id END AS carved_in FROM k LEFT JOIN k c ON c.image_id = k.image_id AND c.id = k.parent_id AND c.action = 'carve' WHERE k.action IS NOT NULL""")
+def carve_plan(spark, d):
+    no = F.lit(False)
+    o = _t(spark, d, "orders")
+    k = F.col("o_orderkey")
+    shape = lambda df, *c: df.select(*(x.alias(n) for x, n in zip(c, ("image_id", "id", "parent_id", "kind", "format", "offset", "length", "is_table", "protective", "outside"), strict=True)))
+    top = shape(_t(spark, d, "customer"), F.col("c_custkey"), F.concat(F.lit("c"), _s("c_custkey")), F.lit(None).cast("string"), F.lit("image"), F.lit(""), F.lit(0).cast("long"), F.lit(9999).cast("long"), no, no, no)
+    mid = shape(o, F.col("o_custkey"), F.concat(F.lit("o"), k.cast("string")), F.concat(F.lit("c"), _s("o_custkey")), _pick(_KINDS, k), F.when(k % 7 == 0, "").otherwise("f"), k % 100, k * 7 % 500 * (k % 3), k % 8 == 4, k % 16 == 8, no)
+    l = _t(spark, d, "lineitem").join(o.select("o_orderkey", "o_custkey"), F.col("o_orderkey") == F.col("l_orderkey"))  # noqa: E741
+    low = shape(l, F.col("o_custkey"), F.concat(F.lit("l"), _s("l_orderkey"), F.lit("."), _s("l_linenumber")), F.concat(F.lit("o"), _s("l_orderkey")), _pick(_KINDS[1:], F.col("l_partkey")), F.lit("g"), F.col("l_orderkey") % 100 + (F.col("l_linenumber") % 2 != 0).cast("long"), F.col("l_quantity").cast("long"), no, no, no)
+    nodes = top.unionByName(mid).unionByName(low).withColumn("file_size", F.lit(None).cast("long"))
+    return graph.carve_plan(nodes, True, 300)
+
+
+_MOUNTED = ["ext3", "squashfs", "fat16", "ubifs", "zip", "jffs2", "qnx6", "ntfs", "gzip"]
+_TYPES = ["ext4", "squashfs", "vfat", None, None, None, "qnx6", "ntfs3", None]
+
+
+@query(f"""SELECT p_partkey, {_pick_sql(_MOUNTED, "p_partkey")} AS format, CASE WHEN {_pick_sql(_TYPES, "p_partkey")} IS NULL THEN 'flash' ELSE 'mount' END AS how, {_pick_sql(_TYPES, "p_partkey")} AS mount_type
+FROM part WHERE p_partkey % 9 NOT IN (4, 8)""")
+def mount_plan(spark, d):
+    return graph.mounts(_t(spark, d, "part").select("p_partkey", _pick(_MOUNTED, F.col("p_partkey")).alias("format")))
+
+
+# --- findings -------------------------------------------------------------------------------------
+
+_TOML = """
+[[signature]]
+name = "div"
+format = "html-div"
+category = "other"
+magic = "<div"
+alignment = 4
+validator = "none of ours"
+
+[[signature]]
+name = "para"
+format = "html-p"
+category = "container"
+hex = "3c 70 3e"
+"""
+_PLACES = """SELECT page_id, '{0}' AS name, unnest(list_transform(range(1, len(string_split(html, '{1}'))), lambda k: list_sum(list_transform(list_slice(string_split(html, '{1}'), 1, k), lambda x: strlen(x))) + (k - 1) * {2}))::BIGINT AS "offset" FROM pages WHERE contains(html, '{1}')"""
+
+
+@query(f"""WITH h AS ({_PLACES.format("div", "<div", 4)} UNION ALL {_PLACES.format("para", "<p>", 3)})
+SELECT page_id, name AS signature, "offset", 25::INTEGER AS confidence, 'magic "' || CASE name WHEN 'div' THEN '<div' ELSE '<p>' END || '" at 0x' || lower(hex("offset")) AS evidence,
+ CASE name WHEN 'div' THEN 'validator-missing' ELSE '' END AS diagnostics FROM h WHERE name = 'para' OR "offset" % 4 = 0""")
+def signature_scan(spark, d):
+    """A user's signatures: one with alignment and a validator that doesn't exist, one in hex."""
+    found = discovery.scan(_t(spark, d, "pages").select(_s("page_id").alias("source_id"), F.col("html").cast("binary").alias("content")), discovery.load_toml(_TOML))
+    return found.where("owner IS NULL").select(F.col("image_id").cast("long").alias("page_id"), "signature", "offset", "confidence", "evidence", F.array_join("diagnostics", ",").alias("diagnostics"))
+
+
+@query("""WITH RECURSIVE h AS (SELECT o_custkey AS g, o_orderkey AS k, o_orderkey % 4000 AS "offset", o_orderkey % 700 AS size, CASE WHEN o_orderkey % 3 = 0 THEN 60 ELSE 85 END AS confidence FROM orders),
+n AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY "offset", k) AS r FROM h),
+w AS (SELECT g, k, "offset", r, true AS keep, CASE WHEN confidence >= 85 AND size > 0 THEN "offset" + size ELSE -1 END AS stop FROM n WHERE r = 1
+ UNION ALL SELECT n.g, n.k, n.offset, n.r, n.offset >= w.stop, CASE WHEN n.offset >= w.stop AND n.confidence >= 85 AND n.size > 0 THEN n.offset + n.size ELSE w.stop END FROM w JOIN n ON n.g = w.g AND n.r = w.r + 1)
+SELECT g, k, "offset" FROM w WHERE keep""")
+def covered_starts(spark, d):
+    k = F.col("o_orderkey")
+    h = _t(spark, d, "orders").select(F.col("o_custkey").alias("g"), k.alias("k"), (k % 4000).alias("offset"), (k % 700).alias("size"), F.when(k % 3 == 0, 60).otherwise(85).alias("confidence"))
+    return intervals.covered_starts(h, ["g"], ["offset", "k"]).select("g", "k", "offset")
+
+
+@query("""SELECT l_orderkey, l_linenumber, c.off::BIGINT AS off, c.len::BIGINT AS len FROM (SELECT l_orderkey, l_linenumber, unnest([{off: l_partkey, len: l_quantity::BIGINT}, {off: l_suppkey, len: l_linenumber % 3}]) AS c FROM lineitem) WHERE c.len > 0""")
+def also_covers(spark, d):
+    said = F.concat_ws(";", F.concat_ws(":", _s("l_partkey"), F.col("l_quantity").cast("long").cast("string")), F.lit("x:y"), F.concat_ws(":", _s("l_suppkey"), (F.col("l_linenumber") % 3).cast("string")), F.lit(""))
+    return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.explode(intervals.parse_covers(said)).alias("c")).select("l_orderkey", "l_linenumber", "c.off", "c.len")
+
+
+# --- digests, versions, names ---------------------------------------------------------------------
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'no recorded hash' WHEN doc_id % 7 = 1 THEN 'missing' WHEN doc_id % 7 = 2 THEN 'unreadable' WHEN doc_id % 7 = 3 THEN 'MISMATCH' ELSE 'verified' END AS state FROM documents""")
+def verify_digests(spark, d):
+    k = F.col("doc_id") % 7
+    docs = _t(spark, d, "documents").select(_s("doc_id").alias("path"), "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
+    recorded = docs.select("path", F.when(k != 0, F.col("sha256")).alias("sha256"))
+    live = docs.where(k != 1).select("path", F.when(k == 3, F.sha2(F.concat("sha256", F.lit("!")), 256)).otherwise(F.col("sha256")).alias("sha256"), (k != 2).alias("readable"))
+    return hashing.verify(recorded, live).select(F.col("path").cast("long").alias("doc_id"), "state")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'added' WHEN o_orderkey % 3 = 1 THEN 'removed' END AS state FROM orders WHERE o_orderkey % 3 < 2
+UNION ALL SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN 'changed' ELSE 'same' END FROM orders WHERE o_orderkey % 3 = 2""")
+def snapshot_diff(spark, d):
+    o = _t(spark, d, "orders").select("o_orderkey", "o_orderstatus", F.col("o_orderpriority").alias("v"))
+    return versions.snapshot_diff(o.where("o_orderkey % 3 <> 0"), o.where("o_orderkey % 3 <> 1").withColumn("v", F.when(F.col("o_orderstatus") == "O", F.lit("new")).otherwise(F.col("v"))), ["o_orderkey"], "v")
+
+
+@query(f"""WITH e AS (SELECT l_partkey AS parent, l_returnflag AS name, CASE WHEN l_orderkey % 3 = 0 THEN 0 ELSE l_orderkey END AS inode, {_ITEM} AS version FROM lineitem),
+n AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY parent, name ORDER BY version DESC) = 1)
+SELECT parent, name, inode, CASE WHEN name = 'A' THEN 'lost+found/#' || inode ELSE name END AS shown FROM n WHERE inode <> 0""")
+def live_names(spark, d):
+    """Names of the newest entries, unlinked ones left out; those without a name stand under lost+found."""
+    e = _t(spark, d, "lineitem").select(F.col("l_partkey").alias("parent"), F.col("l_returnflag").alias("name"), F.when(F.col("l_orderkey") % 3 == 0, 0).otherwise(F.col("l_orderkey")).alias("inode"), F.expr(_ITEM).alias("version"))
+    return versions.names(e).select("parent", "name", "inode", versions.orphan_name(F.when(F.col("name") != "A", F.col("name")), F.col("inode")).alias("shown"))
+
+
+# --- rules ----------------------------------------------------------------------------------------
+
+_PACK = r"""
+pack: kinds
+version: 1
+rules:
+  - {id: the, kind: literal, pattern: "the ", category: words, severity: low}
+  - {id: any-byte, kind: hex, pattern: "6e ?? 74", category: words, severity: info}
+  - {id: year, kind: regex, pattern: "(19|20)[0-9]{2}", category: numbers, severity: medium}
+  - {id: seven, kind: glob-path, pattern: "docs/**/*7", category: paths, severity: high}
+  - {id: nowhere, kind: literal, pattern: "not in any text", category: words, severity: critical}
+  - {id: regions, kind: literal, pattern: "the ", category: words, severity: low, scope: [regions]}
+"""
+
+
+@query("""WITH h AS (SELECT doc_id, 'the' AS rule, len(regexp_extract_all(text, 'the ')) AS n FROM documents UNION ALL SELECT doc_id, 'year', len(regexp_extract_all(text, '(19|20)[0-9]{2}')) FROM documents
+ UNION ALL SELECT doc_id, 'seven', 1 FROM documents WHERE doc_id % 10 = 7)
+SELECT doc_id, rule, n::BIGINT AS n FROM h WHERE n > 0""")
+def rule_kinds(spark, d):
+    """Literals, regular expressions and path globs of a pack, in files only; hex is in rule_hex."""
+    items = _items(spark, d).withColumn("path", F.concat(F.lit("docs/a/"), F.col("path")))
+    chosen = [r for r in rules.parse_pack(_PACK) if r.id != "any-byte"]
+    hits = rules.sweep(items, chosen, None, None, None)
+    return hits.groupBy(F.col("item").alias("doc_id"), "rule").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT doc_id, n::BIGINT AS n FROM (SELECT doc_id, len(regexp_extract_all(text, 'n[\\x00-\\x7F]t')) AS n FROM documents) WHERE n > 0""")
+def rule_hex(spark, d):
+    """Bytes in hexadecimal digits with any one byte between them."""
+    hits = rules.sweep(_items(spark, d), [r for r in rules.parse_pack(_PACK) if r.id == "any-byte"], None, None, None)
+    return hits.groupBy(F.col("item").alias("doc_id")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH h AS (SELECT doc_id, least(len(regexp_extract_all(text, 'the ')), 2) AS n FROM documents), w AS (SELECT *, coalesce(sum(n) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM h)
+SELECT doc_id, least(n, 150 - before)::BIGINT AS n FROM w WHERE n > 0 AND before < 150""")
+def sweep_caps(spark, d):
+    """The limits of an interactive scan: two hits a rule and item, 150 in all, in the order of the items."""
+    hits = rules.sweep(_items(spark, d), [r for r in rules.parse_pack(_PACK) if r.id == "the"], max_hits=150, per_rule=2)
+    return hits.groupBy(F.col("item").alias("doc_id")).agg(F.count("*").alias("n"))
+
+
+_VIN_SQL = " + ".join(f"{w} * (CASE WHEN v[{k + 1}] BETWEEN '0' AND '9' THEN v[{k + 1}]::INT ELSE ascii(v[{k + 1}]) - 64 END)" for k, w in enumerate(rules.VIN_WEIGHTS) if w)
+
+
+@query(f"""WITH x AS (SELECT p_partkey, upper(substr(md5(p_partkey::VARCHAR), 1, 17)) AS v FROM part)
+SELECT p_partkey, v AS vin FROM x WHERE v[9] = CASE WHEN ({_VIN_SQL}) % 11 = 10 THEN 'X' ELSE (({_VIN_SQL}) % 11)::VARCHAR END AND list_max(list_transform(list_distinct(string_split(v, '')), lambda c: len(list_filter(string_split(v, ''), lambda y: y = c)))) <= 8""")
+def vin_numbers(spark, d):
+    """Vehicle numbers whose check digit is right, of one made for each part."""
+    vin = F.upper(F.substring(F.md5(_s("p_partkey")), 1, 17))
+    items = _t(spark, d, "part").select(F.col("p_partkey").alias("item"), F.lit("n").alias("node"), F.lit("p").alias("path"), F.concat(F.lit("("), vin, F.lit(")")).cast("binary").alias("content"), F.lit(False).alias("region"))
+    rule = rules.Rule("vehicles", "vin", "ids", "regex", "[0-9A-Z]{17}", "vin-checksum", "low")
+    return rules.sweep(items, [rule], None, None, None).select(F.col("item").alias("p_partkey"), F.col("match").alias("vin"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 2 WHEN 0 THEN upper(substr(md5(p_partkey::VARCHAR), 1, 2)) ELSE substr(md5(p_partkey::VARCHAR), 1, 2) END || ':1a:2B:3c:4d:5e' AS mac FROM part WHERE p_partkey % 5 > 1""")
+def mac_addresses(spark, d):
+    """Addresses that are neither all zeros nor all ones, in either case of letters."""
+    k = F.col("p_partkey")
+    first = F.substring(F.md5(_s("p_partkey")), 1, 2)
+    mac = F.when(k % 5 == 0, "00:00:00:00:00:00").when(k % 5 == 1, F.when(k % 2 == 0, "ff:ff:ff:ff:ff:ff").otherwise("FF:FF:ff:ff:FF:ff")).otherwise(F.concat(F.when(k % 2 == 0, F.upper(first)).otherwise(first), F.lit(":1a:2B:3c:4d:5e")))
+    items = _t(spark, d, "part").select(k.alias("item"), F.lit("n").alias("node"), F.lit("p").alias("path"), mac.cast("binary").alias("content"), F.lit(False).alias("region"))
+    rule = rules.Rule("net", "mac", "ids", "regex", "(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}", "mac-not-broadcast", "low")
+    return rules.sweep(items, [rule], None, None, None).select(F.col("item").alias("p_partkey"), F.col("match").alias("mac"))
+
+
+@query("""SELECT doc_id, replace(m, chr(10), '\\n') AS match, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[a-z][.]\\n[A-Z][a-z]')) AS m FROM documents) GROUP BY ALL""")
+def quoted_matches(spark, d):
+    rule = rules.Rule("text", "break", "lines", "regex", r"[a-z][.]\n[A-Z][a-z]", None, "info")
+    hits = rules.sweep(_items(spark, d), [rule], None, None, None)
+    return hits.groupBy(F.col("item").alias("doc_id"), "match").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_linestatus = 'O' AND l_returnflag <> 'A' AND l_quantity > 5""")
+def swept_files(spark, d):
+    e = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_linestatus") == "O", "regular").otherwise("symlink").alias("kind"), (F.col("l_returnflag") != "A").alias("written"), F.greatest(F.col("l_quantity") - 5, F.lit(0)).alias("bytes"))
+    return rules.select_files(e).select("l_orderkey", "l_linenumber")
+
+
+_CLASSES = ["text", "erased", "random", "binary", None]
+
+
+@query(f"""SELECT p_partkey FROM part WHERE p_partkey % 3 <> 1 AND p_size > 2 AND p_type[1] < 'N' AND coalesce({_pick_sql(_CLASSES, "p_partkey")}, '') NOT IN ('erased', 'random')""")
+def swept_regions(spark, d):
+    k = F.col("p_partkey")
+    n = _t(spark, d, "part").select("p_partkey", F.when(k % 3 == 1, "file").otherwise("region").alias("kind"), F.struct((F.col("p_size") - 2).alias("length"), F.when(F.substring("p_type", 1, 1) < "N", "A-M").otherwise("N-Z").alias("source_id")).alias("location"), F.create_map(F.lit("entropy_class"), _pick(_CLASSES, k)).alias("attrs"))
+    return rules.select_regions(n, ["A-M"]).select("p_partkey")
+
+
+# --- survey ---------------------------------------------------------------------------------------
+
+_MARKS = [(p, r, k, w, g, path, strong) for g, (p, r, k, w, paths, strong) in enumerate(survey.MARKERS) for path in paths]
+_PATHS = sorted({m[5] for m in _MARKS})
+_MARKS_SQL = ", ".join(f"('{p}', {r}, '{k}', {w}, {g}, '{path}', {str(strong).lower()})" for p, r, k, w, g, path, strong in _MARKS)
+
+
+def _tree(spark, d) -> DataFrame:
+    """Each customer as a case whose entries are marker paths, one an order, as files or folders."""
+    k = F.col("o_orderkey")
+    return _t(spark, d, "orders").select(
+        F.col("o_custkey").alias("node"), k.alias("ord"), F.concat(F.when(k % 2 == 0, "/").otherwise(""), _pick(_PATHS, k)).alias("path"), F.when(k % 3 == 0, "directory").otherwise("regular").alias("kind"),
+        F.lit(None).cast("string").alias("link_target"), (k % 13 == 0).alias("deleted"), (k % 17 == 0).alias("superseded"),
+    )
+
+
+_TREE_SQL = f"""e AS (SELECT o_custkey AS node, o_orderkey AS ord, {_pick_sql(_PATHS, "o_orderkey")} AS path, CASE WHEN o_orderkey % 3 = 0 THEN 'directory' ELSE 'regular' END AS kind FROM orders WHERE o_orderkey % 13 <> 0 AND o_orderkey % 17 <> 0),
+i AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY node, path ORDER BY ord) = 1),
+dirs AS (SELECT node, path FROM i WHERE kind = 'directory' UNION SELECT node, array_to_string(list_slice(string_split(path, '/'), 1, k), '/') FROM (SELECT node, path, unnest(range(1, len(string_split(path, '/')))) AS k FROM i))"""
+
+
+@query(f"WITH {_TREE_SQL} SELECT node, path, kind, ord FROM i")
+def path_index(spark, d):
+    return survey.path_index(_tree(spark, d)).select("node", "path", "kind", "ord")
+
+
+@query(f"WITH {_TREE_SQL} SELECT node, path FROM dirs")
+def directories(spark, d):
+    return survey.directories(survey.path_index(_tree(spark, d)))
+
+
+@query(f"""WITH {_TREE_SQL}, m(platform, rk, what, weight, marker, path, strong) AS (VALUES {_MARKS_SQL}),
+th AS (SELECT node, path, 'file' AS what FROM i WHERE kind <> 'directory' UNION ALL SELECT node, path, 'dir' FROM dirs),
+h AS (SELECT DISTINCT node, platform, rk, marker, weight, strong FROM th JOIN m USING (path, what)),
+s AS (SELECT node, platform, rk, sum(CASE WHEN strong THEN weight ELSE 0 END) AS strong, sum(CASE WHEN strong THEN 0 ELSE weight END) AS support FROM h GROUP BY ALL)
+SELECT node, platform, (2 * strong + support)::BIGINT AS score FROM s WHERE strong > 0 QUALIFY row_number() OVER (PARTITION BY node ORDER BY rk DESC, 2 * strong + support DESC, list_position(['linux', 'android', 'qnx'], platform)) = 1""")
+def platforms(spark, d):
+    """Which system a case's tree is of, by weighted markers."""
+    return survey.best(survey.scores(survey.path_index(_tree(spark, d))), ["node"], list(survey.PLATFORMS)).select("node", "platform", "score")
+
+
+@query(f"""WITH n AS (SELECT c_nationkey AS node, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS k, count(*) OVER (PARTITION BY c_nationkey) AS total FROM customer)
+SELECT node, 'etc/c' || k AS path, CASE WHEN (k // 5 + 1) * 5 < total THEN 'etc/c' || (k // 5 + 1) * 5 END AS target FROM n WHERE k % 5 <> 0""")
+def symbolic_links(spark, d):
+    """Chains of relative links, each to the next entry, up to every fifth one, which is a file; the last chain of a case ends nowhere."""
+    from pyspark.sql import Window as W
+
+    k = F.row_number().over(W.partitionBy("c_nationkey").orderBy("c_custkey")) - 1
+    n = _t(spark, d, "customer").select(F.col("c_nationkey").alias("node"), k.alias("k"))
+    path = lambda x: F.concat(F.lit("etc/c"), x.cast("string"))
+    e = n.select("node", path(F.col("k")).alias("path"), F.when(F.col("k") % 5 == 0, "regular").otherwise("symlink").alias("kind"), F.when(F.col("k") % 5 != 0, F.concat(F.lit("../etc/./c"), (F.col("k") + 1).cast("string"))).alias("link_target"))
+    return survey.resolve_links(e)
+
+
+_HASHES = ["", "*", "!!", "x", "@S@abc", "$1$a$b", "$2y$10$z", "$5$a", "$6$a", "$y$j9T", "$zz$", "abcdefghijklm", "plain"]
+_HASH_KINDS = ["empty", "locked", "locked", "in-shadow", "qnx-strong", "md5", "bcrypt", "sha256", "sha512", "yescrypt", "crypt-other", "descrypt", "unrecognised"]
+
+
+@query(f"""SELECT c_nationkey AS node, c_name AS name, {_pick_sql(_HASH_KINDS, "c_custkey")} AS password FROM customer""")
+def account_files(spark, d):
+    line = F.concat_ws(":", F.col("c_name"), _pick(_HASHES, F.col("c_custkey")), _s("c_custkey"))
+    rows = _t(spark, d, "customer").groupBy(F.col("c_nationkey").alias("node")).agg(F.concat(F.lit("# accounts\n\n"), F.array_join(F.collect_list(line), "\n"), F.lit("\n:nameless:1")).alias("text"))
+    return survey.accounts(rows, "text", False)
+
+
+# --- records --------------------------------------------------------------------------------------
+
+
+def _files(spark, d, table: str, columns: list[str], build) -> DataFrame:
+    """Written files made from rows: ``build`` gives (path, content) for a row's values."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(str(r[0]), *build(*r)) for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            cols = list(zip(*rows, strict=True)) if rows else [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.binary()), strict=True)], ["node", "path", "content"])
+
+    made = _t(spark, d, table).select(*columns).mapInArrow(run, "node string, path string, content binary")
+    return made.select("*", F.lit(0).cast("long").alias("entry_ord"), F.lit("regular").alias("kind"), F.lit(False).alias("deleted"), F.lit(False).alias("superseded"), F.lit(True).alias("written"))
+
+
+_LICENSES = ["GPL", "GPL v2", "Proprietary", "Dual BSD/GPL", "MIT"]
+
+
+def _module(key: int, name: str, size: int) -> tuple[str, bytes]:
+    info = [f"license={_LICENSES[key % 5]}", f"description={name}", f"vermagic=5.{size}.{key % 3} SMP mod_unload", *(f"alias=a{k}" for k in range(key % 4)), "depends="]
+    return f"lib/modules/5.{size}.0/m{key}.ko", builders.elf32(b"\0".join(x.encode() for x in info) + b"\0")
+
+
+@query(f"""WITH x AS (SELECT p_partkey, p_size, p_name, 'lib/modules/5.' || p_size || '.0/m' || p_partkey || '.ko' AS path FROM part)
+SELECT p_partkey::VARCHAR AS node, path, CASE WHEN p_partkey % 3 = 0 THEN 'info' ELSE 'warning' END AS severity, 'm' || p_partkey AS identity, {_pick_sql(_LICENSES, "p_partkey")} AS license, p_name AS description,
+ CASE WHEN p_partkey % 4 > 0 THEN (p_partkey % 4)::VARCHAR END AS aliases, 'arm' AS arch,
+ concat_ws(',', CASE WHEN p_partkey % 5 = 2 THEN 'artifact-proprietary-module' END, CASE WHEN p_partkey % 3 > 0 THEN 'artifact-stale-module' END) AS codes FROM x""")
+def module_records(spark, d):
+    """Kernel modules: their own description, and what is said of licences and of other kernels' modules."""
+    found = records.examine(_files(spark, d, "part", ["p_partkey", "p_name", "p_size"], _module))
+    own = records.collect(found.where("extractor = 'kmodule'"), 1 << 30)
+    said = found.where("code IS NOT NULL").groupBy("node").agg(F.array_join(F.array_sort(F.collect_set("code")), ",").alias("codes"))
+    f = lambda k: F.col("fields")[k].alias(k)
+    return own.join(said, "node", "left").select("node", "path", "severity", "identity", f("license"), f("description"), f("aliases"), f("arch"), F.coalesce("codes", F.lit("")).alias("codes"))
+
+
+def _kernel(key: int, name: str, size: int) -> tuple[str, bytes]:
+    banner = f"Linux version {5 + key % 2}.{size}.{key % 7} ({name}) (gcc version {size}.1 (Build (x) {key})) #1 SMP\nmore" if key % 4 else f"Linux version of {name}"
+    return f"boot/vmlinuz-{key}", b"\0\1" + banner.encode()
+
+
+@query("""SELECT p_partkey::VARCHAR AS node, 'boot/vmlinuz-' || p_partkey AS path, (5 + p_partkey % 2) || '.' || p_size || '.' || p_partkey % 7 AS version, 'gcc version ' || p_size || '.1 (Build (x) ' || p_partkey || ')' AS compiler,
+ 'Linux version ' || (5 + p_partkey % 2) || '.' || p_size || '.' || p_partkey % 7 || ' (' || p_name || ') (gcc version ' || p_size || '.1 (Build (x) ' || p_partkey || ')) #1 SMP' AS banner FROM part WHERE p_partkey % 4 > 0""")
+def kernel_records(spark, d):
+    found = records.examine(_files(spark, d, "part", ["p_partkey", "p_name", "p_size"], _kernel)).where("kind = 'linux-kernel'")
+    return found.select("node", "path", *(F.col("fields")[k].alias(k) for k in ("version", "compiler", "banner")))
+
+
+def _tlv(tag: int, *parts: bytes) -> bytes:
+    body = b"".join(parts)
+    return bytes([tag]) + (bytes([len(body)]) if len(body) < 128 else b"\x82" + len(body).to_bytes(2, "big")) + body
+
+
+def _certificate(key: int, name: str, nation: int) -> tuple[str, bytes]:
+    """A certificate of the customer, of an RSA key of 1024 and more bits, some with dates the wrong way round."""
+    from base64 import encodebytes
+
+    rsa_oid, signed_oid = bytes.fromhex("06092a864886f70d010101"), bytes.fromhex("06092a864886f70d01010b")
+    who = _tlv(0x30, _tlv(0x31, _tlv(0x30, b"\x06\x03\x55\x04\x06", _tlv(12, f"N{nation}".encode()))), _tlv(0x31, _tlv(0x30, b"\x06\x03\x55\x04\x03", _tlv(12, name.encode()))))
+    root = _tlv(0x30, _tlv(0x31, _tlv(0x30, b"\x06\x03\x55\x04\x03", _tlv(12, b"root, of all"))))
+    number = lambda n: _tlv(2, n.to_bytes(n.bit_length() // 8 + 1, "big"))
+    subject_key = _tlv(0x30, _tlv(0x30, rsa_oid, b"\x05\0"), _tlv(3, b"\0", _tlv(0x30, number(1 << 1023 + key % 2000), number(65537))))
+    dates = _tlv(0x30, _tlv(0x17, b"200101000000Z"), _tlv(0x17, (b"190101000000Z" if key % 5 == 0 else b"300305000000Z")))
+    body = _tlv(0x30, _tlv(0xA0, number(2)), number(key), _tlv(0x30, signed_oid, b"\x05\0"), who if key % 3 == 0 else root, dates, who, subject_key)
+    der = _tlv(0x30, body, _tlv(0x30, signed_oid, b"\x05\0"), _tlv(3, b"\0sig"))
+    return f"etc/c{key}.pem", b"-----BEGIN CERTIFICATE-----\n" + encodebytes(der) + b"-----END CERTIFICATE-----\n"
+
+
+@query("""SELECT c_custkey::VARCHAR AS node, CASE WHEN c_custkey % 5 = 0 THEN 'warning' ELSE 'info' END AS severity, 'CN=' || c_name || ',C=N' || c_nationkey AS subject, CASE WHEN c_custkey % 3 = 0 THEN 'CN=' || c_name || ',C=N' || c_nationkey ELSE 'CN=root\\, of all' END AS issuer,
+ (1024 + c_custkey % 2000)::VARCHAR AS key_bits, CASE WHEN c_custkey % 5 = 0 THEN 'Jan  1 00:00:00 2019 GMT' ELSE 'Mar  5 00:00:00 2030 GMT' END AS not_after, CASE WHEN c_custkey % 3 = 0 THEN 'true' ELSE 'false' END AS self_signed, 'RSA-SHA256' AS signature FROM customer""")
+def certificate_records(spark, d):
+    found = records.examine(_files(spark, d, "customer", ["c_custkey", "c_name", "c_nationkey"], _certificate)).where("kind = 'certificate'")
+    return found.select("node", "severity", *(F.col("fields")[k].alias(k) for k in ("subject", "issuer", "key_bits", "not_after", "self_signed", "signature")))
+
+
+@query("""WITH s AS (SELECT l_partkey, l_returnflag AS t, count(*) AS n FROM lineitem GROUP BY ALL) SELECT l_partkey, string_agg(t || '=' || n, ',' ORDER BY t) AS symbol_types FROM s GROUP BY l_partkey""")
+def symbol_types(spark, d):
+    return records.symbol_types(_t(spark, d, "lineitem").select("l_partkey", F.col("l_returnflag").alias("type")), ["l_partkey"])
+
+
+@query("""SELECT o_custkey, o_orderkey, o_orderstatus FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey) = 1""")
+def first_of_group(spark, d):
+    return rules.first_per_group(_t(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus"), ["o_custkey", "o_orderstatus"], ["o_orderkey"])
+
+
+@query("""WITH a AS (SELECT c_mktsegment AS key, c_custkey % 10 AS v FROM customer) SELECT (SELECT count(*) FROM ((SELECT DISTINCT key, v FROM a WHERE v < 5) EXCEPT (SELECT DISTINCT key, v - 5 FROM a WHERE v >= 5))) + (SELECT count(*) FROM ((SELECT DISTINCT key, v - 5 FROM a WHERE v >= 5) EXCEPT (SELECT DISTINCT key, v FROM a WHERE v < 5))) = 0 AS identical""")
+def identical_cases(spark, d):
+    v = F.col("c_custkey") % 10
+    c = _t(spark, d, "customer")
+    side = lambda rows, value: rows.select(F.col("c_mktsegment").alias("key"), value.cast("string").alias("value"))
+    return diff.identical(diff.facts(side(c.where(v < 5), v), side(c.where(v >= 5), v - 5)))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN p_brand WHEN 2 THEN substr(repeat(p_name, 20), 1, 120) ELSE '' END AS label FROM part""")
+def record_labels(spark, d):
+    k = F.col("p_partkey") % 4
+    fields = F.create_map(F.lit("subject"), F.when(k == 0, F.col("p_name")).otherwise(""), F.lit("module"), F.when(k == 1, F.col("p_brand")).otherwise(""), F.lit("version"), F.when(k == 2, F.repeat("p_name", F.lit(20))).otherwise(""))
+    return _t(spark, d, "part").select("p_partkey", diff.label(fields).alias("label"))
+
+
+# --- text and numbers -----------------------------------------------------------------------------
+
+
+@query("""SELECT doc_id, replace(replace(replace(coalesce(text, ''), 'e', '\\x01'), 'a', '\\x1f'), 'n', chr(9)) AS clean FROM documents""")
+def sanitized_text(spark, d):
+    raw = F.translate(F.coalesce("text", F.lit("")), "ean", "\x01\x1f\t")
+    return _t(spark, d, "documents").select("doc_id", text.sanitize(raw.cast("binary")).alias("clean"))
+
+
+_NAMES = ["CON", "con.txt", "Console", "LPT9", "LPT10", "aux.tar.gz", "nul", "xnul", "COM0"]
+
+
+@query(f"""SELECT p_partkey, {_pick_sql(_NAMES, "p_partkey")} AS name, p_partkey % 9 IN (0, 1, 3, 5, 6) AS reserved FROM part""")
+def reserved_names(spark, d):
+    name = _pick(_NAMES, F.col("p_partkey"))
+    return _t(spark, d, "part").select("p_partkey", name.alias("name"), text.is_reserved_name(name).alias("reserved"))
+
+
+@query("""WITH h AS (SELECT o_orderkey, md5(o_orderkey::VARCHAR) AS h FROM orders)
+SELECT o_orderkey, ('0x' || substr(h, 3, 8))::BIGINT AS big, ('0x' || substr(h, 9, 2) || substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2))::BIGINT AS little, NULL::BIGINT AS beyond FROM h""")
+def endian_loads(spark, d):
+    raw = F.unhex(F.md5(_s("o_orderkey")))
+    return _t(spark, d, "orders").select("o_orderkey", text.big_endian(raw, 1, 4).alias("big"), text.little_endian(raw, 1, 4).alias("little"), text.little_endian(raw, 14, 4).alias("beyond"))
+
+
+@query("""SELECT o_orderkey, least(9223372036854775807::HUGEINT - 1000 + o_orderkey, 9223372036854775807::HUGEINT)::BIGINT AS total FROM orders""")
+def saturating_sums(spark, d):
+    return _t(spark, d, "orders").select("o_orderkey", text.saturating_add(F.lit((1 << 63) - 1 - 1000), F.col("o_orderkey")).alias("total"))
+
+
+_UNITS = ["KiB", "MiB", "GiB", "TiB"]
+
+
+@query(f"""WITH x AS (SELECT o_orderkey, (o_orderkey * 313) * {_pick_sql([1, 37, 70001, 90000001], "o_orderkey")} // 3 AS n FROM orders),
+t AS (SELECT *, CASE WHEN n >= 1099511627776 THEN 4 WHEN n >= 1073741824 THEN 3 WHEN n >= 1048576 THEN 2 WHEN n >= 1024 THEN 1 ELSE 0 END AS u FROM x),
+r AS (SELECT *, CASE WHEN u > 0 THEN (n::HUGEINT * 10 + (1::HUGEINT << (10 * u - 1))) // (1::HUGEINT << (10 * u)) END AS tenths FROM t)
+SELECT o_orderkey, CASE WHEN u = 0 THEN n || ' B' ELSE tenths // 10 || '.' || tenths % 10 || ' ' || (['KiB', 'MiB', 'GiB', 'TiB'])[u] END AS human, '0x' || lower(hex(n)) AS place FROM r""")
+def human_numbers(spark, d):
+    n = F.expr("bigint(o_orderkey * 313 * element_at(array(1L, 37L, 70001L, 90000001L), int(pmod(o_orderkey, 4) + 1)) div 3)")
+    return _t(spark, d, "orders").select("o_orderkey", text.human_bytes(n).alias("human"), text.hex_offset(n).alias("place"))
+
+
+@query("""SELECT event_id, strftime(to_timestamp(event_id * 86413)::TIMESTAMP, '%Y-%m-%dT%H:%M:%SZ') AS stamp, CASE WHEN event_id % 120 >= 99 THEN 'verified' WHEN event_id % 120 >= 85 THEN 'consistent' WHEN event_id % 120 >= 60 THEN 'structural' WHEN event_id % 120 >= 25 THEN 'magic' ELSE 'none' END AS tier FROM events""")
+def stamps_and_tiers(spark, d):
+    k = F.col("event_id")
+    return _t(spark, d, "events").select("event_id", text.iso8601(k * 86413).alias("stamp"), text.tier_name(k % 120).alias("tier"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN o_orderkey WHEN 1 THEN NULL WHEN 2 THEN NULL ELSE o_orderkey END::BIGINT AS n FROM orders""")
+def parsed_numbers(spark, d):
+    k = F.col("o_orderkey")
+    said = F.when(k % 4 == 0, k.cast("string")).when(k % 4 == 1, F.concat(F.lit("-"), k.cast("string"))).when(k % 4 == 2, F.concat(k.cast("string"), F.lit("000000000000000000000"))).otherwise(F.concat(F.lit("00"), k.cast("string")))
+    return _t(spark, d, "orders").select("o_orderkey", text.parse_u64(said).alias("n"))
+
+
+_OUT = ["a/b.txt", "/abs", "a//b", "a/./b", "../up", "c:\\x", "D:x", "", "ok", "a\\b"]
+
+
+@query(f"""SELECT p_partkey, p_partkey % 10 IN (0, 8) AS safe FROM part""")
+def safe_paths(spark, d):
+    return _t(spark, d, "part").select("p_partkey", text.safe_relative_path(_pick(_OUT, F.col("p_partkey"))).alias("safe"))
+
+
+@query(f"""WITH {_BYTES.strip()}, t AS (SELECT doc_id, w, sum(n) AS t FROM c GROUP BY ALL), e AS (SELECT doc_id, w, -sum((n / t) * log2(n / t)) + 0.0 AS e FROM c JOIN t USING (doc_id, w) GROUP BY ALL)
+SELECT doc_id, count(*)::BIGINT AS windows, round(min(e), 6) AS low, round(max(e), 6) AS high FROM e GROUP BY ALL""")
+def entropy_windows(spark, d):
+    p = _t(spark, d, "documents").where("text <> ''").select("doc_id", entropy.profile(F.col("text").cast("binary")).alias("p"))
+    return p.select("doc_id", "p.windows", F.round("p.low", 6).alias("low"), F.round("p.high", 6).alias("high"))
