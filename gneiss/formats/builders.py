@@ -603,7 +603,578 @@ def verity(blocks: int, block: int = 4096) -> bytes:
     return (b"verity\0\0" + struct.pack("<II", 1, 1) + bytes(16) + b"sha256".ljust(32, b"\0") + struct.pack("<IIQ", block, block, blocks)).ljust(512, b"\0")
 
 
-def qnx6_super(blocks: int, block: int = 1024) -> bytes:
-    body = struct.pack("<QII", 7, 0, 0) + bytes(8) + bytes(16) + struct.pack("<IIIII", block, 16, 8, blocks, 0)
-    body = body.ljust(504, b"\0")
-    return bytes(8192) + struct.pack("<II", 0x68191122, _crc_be(body)) + body
+# --- lzo, ucl, lzop -----------------------------------------------------------------------------
+
+
+def matches(raw: bytes, far: int, least: int = 4) -> list[tuple[bytes, int, int]]:
+    """(literals, distance, length) of a greedy parse by the last place of each ``least`` bytes; the last has no match."""
+    out, seen, at, done = [], {}, 0, 0
+    while at + least <= len(raw):
+        key = raw[at : at + least]
+        back = at - seen.get(key, at)
+        seen[key] = at
+        if 0 < back <= far:
+            n = least
+            while at + n < len(raw) and raw[at + n] == raw[at + n - back]:
+                n += 1
+            out.append((raw[done:at], back, n))
+            at += n
+            done = at
+        else:
+            at += 1
+    return [*out, (raw[done:], 0, 0)]
+
+
+def lzo1x(raw: bytes) -> bytes:
+    """An LZO1X block: literal runs, and matches within 16 KiB."""
+    out = bytearray()
+
+    def run_on(n: int) -> bytes:
+        """The bytes that carry a length on."""
+        return b"\0" * ((n - 1) // 255) + bytes([(n - 1) % 255 + 1])
+
+    def literals(part: bytes) -> None:
+        n = len(part)
+        if not out and 0 < n <= 238:
+            out.append(17 + n)
+        elif n <= 3:
+            out[-2] |= n  # in the low bits of the match before
+        else:
+            out.extend(bytes([n - 3]) if n <= 18 else b"\0" + run_on(n - 18))
+        out.extend(part)
+
+    for part, back, n in matches(raw, 16384):
+        if part:
+            literals(part)
+        if n:
+            out.extend(bytes([32 + n - 2]) if n - 2 <= 31 else b"\x20" + run_on(n - 2 - 31))
+            out.extend(struct.pack("<H", (back - 1) << 2))
+    return bytes(out) + b"\x11\0\0"
+
+
+def nrv2b(raw: bytes) -> bytes:
+    """An NRV2B block, bits in bytes, highest first."""
+    out, places = bytearray(), [0, 0]  # where the current byte of bits stands, and how many are free in it
+
+    def bit(x: int) -> None:
+        if not places[1]:
+            places[0], places[1] = len(out), 8
+            out.append(0)
+        places[1] -= 1
+        out[places[0]] |= x << places[1]
+
+    def number(n: int) -> None:
+        digits = bin(n)[3:]
+        for k, d in enumerate(digits):
+            bit(int(d))
+            bit(k + 1 == len(digits))
+
+    last = 1
+    for part, back, n in matches(raw, 0xD000):
+        for c in part:
+            bit(1)
+            out.append(c)
+        if n:
+            bit(0)
+            if back == last:
+                number(2)
+            else:
+                number((back - 1 >> 8) + 3)
+                out.append(back - 1 & 255)
+            last, rest = back, n - 1 - (back > 0xD00)
+            bit(0 if rest > 3 else rest >> 1)
+            bit(0 if rest > 3 else rest & 1)
+            if rest > 3:
+                number(rest - 2)
+    bit(0)
+    number(0x1000002)
+    return bytes(out) + b"\xff"
+
+
+def lzop(files: list[File], block: int = 65536) -> bytes:
+    """A member per file, with checksums of the plain bytes; blocks that don't shrink are stored."""
+    out = b""
+    for f in files:
+        name = f.name.encode()[:255]
+        head = struct.pack(">HHHBBIIIIB", 0x1040, 0x20A0, 0x0940, 1, 5, 0x1, f.mode | 0o100000, f.mtime, 0, len(name)) + name
+        out += b"\x89LZO\0\r\n\x1a\n" + head + struct.pack(">I", zlib.adler32(head))
+        for at in range(0, len(f.body), block):
+            part = f.body[at : at + block]
+            packed = min(part, lzo1x(part), key=len)  # equal lengths mean stored
+            out += struct.pack(">III", len(part), len(packed), zlib.adler32(part)) + packed
+        out += bytes(4)
+    return out
+
+
+# --- squashfs -----------------------------------------------------------------------------------
+
+
+def _squash(codec: str) -> Callable[[bytes], bytes]:
+    alone = [{"id": lzma.FILTER_LZMA1, "dict_size": 1 << 20}]
+    return {
+        "gzip": zlib.compress, "xz": lzma.compress, "lzma": lambda x: lzma.compress(x, lzma.FORMAT_ALONE, filters=alone), "lz4": lz4_block, "lzo": lzo1x, "zstd": zstd,
+    }[codec]
+
+
+def squashfs(files: list[File], codec: str = "gzip", block: int = 16384) -> bytes:
+    """SquashFS 4: whole blocks, tails in one fragment where they fit, tables in metadata blocks."""
+    press, tree = _squash(codec), folders(files)
+    body, tail, tails = bytearray(), bytearray(), []
+    fragments: list[tuple[int, int]] = []
+
+    def packed(part: bytes) -> tuple[bytes, int]:
+        small = press(part)
+        return (small, len(small)) if len(small) < len(part) else (part, len(part) | 1 << 24)
+
+    def flush() -> None:
+        if tail:
+            raw, size = packed(bytes(tail))
+            fragments.append((96 + len(body), size))
+            body.extend(raw)
+            tail.clear()
+
+    placed = {}
+    for f in files:
+        start, sizes = 96 + len(body), []
+        whole = len(f.body) // block * block
+        for at in range(0, whole, block):
+            part = f.body[at : at + block]
+            raw, size = packed(part) if any(part) else (b"", 0)
+            sizes.append(size)
+            body.extend(raw)
+        rest = f.body[whole:]
+        where = (0xFFFFFFFF, 0)
+        if rest:
+            if len(tail) + len(rest) > block:
+                flush()
+            where = (len(fragments), len(tail))
+            tail.extend(rest)
+        placed[f.name] = (start, where, sizes)
+    flush()
+
+    class Table:
+        """Records in metadata blocks; a place is (block's offset, offset in the block)."""
+
+        def __init__(self):
+            self.out, self.now = bytearray(), bytearray()
+
+        def place(self) -> tuple[int, int]:
+            return len(self.out), len(self.now)
+
+        def put(self, raw: bytes) -> None:
+            self.now.extend(raw)
+            while len(self.now) >= 8192:
+                self.cut(8192)
+
+        def cut(self, n: int) -> None:
+            part = bytes(self.now[:n])
+            del self.now[:n]
+            small = press(part)
+            raw, head = (small, len(small)) if len(small) < len(part) else (part, len(part) | 0x8000)
+            self.out.extend(struct.pack("<H", head) + raw)
+
+        def done(self) -> bytes:
+            if self.now:
+                self.cut(len(self.now))
+            return bytes(self.out)
+
+    owners = sorted({0, *(f.uid for f in files), *(f.gid for f in files)})
+    inodes, listings, number, refs = Table(), Table(), 0, {}
+    names = sorted(x for x in tree if x)
+    for f in sorted(files, key=lambda f: f.name):
+        start, (fragment, offset), sizes = placed[f.name]
+        number += 1
+        refs[f.name] = (*inodes.place(), number, 2)
+        inodes.put(struct.pack("<HHHHII", 2, f.mode, owners.index(f.uid), owners.index(f.gid), f.mtime, number) + struct.pack("<IIII", start, fragment, offset, len(f.body)) + struct.pack(f"<{len(sizes)}I", *sizes))
+
+    def listing(items: list[tuple[str, str]]) -> tuple[int, int, int]:
+        """Writes (name, key into refs) and returns where, and the size as inodes tell it."""
+        at, raw, run = listings.place(), b"", []
+
+        def flush_run() -> None:
+            nonlocal raw
+            if run:
+                block_at, base = refs[run[0][1]][0], refs[run[0][1]][2]
+                raw += struct.pack("<III", len(run) - 1, block_at, base)
+                for name, key in run:
+                    _, offset, own, kind = refs[key]
+                    raw += struct.pack("<HhHH", offset, own - base, kind, len(name.encode()) - 1) + name.encode()
+                run.clear()
+
+        for name, key in sorted(items):
+            if run and (refs[key][0] != refs[run[0][1]][0] or len(run) == 256 or abs(refs[key][2] - refs[run[0][1]][2]) > 30000):
+                flush_run()
+            run.append((name, key))
+        flush_run()
+        listings.put(raw)
+        return *at, len(raw) + 3
+
+    total = len(files) + len(names) + 1
+    for n in names:
+        at, offset, size = listing([(f.name.rpartition("/")[2], f.name) for f in tree[n]])
+        number += 1
+        refs[f"/{n}"] = (*inodes.place(), number, 1)
+        wide = size > 0xFFFF
+        head = struct.pack("<HHHHII", 8 if wide else 1, 0o755, owners.index(0), owners.index(0), 0, number)
+        inodes.put(head + (struct.pack("<IIIIHHI", 2, size, at, total, 0, offset, 0xFFFFFFFF) if wide else struct.pack("<IIHHI", at, 2, size, offset, total)))
+    at, offset, size = listing([(n, f"/{n}") for n in names] + [(f.name, f.name) for f in tree[""]])
+    number += 1
+    root = inodes.place()
+    wide = size > 0xFFFF
+    inodes.put(struct.pack("<HHHHII", 8 if wide else 1, 0o755, owners.index(0), owners.index(0), 0, number) + (struct.pack("<IIIIHHI", 2, size, at, total, 0, offset, 0xFFFFFFFF) if wide else struct.pack("<IIHHI", at, 2, size, offset, total)))
+
+    out = bytearray(96) + body
+    places = {}
+
+    def table(name: str, rows: list[bytes]) -> None:
+        width = len(rows[0]) if rows else 1
+        starts = []
+        for k in range(0, len(rows), 8192 // width):
+            part = b"".join(rows[k : k + 8192 // width])
+            starts.append(len(out))
+            out.extend(struct.pack("<H", len(part) | 0x8000) + part)
+        places[name] = len(out)
+        out.extend(struct.pack(f"<{len(starts)}Q", *starts))
+
+    places["inodes"] = len(out)
+    out += inodes.done()
+    places["listings"] = len(out)
+    out += listings.done()
+    table("fragments", [struct.pack("<QII", at, size, 0) for at, size in fragments])
+    table("owners", [struct.pack("<I", x) for x in owners])
+    none = 0xFFFFFFFFFFFFFFFF
+    codec_number = ("gzip", "lzma", "lzo", "xz", "lz4", "zstd").index(codec) + 1
+    out[:96] = b"hsqs" + struct.pack("<IIIIHHHHHH", total, 0, block, len(fragments), codec_number, block.bit_length() - 1, 0, len(owners), 4, 0) + struct.pack("<8Q", root[0] << 16 | root[1], len(out), places["owners"], none, places["inodes"], places["listings"], places["fragments"] if fragments else none, none)
+    return _pad(bytes(out), 4096)
+
+
+builder("squashfs")(lambda files: squashfs(files, "gzip"))
+
+
+# --- ubifs --------------------------------------------------------------------------------------
+
+
+def ubifs(states: list[list[File]], journal: bool = True, leb: int = 16384) -> bytes:
+    """A volume whose index holds the first state; later states are in the journal, or, without one, in the index as well.
+
+    Nodes are written in order, so that former states of a file, and unlinked ones, stay on the medium.
+    """
+    sequence, numbers, lebs, at, index = 0, {"": 1}, [b"", b"", b"", b""], [], {}
+    main: list[bytes] = [b""]
+
+    def made(kind: int, body: bytes) -> bytes:
+        nonlocal sequence
+        sequence += 1
+        size = 24 + len(body)
+        head = struct.pack("<QIBB2x", sequence, size, kind, 0)
+        return struct.pack("<II", 0x06101831, crc_ubi(head + body)) + head + body
+
+    def put(raw: bytes) -> tuple[int, int, int]:
+        """Appends a node to the main area; returns its place in blocks from the area's start."""
+        if len(main[-1]) + -(-len(raw) // 8) * 8 > leb:
+            main.append(b"")
+        where = (len(main) - 1, len(main[-1]), len(raw))
+        main[-1] += _pad(raw, 8)
+        return where
+
+    def key(ino: int, kind: int, low: int) -> bytes:
+        return struct.pack("<II", ino, kind << 29 | low)
+
+    def inode(ino: int, mode: int, f: File, links: int = 1) -> None:
+        body = key(ino, 0, 0) + bytes(8) + struct.pack("<QQQQQ", 0, len(f.body), f.mtime, f.mtime, f.mtime) + struct.pack("<IIIIIIIIIIII", 0, 0, 0, links, f.uid, f.gid, mode, 0, 0, 0, 0, 0)
+        note(key(ino, 0, 0), made(0, body + struct.pack("<IH", 0, 0) + bytes(26)))
+
+    pending: list[tuple[bytes, tuple[int, int, int]]] = []
+
+    def note(k: bytes, raw: bytes) -> None:
+        pending.append((k, put(raw)))
+
+    def name(parent: int, ino: int, text: str, folder: bool) -> None:
+        raw = text.encode()
+        low = zlib.crc32(raw) & 0x1FFFFFFF
+        note(key(parent, 2, low), made(2, key(parent, 2, low) + bytes(8) + struct.pack("<QBBHI", ino, 0, 1 if folder else 0, len(raw), 0) + raw + b"\0"))
+
+    last: dict[str, File] = {}
+    marks = []
+    for state in states:
+        now = {f.name: f for f in state}
+        if not marks:
+            inode(1, 0o40755, File("", b""), 2)
+        for gone in sorted(set(last) - set(now)):
+            folder, _, base = gone.rpartition("/")
+            name(numbers[folder], 0, base, False)
+            inode(numbers[gone], last[gone].mode | 0o100000, last[gone], 0)
+        for f in sorted(state, key=lambda f: f.name):
+            folder, _, base = f.name.rpartition("/")
+            if folder not in numbers:
+                numbers[folder] = 64 + len(numbers)
+                inode(numbers[folder], 0o40755, File(folder, b""), 2)
+                name(1, numbers[folder], folder, True)
+            if f.name in last and last[f.name].body == f.body:
+                continue
+            fresh = f.name not in last
+            numbers.setdefault(f.name, 64 + len(numbers))
+            ino = numbers[f.name]
+            for k in range(0, len(f.body), 4096):
+                part = f.body[k : k + 4096]
+                z = zlib.compressobj(6, zlib.DEFLATED, -15)
+                packed = [(part, 0), (z.compress(part) + z.flush(), 2), (lzo1x(part), 1)][k // 4096 % 3]
+                raw, codec = packed if len(packed[0]) < len(part) else (part, 0)
+                note(key(ino, 1, k // 4096), made(1, key(ino, 1, k // 4096) + bytes(8) + struct.pack("<IHH", len(part), codec, len(raw)) + raw))
+            inode(ino, f.mode | 0o100000, f)
+            if fresh:
+                name(numbers[folder], ino, base, False)
+        last = now
+        marks.append(len(pending))
+        if journal and len(marks) == 1:
+            main.append(b"")  # buds begin on a block of their own
+    first_bud = max((w[0] for _, w in pending[: marks[0]]), default=0) + 1
+    main_at = 8
+    kept = pending[: marks[0]] if journal else pending
+    for k, where in kept:
+        index[k] = where
+    index = {k: v for k, v in index.items()}
+    buds = range(first_bud, len(main)) if journal and len(marks) > 1 else range(0)
+
+    def idx(rows: list[tuple[bytes, tuple[int, int, int]]], level: int) -> bytes:
+        return made(9, struct.pack("<HH", len(rows), level) + b"".join(struct.pack("<III", w[0] + main_at, w[1], w[2]) + k for k, w in rows))
+
+    main.append(b"")
+    rows = sorted(index.items(), key=lambda x: struct.unpack("<II", x[0]))
+    level = 0
+    while True:
+        parts = [rows[k : k + 8] for k in range(0, len(rows), 8)] or [[]]
+        rows = [(p[0][0] if p else bytes(8), put(idx(p, level))) for p in parts]
+        if len(rows) == 1:
+            break
+        level += 1
+    (_, (root, offset, size)), = rows
+    log = made(10, struct.pack("<Q", 1)) + b"".join(made(8, struct.pack("<III", k + main_at, 0, 0) + bytes(28)) for k in buds)
+    count = main_at + len(main)
+    sb = bytes(2) + bytes([0, 0]) + struct.pack("<IIII", 0, 8, leb, count) + struct.pack("<I", count) + bytes(8) + struct.pack("<IIIII", 2, 1, 1, 1, 8) + bytes(4) + struct.pack("<III", 4, 2, 0)
+    super_ = made(6, sb.ljust(4096 - 24, b"\0"))
+    master = made(7, (struct.pack("<QQIIIII", 1000, 1, 0, 3, root + main_at, offset, size)).ljust(488, b"\0"))
+    lebs = [super_, master, master, log, b"", b"", b"", b"", *main]
+    return b"".join(x.ljust(leb, b"\xff") for x in lebs)
+
+
+builder("ubifs")(lambda files: ubifs([files]))
+
+
+# --- yaffs2 -------------------------------------------------------------------------------------
+
+
+def yaffs2(states: list[list[File]], page: int = 2048, at: int = 0) -> bytes:
+    """Chunks of 2 KiB and 64 spare bytes; a file's data, then its header, as a live system writes them."""
+    from gneiss.formats.yaffs import parity
+
+    spare, out, numbers, order = page // 32, [], {"": 1}, 0
+
+    def chunk(number: int, block: int, size: int, body: bytes) -> None:
+        nonlocal order
+        order += 1
+        raw = struct.pack("<4I", 0x1000 + order // 64, number, block, size)
+        column, line, inverse = parity(raw)
+        own = bytes(at) + raw + struct.pack("<B3xII", column, line & 0xFFFFFFFF, inverse)
+        out.append(body.ljust(page, b"\xff") + own.ljust(spare, b"\xff"))
+
+    def header(number: int, kind: int, parent: int, name: str, f: File, mode: int) -> None:
+        raw = struct.pack("<IIH", kind, parent, 0xFFFF) + name.encode()[:255].ljust(256, b"\0")
+        raw = raw.ljust(268, b"\xff") + struct.pack("<IIIIIIIi", mode, f.uid, f.gid, f.mtime, f.mtime, f.mtime, len(f.body) if kind == 1 else 0xFFFFFFFF, -1) + bytes(160)
+        chunk(number, 0, 0xFFFF, raw.ljust(512, b"\xff"))
+
+    last: dict[str, File] = {}
+    for state in states:
+        now = {f.name: f for f in state}
+        for gone in sorted(set(last) - set(now)):
+            header(numbers[gone], 1, 4, "deleted", last[gone], last[gone].mode | 0o100000)
+        for f in sorted(state, key=lambda f: f.name):
+            folder, _, base = f.name.rpartition("/")
+            if folder not in numbers:
+                numbers[folder] = 256 + len(numbers)
+                header(numbers[folder], 3, 1, folder, File(folder, b""), 0o40755)
+            if f.name in last and last[f.name].body == f.body:
+                continue
+            numbers.setdefault(f.name, 256 + len(numbers))
+            for k in range(0, len(f.body), page):
+                part = f.body[k : k + page]
+                chunk(numbers[f.name], k // page + 1, len(part), part)
+            header(numbers[f.name], 1, numbers[folder], base, f, f.mode | 0o100000)
+        last = now
+    return b"".join(out)
+
+
+builder("yaffs2")(lambda files: yaffs2([files]))
+
+
+# --- qnx ----------------------------------------------------------------------------------------
+
+
+def qnx6(before: list[File], now: list[File], block: int = 1024) -> bytes:
+    """Two snapshots with blocks of their own; the second superblock holds the older one."""
+    blocks: list[bytes] = []
+    fan = block // 4
+
+    def store(body: bytes) -> tuple[bytes, int]:
+        """A file's 16 pointers and levels."""
+        at = [len(blocks) + k for k in range(-(-len(body) // block))]
+        blocks.extend(body[k : k + block].ljust(block, b"\0") for k in range(0, len(body), block))
+        levels = 0
+        while len(at) > 16:
+            up = [at[k : k + fan] for k in range(0, len(at), fan)]
+            at = [len(blocks) + k for k in range(len(up))]
+            blocks.extend(struct.pack(f"<{len(x)}I", *x).ljust(block, b"\xff") for x in up)
+            levels += 1
+        return struct.pack("<16I", *at, *[0xFFFFFFFF] * (16 - len(at))), levels
+
+    def snapshot(files: list[File], serial: int) -> bytes:
+        tree, inodes, long = folders(files), {}, []
+
+        def inode(number: int, mode: int, f: File, body: bytes, status: int = 3) -> None:
+            pointers, levels = store(body)
+            inodes[number] = (struct.pack("<QIIIIIIHH", len(body), f.uid, f.gid, 0, f.mtime, f.mtime, f.mtime, mode, 0) + pointers + bytes([levels, status])).ljust(128, b"\0")
+
+        def row(number: int, name: str) -> bytes:
+            raw = name.encode()
+            if len(raw) <= 27:
+                return struct.pack("<IB", number, len(raw)) + raw.ljust(27, b"\0")
+            long.append((struct.pack("<H", len(raw)) + raw).ljust(block, b"\0"))
+            return (struct.pack("<IB3xII", number, 0xFF, len(long) - 1, 0)).ljust(32, b"\0")
+
+        top = 1
+        numbers = {}
+        for f in files:
+            top += 1
+            numbers[f.name] = top
+            inode(top, f.mode | 0o100000, f, f.body)
+        listing = row(1, ".") + row(1, "..")
+        for n in sorted(x for x in tree if x):
+            top += 1
+            inode(top, 0o40755, File(n, b""), row(top, ".") + row(1, "..") + b"".join(row(numbers[f.name], f.name.rpartition("/")[2]) for f in tree[n]))
+            listing += row(top, n)
+        inode(1, 0o40755, File("", b""), listing + b"".join(row(numbers[f.name], f.name) for f in tree[""]), 1)
+        table = b"".join(inodes[k] for k in sorted(inodes))
+        root = lambda body: (struct.pack("<Q", len(body)) + (x := store(body))[0] + bytes([x[1]])).ljust(80, b"\0")
+        roots = root(table) + root(b"") + root(b"".join(long))
+        return struct.pack("<QIIIHH", serial, 0, 0, 0x302, 4, 3) + bytes(16) + struct.pack("<II", block, top) + struct.pack("<I", 0) + b"COUNT---" + struct.pack("<I", 0) + roots
+
+    old, new = snapshot(before, 15), snapshot(now, 16)
+
+    def finished(raw: bytes) -> bytes:
+        body = raw.replace(b"COUNT---", struct.pack("<II", len(blocks), 0), 1).ljust(504, b"\0")
+        return struct.pack("<II", 0x68191122, _crc_be(body)) + body
+
+    start = -(-0x3000 // block) * block
+    return bytes(8192) + finished(new).ljust(start - 8192, b"\0") + b"".join(blocks) + finished(old).ljust(-(-0x1000 // block) * block, b"\0")
+
+
+builder("qnx6")(lambda files: qnx6(files, files))
+
+
+def qnx_ifs(files: list[File], packed: str = "ucl") -> bytes:
+    """A boot image mounted at /proc/boot, its image plain, or in blocks of up to 64 KiB."""
+    entries, names = b"", sorted({f.name.rpartition("/")[0] for f in files} - {""})
+    size = lambda raw: -(-len(raw) // 4) * 4
+    mount = b"/proc/boot\0"
+    dir_at = -(-(88 + len(mount)) // 4) * 4
+
+    def entry(ino: int, mode: int, f: File, body: bytes) -> bytes:
+        raw = struct.pack("<HHIIIII", size(bytes(24) + body), 0, ino, mode, f.gid, f.uid, f.mtime) + body
+        return _pad(raw, 4)
+
+    heads = [entry(1, 0o40755, File("", b""), b"\0")] + [entry(2 + k, 0o40755, File(n, b""), n.encode() + b"\0") for k, n in enumerate(names)]
+    width = sum(map(len, heads)) + sum(len(entry(0, 0, f, bytes(8) + f.name.encode() + b"\0")) for f in files) + 4
+    at, bodies = dir_at + width, b""
+    for k, f in enumerate(files):
+        heads.append(entry(100 + k, f.mode | 0o100000, f, struct.pack("<II", at + len(bodies), len(f.body)) + f.name.encode() + b"\0"))
+        bodies += _pad(f.body, 4)
+    entries = b"".join(heads) + bytes(4)
+    whole = dir_at + len(entries) + len(bodies) + 4
+    image = b"imagefs\x02" + struct.pack("<III", whole, dir_at + len(entries) - 4, dir_at) + bytes(16) + bytes(4) + bytes(4) + bytes(40) + bytes(4) + mount
+    image = image.ljust(dir_at, b"\0") + entries + bodies
+    image += struct.pack("<I", -sum(struct.unpack(f"<{len(image) // 4}I", image)) & 0xFFFFFFFF)
+    codes = {"none": 0, "zlib": 1, "lzo": 2, "ucl": 3, "lz4": 4}
+    press = {"lzo": lzo1x, "ucl": nrv2b, "lz4": lz4_block}.get(packed)
+    if press:
+        # a block's length has two bytes, so it holds less than 64 KiB packed
+        blocks = [press(image[k : k + 32768]) for k in range(0, len(image), 32768)]
+        body = _pad(b"".join(struct.pack(">H", len(b)) + b for b in blocks) + b"\0\0", 4)
+        body += struct.pack("<I", -sum(struct.unpack(f"<{len(body) // 4}I", body)) & 0xFFFFFFFF)
+    else:
+        body = gzip.compress(image, mtime=0) if packed == "zlib" else image
+    head = b"\xeb\x7e\xff\0" + struct.pack("<HBBHH", 1, codes[packed] << 2, 0, 256, 40) + struct.pack("<IIIIIIIII", 0, 0, 0, 0, 0, 512, 512 + len(body), 0, len(image))
+    start = head.ljust(508, b"\0")
+    start += struct.pack("<I", -sum(struct.unpack("<127I", start)) & 0xFFFFFFFF)
+    return start + body
+
+
+builder("qnx-ifs")(lambda files: qnx_ifs(files))
+
+
+# --- 7z -----------------------------------------------------------------------------------------
+
+
+def _number(n: int) -> bytes:
+    for k in range(8):
+        if n < 1 << 7 * (k + 1):
+            first = (0xFF << 8 - k) & 0xFF | n >> 8 * k
+            return bytes([first]) + (n & (1 << 8 * k) - 1).to_bytes(k, "little")
+    return b"\xff" + n.to_bytes(8, "little")
+
+
+@builder("7z")
+def sevenzip(files: list[File], filters: str = "lzma2", encoded: bool = True) -> bytes:
+    """One solid folder, the header itself packed as well; empty files have no stream."""
+    full = [f for f in files if f.body]
+    plain = b"".join(f.body for f in full)
+
+    def press(raw: bytes) -> tuple[bytes, bytes]:
+        """The packed bytes and the folder that says how."""
+        if filters == "lzma":
+            own = [{"id": lzma.FILTER_LZMA1, "lc": 3, "lp": 0, "pb": 2, "dict_size": 1 << 20}]
+            return lzma.compress(raw, lzma.FORMAT_RAW, filters=own), b"\x01\x23\x03\x01\x01" + _number(5) + bytes([(2 * 5 + 0) * 9 + 3]) + struct.pack("<I", 1 << 20)
+        own = [{"id": lzma.FILTER_LZMA2, "dict_size": 1 << 20}]
+        if filters == "x86":
+            chain = [{"id": lzma.FILTER_X86}, *own]
+            # the branch converter gives the file, and takes what the compressor gives
+            return lzma.compress(raw, lzma.FORMAT_RAW, filters=chain), b"\x02\x04\x03\x03\x01\x03\x21\x21\x01\x10" + b"\0\x01"
+        if filters == "copy":
+            return raw, b"\x01\x01\0"
+        return lzma.compress(raw, lzma.FORMAT_RAW, filters=own), b"\x01\x21\x21" + _number(1) + bytes([16])
+
+    def info(at: int, packed: bytes, folder: bytes, size: int, crc: int | None, more: bytes = b"") -> bytes:
+        coders = folder[0]
+        out = b"\x06" + _number(at) + _number(1) + b"\x09" + _number(len(packed)) + b"\0\x07\x0b" + _number(1) + b"\0" + folder + b"\x0c" + _number(size) * coders
+        return out + (b"\x0a\x01" + struct.pack("<I", crc) if crc is not None else b"") + b"\0" + more + b"\0"
+
+    body = b""
+    streams = b""
+    if full:
+        body, folder = press(plain)
+        sizes = b"".join(_number(len(f.body)) for f in full[:-1])
+        parts = b"\x08\x0d" + _number(len(full)) + (b"\x09" + sizes if len(full) > 1 else b"") + b"\x0a\x01" + b"".join(struct.pack("<I", zlib.crc32(f.body)) for f in full) + b"\0"
+        streams = b"\x04" + info(0, body, folder, len(plain), None, parts)
+
+    def bits(flags: list[bool]) -> bytes:
+        out = bytearray(-(-len(flags) // 8))
+        for k, x in enumerate(flags):
+            out[k // 8] |= (0x80 >> k % 8) * x
+        return bytes(out)
+
+    def prop(kind: int, raw: bytes) -> bytes:
+        return bytes([kind]) + _number(len(raw)) + raw
+
+    empty = [not f.body for f in files]
+    named = b"\0" + b"".join((f.name + "\0").encode("utf-16-le") for f in files)
+    props = (prop(14, bits(empty)) + prop(15, bits([True] * sum(empty))) if any(empty) else b"") + prop(17, named)
+    props += prop(20, b"\x01\0" + b"".join(struct.pack("<Q", f.mtime * 10_000_000 + 116444736000000000) for f in files))
+    props += prop(21, b"\x01\0" + b"".join(struct.pack("<I", (f.mode | 0o100000) << 16 | 0x8000) for f in files))
+    head = b"\x01" + streams + b"\x05" + _number(len(files)) + props + b"\0" + b"\0"
+    if encoded:
+        own = [{"id": lzma.FILTER_LZMA1, "lc": 3, "lp": 0, "pb": 2, "dict_size": 1 << 16}]
+        packed = lzma.compress(head, lzma.FORMAT_RAW, filters=own)
+        folder = b"\x01\x23\x03\x01\x01" + _number(5) + bytes([93]) + struct.pack("<I", 1 << 16)
+        outer = b"\x17" + info(len(body), packed, folder, len(head), zlib.crc32(head))
+        body, head = body + packed, outer
+    start = struct.pack("<QQI", len(body), len(head), zlib.crc32(head))
+    return b"7z\xbc\xaf'\x1c\0\x04" + struct.pack("<I", zlib.crc32(start)) + start + body + head

@@ -245,7 +245,10 @@ def sevenzip(s, data, at):
     crc, off, size, _ = struct.unpack_from("<IQQI", data, at + 8)
     if zlib.crc32(data[at + 12 : at + 32]) != crc:
         return None
-    return _cut(Finding(at, "7z", CONSISTENT, 32 + off + size, {"version": f"{data[at + 6]}.{data[at + 7]}"}), data)
+    (check,) = struct.unpack_from("<I", data, at + 28)
+    good = zlib.crc32(data[at + 32 + off : at + 32 + off + size]) == check
+    f = Finding(at, "7z", CONSISTENT if good else STRUCTURAL, 32 + off + size, {"version": f"{data[at + 6]}.{data[at + 7]}"}, [] if good else ["7z-header-undecodable"])
+    return _cut(f, data)
 
 
 @validator("uimage")
@@ -393,32 +396,39 @@ def verity(s, data, at):
 
 @validator("lzop")
 def lzop(s, data, at):
-    version, _, _, method, level = struct.unpack_from(">HHHBB", data, at + 9)
-    if method not in (1, 2, 3):
-        return None
-    return Finding(at, "lzop", STRUCTURAL, 0, {"method": str(method), "level": str(level)})
+    """Block lengths stand in the stream, so a member's end is found without unpacking."""
+    from gneiss.formats import lzo
+
+    first = lzo.member(data, at)
+    attrs = {"method": str(first.method), "name": first.name}
+    if not first.sound:
+        return Finding(at, "lzop", MAGIC, 0, attrs, ["lzop-header-checksum-mismatch"])
+    end, members = first.end, 1
+    while end is not None and data[end : end + 9] == lzo.MAGIC:
+        end, members = lzo.member(data, end).end, members + 1
+    if end is None:
+        return Finding(at, "lzop", STRUCTURAL, 0, attrs | {"extent": "unknown"})
+    return Finding(at, "lzop", CONSISTENT, end - at, attrs | {"members": str(members)})
 
 
 @validator("qnx6")
 def qnx6(s, data, at):
-    order = _e(s)
-    (crc,) = struct.unpack_from(order + "I", data, at + 8196)
-    good = _crc_be(data[at + 8200 : at + 8192 + 512]) == crc
-    (serial,) = struct.unpack_from(order + "Q", data, at + 8200)
-    block, inodes, _, blocks, _ = struct.unpack_from(order + "IIIII", data, at + 8192 + 48)
-    if block not in (512, 1024, 2048, 4096, 8192):
-        return None
-    return _cut(Finding(at, "qnx6", VERIFIED if good else STRUCTURAL, 0x3000 + blocks * block, {"block_size": str(block), "inodes": str(inodes), "serial": str(serial)}), data)
+    """Sized so that the second superblock lies inside; the sound one with the higher serial is the current one."""
+    from gneiss.formats import qnx
+
+    found = qnx.snapshots(data, at)
+    now, first = found[0], qnx.Snapshot(data[at:], 8192, _e(s))
+    size = first.second + qnx.up(0x1000, first.block)
+    f = Finding(at, "qnx6", VERIFIED if now.sound else STRUCTURAL, size, {"block_size": str(now.block), "inodes": str(now.inodes), "serial": str(now.serial), "snapshots": str(len(found))})
+    f.diagnostics += ["qnx6-superblock-bad-crc"] * any(not x.sound for x in found) + ["qnx6-superblock-single"] * (len(found) == 1)
+    return _cut(f, data)
 
 
 def _crc_be(raw: bytes) -> int:
     """CRC-32, most significant bit first, initial value 0."""
-    crc = 0
-    for b in raw:
-        crc ^= b << 24
-        for _ in range(8):
-            crc = (crc << 1 ^ 0x04C11DB7 if crc & 0x80000000 else crc << 1) & 0xFFFFFFFF
-    return crc
+    from gneiss.formats import qnx
+
+    return qnx.crc_be(raw)
 
 
 @validator("android_super")
@@ -434,22 +444,31 @@ def android_super(s, data, at):
 
 @validator("yaffs2")
 def yaffs2(s, data, at):
-    for chunk, spare in ((2048, 64), (4096, 128), (1024, 32), (512, 16)):
-        step, n = chunk + spare, 0
-        while at + (n + 1) * step <= len(data) and n < s.extra.get("probe_chunks", 16) and data[at + n * step : at + (n + 1) * step] != b"\xff" * step:
-            tags = data[at + n * step + chunk : at + (n + 1) * step]
-            if tags[:4] == b"\xff" * 4:
-                break
-            n += 1
-        if n >= 2:
-            whole = (len(data) - at) // step
-            return Finding(at, "yaffs2", STRUCTURAL, whole * step, {"chunk": str(chunk), "spare": str(spare)})
-    return Finding(at, "yaffs2", MAGIC)
+    """The grid of chunks whose tags verify against their own checksum; nothing else can pass for it."""
+    from gneiss.formats import yaffs
+
+    grid = yaffs.find_grid(data, at)
+    if grid is None:
+        return None
+    start, end, headers = yaffs.extent(data, at, grid)
+    chunks = (end - start) // grid.step
+    if chunks < 4 or not headers:
+        return None
+    return Finding(start, "yaffs2", VERIFIED, end - start, {"chunk": str(grid.page), "spare": str(grid.spare), "tags": str(grid.at), "chunks": str(chunks), "headers": str(headers)})
 
 
 @validator("qnx-ifs")
 def qnx_ifs(s, data, at):
-    version, flags, header = struct.unpack_from("<HBxH", data, at + 4)
-    (startup, paddr, _, _, ram, _, _, image, stored) = struct.unpack_from("<9I", data, at + 16 + 12)
-    (stored,) = struct.unpack_from("<I", data, at + 36)
-    return _cut(Finding(at, "qnx-ifs", STRUCTURAL, stored, {"version": str(version), "compression": str(flags >> 2 & 7)}), data) if version == 1 else None
+    """The header's fixed fields keep out stray magics; the sum over the image's words is its checksum."""
+    from gneiss.formats import qnx
+
+    head = qnx.startup(data, at)
+    if head is None:
+        return None
+    attrs = {"machine": str(head["machine"]), "compression": head["packed"] or "none", "startup_size": str(head["startup"])}
+    if head["startup"] < 256 or head["startup"] % 4 or head["startup"] > head["stored"]:
+        return Finding(at, "qnx-ifs", MAGIC, 0, attrs, ["qnx-ifs-bad-startup-size"])
+    body = data[at + head["startup"] : at + head["stored"]]
+    whole = at + head["stored"] <= len(data)
+    sound = whole and head["packed"] != "zlib" and not qnx.word_sum(body, head["order"])
+    return _cut(Finding(at, "qnx-ifs", VERIFIED if sound else CONSISTENT if whole else STRUCTURAL, head["stored"], attrs), data)

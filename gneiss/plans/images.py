@@ -83,7 +83,8 @@ _ALL = ("mode", "uid", "gid", "mtime")
 for _name, _format, _kind, _carried, _flat in (
     ("tar", "tar", "tar", _ALL, ""), ("cpio", "cpio", "cpio", _ALL, ""), ("cpio_odc", "cpio-odc", "cpio", _ALL, ""), ("ar", "ar", "ar", _ALL, ""), ("zip", "zip", "zip", ("mode",), ""),
     ("fit", "fit", "fit", (), "_"), ("romfs", "romfs", "romfs", (), ""), ("cramfs", "cramfs", "cramfs", ("mode", "uid", "gid"), ""), ("fat", "fat12", "fat", (), ""), ("fat32", "fat32", "fat", (), ""),
-    ("jffs2", "jffs2", "jffs2", _ALL, ""), ("ext2", "ext2", "ext2", _ALL, ""), ("ext4", "ext4", "ext4", _ALL, ""),
+    ("jffs2", "jffs2", "jffs2", _ALL, ""), ("ext2", "ext2", "ext2", _ALL, ""), ("ext4", "ext4", "ext4", _ALL, ""), ("ubifs", "ubifs", "ubifs", _ALL, ""), ("yaffs2", "yaffs2", "yaffs2", _ALL, ""),
+    ("qnx6", "qnx6", "qnx6", _ALL, ""), ("7z", "7z", "7z", ("mode", "mtime"), ""),
 ):
     _reads(_name, _format, _kind, _carried, _flat)
 
@@ -203,6 +204,61 @@ def codec_limits(spark, d):
     return _t(spark, d, "documents").select("doc_id", "text").mapInArrow(run, "doc_id long, kind string, passes boolean")
 
 
+_SQUASHED = ("gzip", "lzma", "lzo", "xz", "lz4", "zstd")
+
+
+@query(f"""SELECT doc_id, codec, 's' || doc_id % 3 || '/d' || doc_id || '.txt' AS path, strlen({_BODY})::BIGINT AS size, sha256({_BODY}) AS sha256, (384 + doc_id % 64)::BIGINT AS mode, (doc_id % 1000)::BIGINT AS uid, (doc_id % 200)::BIGINT AS gid, (1600000000 + doc_id)::BIGINT AS mtime
+FROM (SELECT *, {_SQUASHED!r}[(doc_id // {PER_IMAGE}) % 6 + 1] AS codec FROM documents)""".replace(repr(_SQUASHED), f"({list(_SQUASHED)!r})"))
+def read_squashfs(spark, d):
+    """SquashFS images of every codec, in turn."""
+    turn = lambda rows: _SQUASHED[int(rows["doc_id"].min()) // PER_IMAGE % 6]
+    entries = extraction.walk(packed(spark, d, "squashfs", lambda rows: builders.squashfs(files_of(rows), turn(rows))))
+    codec = F.element_at(F.array(*map(F.lit, _SQUASHED)), (F.substring("node_id", 2, 20).cast("int") % 6 + 1).cast("int"))
+    return entries.where("kind = 'regular'").select(_doc(), codec.alias("codec"), "path", "size", F.sha2("content", 256).alias("sha256"), "mode", "uid", "gid", "mtime")
+
+
+_IFS = ("none", "zlib", "lzo", "ucl", "lz4")
+
+
+@query(f"SELECT doc_id, 'proc/boot/s' || doc_id % 3 || '/d' || doc_id || '.txt' AS path, strlen({_BODY})::BIGINT AS size, sha256({_BODY}) AS sha256, (384 + doc_id % 64)::BIGINT AS mode, (1600000000 + doc_id)::BIGINT AS mtime FROM documents")
+def read_qnx_ifs(spark, d):
+    """Boot images of every packing, in turn."""
+    turn = lambda rows: _IFS[int(rows["doc_id"].min()) // PER_IMAGE % 5]
+    entries = extraction.walk(packed(spark, d, "qnx-ifs", lambda rows: builders.qnx_ifs(files_of(rows), turn(rows))))
+    return entries.where("kind = 'regular'").select(_doc(), "path", "size", F.sha2("content", 256).alias("sha256"), "mode", "mtime")
+
+
+@query(f"SELECT doc_id, strlen({_BODY})::BIGINT AS size, sha256({_BODY}) AS sha256, (384 + doc_id % 64)::BIGINT AS mode, (1600000000 + doc_id)::BIGINT AS mtime FROM documents")
+def read_lzop(spark, d):
+    """Several members in one file, each with its own name."""
+    entries = extraction.walk(packed(spark, d, "lzop", lambda rows: builders.lzop(files_of(rows))))
+    doc = F.regexp_extract(F.col("extra")["name"], r"d([0-9]+)", 1).cast("long")
+    return entries.select(doc.alias("doc_id"), "size", F.sha2("content", 256).alias("sha256"), "mode", "mtime")
+
+
+@query(f"SELECT doc_id, v.codec, sha256({_BODY}) AS sha256 FROM documents, (VALUES ('lzo1x'), ('ucl'), ('lz4'), ('deflate'), ('zlib')) v(codec) WHERE strlen({_BODY}) > 0 OR v.codec <> 'lzo1x'")
+def raw_blocks(spark, d):
+    """Blocks without a header, as filesystems hold them, there and back."""
+    import zlib
+
+    from gneiss.formats import lzo
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                raw = (t or "").encode()
+                z = zlib.compressobj(6, zlib.DEFLATED, -15)
+                made = {"ucl": lzo.nrv2b(builders.nrv2b(raw), len(raw)), "lz4": codecs.lz4_block(builders.lz4_block(raw), len(raw)), "deflate": codecs.exact("deflate", z.compress(raw) + z.flush(), len(raw)), "zlib": codecs.exact("zlib", zlib.compress(raw), len(raw))}
+                if raw:
+                    made["lzo1x"] = lzo.lzo1x(builders.lzo1x(raw), len(raw))
+                rows += [(k, codec, body) for codec, body in made.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.binary()))], ["doc_id", "codec", "body"])
+
+    made = _t(spark, d, "documents").select("doc_id", "text").mapInArrow(run, "doc_id long, codec string, body binary")
+    return made.select("doc_id", "codec", F.sha2("body", 256).alias("sha256"))
+
+
 # --- history --------------------------------------------------------------------------------------
 
 
@@ -223,6 +279,46 @@ def jffs2_history(spark, d):
     return found.select("doc_id", "last.x.deleted", "last.x.size", "last.x.sha256", "older")
 
 
+_STATES = f"""WITH x AS (SELECT doc_id, strlen({_BODY}) AS n, {_BODY} AS t FROM documents)
+SELECT doc_id, doc_id % 5 = 0 AS deleted, n::BIGINT AS size, sha256(t) AS sha256, (CASE WHEN n = 0 THEN 0 ELSE 1 END)::BIGINT AS older FROM x"""
+
+
+def _states(rows: pd.DataFrame) -> list[list[File]]:
+    """Half of each file, all of it, and every fifth one unlinked."""
+    whole = files_of(rows)
+    half = [File(f.name, f.body[: len(f.body) // 2], f.mode, f.uid, f.gid, f.mtime) for f in whole]
+    return [half, whole, [f for f in whole if int(f.name[4:-4]) % 5]]
+
+
+def _history(entries: DataFrame) -> DataFrame:
+    last = F.struct("superseded", F.struct("deleted", "size", F.sha2("content", 256).alias("sha256")).alias("x"))
+    found = entries.where("kind = 'regular'").groupBy(_doc()).agg(F.min(last).alias("last"), F.count_if("superseded").alias("older"))
+    return found.select("doc_id", "last.x.deleted", "last.x.size", "last.x.sha256", "older")
+
+
+@query(_STATES)
+def ubifs_history(spark, d):
+    """The first state in the index, the others in the journal: the last state of each file, deleted ones too, and the one before it."""
+    return _history(extraction.walk(packed(spark, d, "ubifs", lambda rows: builders.ubifs(_states(rows)))))
+
+
+@query(_STATES)
+def yaffs2_history(spark, d):
+    return _history(extraction.walk(packed(spark, d, "yaffs2", lambda rows: builders.yaffs2(_states(rows)))))
+
+
+@query(f"""WITH x AS (SELECT doc_id, {_BODY} AS t, strlen({_BODY}) AS n FROM documents)
+SELECT doc_id, doc_id % 5 = 0 AS deleted, (CASE WHEN doc_id % 5 = 0 THEN n // 2 ELSE n END)::BIGINT AS size, (CASE WHEN doc_id % 5 > 0 AND n > 0 THEN 1 ELSE 0 END)::BIGINT AS older FROM x""")
+def qnx6_snapshots(spark, d):
+    """The snapshot before the current one holds half of each file, and those that have gone since."""
+
+    def build(rows: pd.DataFrame) -> bytes:
+        half, _, less = _states(rows)
+        return builders.qnx6(half, less)
+
+    return _history(extraction.walk(packed(spark, d, "qnx6", build))).select("doc_id", "deleted", "size", "older")
+
+
 @query(f"SELECT doc_id, doc_id % 4 = 1 AS deleted, strlen({_BODY})::BIGINT AS size, sha256({_BODY}) AS sha256 FROM documents")
 def fat_deleted(spark, d):
     """Every fourth file is deleted before the image is read; its bytes still lie in one piece."""
@@ -300,26 +396,6 @@ def _ubi_super(t: bytes) -> bytes:
     return struct.pack("<II", 0x06101831, crc_ubi(body)) + body
 
 
-def _sevenzip_start(t: bytes) -> bytes:
-    import struct
-    import zlib
-
-    start = struct.pack("<QQI", 0, len(t), zlib.crc32(t))
-    return b"7z\xbc\xaf'\x1c\0\x04" + struct.pack("<I", zlib.crc32(start)) + start + t
-
-
-def _lzop_head(t: bytes) -> bytes:
-    import struct
-
-    return b"\x89LZO\0\r\n\x1a\n" + struct.pack(">HHHBB", 0x1030, 0x2080, 0x0940, 1, 5) + t
-
-
-def _ifs_head(t: bytes) -> bytes:
-    import struct
-
-    return (b"\xeb\x7e\xff\0" + struct.pack("<HBBH", 1, 0, 0, 256)).ljust(36, b"\0") + struct.pack("<I", 256 + len(t)) + bytes(216) + t
-
-
 #: (group, format, image of a text, category, confidence, the size in SQL of a text of n bytes, or null where it isn't told)
 SCANNED: list[tuple[str, str, Callable[[bytes], bytes], int, str | None]] = [
     ("filesystems", "squashfs", _squashfs_super, 85, _up("96 + n", 4096)),
@@ -330,14 +406,15 @@ SCANNED: list[tuple[str, str, Callable[[bytes], bytes], int, str | None]] = [
     ("filesystems", "fat", lambda t: builders.fat([File("a", t)], 16), 85, None),
     ("filesystems", "ext2", lambda t: builders.ext2([File("a", t[:10])]), 85, None),
     ("filesystems", "ext4", lambda t: builders.ext4([File("a", t[:10])]), 85, None),
-    ("filesystems", "qnx6", lambda t: builders.qnx6_super(len(t) % 9), 99, "12288 + 1024 * (n % 9)"),
-    ("filesystems", "qnx-ifs", _ifs_head, 60, "256 + n"),
+    ("filesystems", "qnx6", lambda t: builders.qnx6([File("a", t)], [File("a", t)]), 99, None),
+    ("filesystems", "qnx-ifs", lambda t: builders.qnx_ifs([File("a", t)], "none"), 99, "512 + 100 + 28 + 36 + 4 + " + _up("n", 4) + " + 4"),
+    ("filesystems", "yaffs2", lambda t: builders.yaffs2([[File("d/a", t), File("d/b", b""), File("d/c", b"")]]), 99, "2112 * (4 + ceil(n / 2048))"),
     ("containers", "ubi", lambda t: builders.ubi([t, b"x"]), 99, "16384 * (1 + greatest(1, ceil(n / 16256)))"),
     ("containers", "ar", lambda t: builders.ar([File("a", t), File("b", b"")]), 99, "8 + 120 + " + _up("n", 2)),
     ("containers", "cpio", lambda t: builders.cpio([File("a", t)]), 85, "112 + " + _up("n", 4) + " + 124"),
     ("containers", "tar", lambda t: builders.tar([File("a", t)]), 99, "512 + " + _up("n", 512) + " + 1024"),
     ("containers", "zip", lambda t: builders.zip_([File("a", t)], 0), 85, "30 + 1 + n + 46 + 1 + 22"),
-    ("containers", "7z", _sevenzip_start, 85, "32 + n"),
+    ("containers", "7z", lambda t: builders.sevenzip([File("a", t)]), 85, None),
     ("containers", "uimage", lambda t: builders.uimage(t), 99, "64 + n"),
     ("containers", "fit", lambda t: builders.fit([File("a", t)]), 99, None),
     ("containers", "android-boot", lambda t: builders.android_boot(t, b""), 85, "2048 + " + _up("n", 2048)),
@@ -352,7 +429,7 @@ SCANNED: list[tuple[str, str, Callable[[bytes], bytes], int, str | None]] = [
     ("headers", "luks", lambda t: builders.luks1(1 + len(t) % 50) if len(t) % 2 else builders.luks2(4096 + len(t)), 85, "CASE WHEN n % 2 = 1 THEN 512 * (1 + n % 50) ELSE 4096 + n END"),
     ("headers", "dm-verity", lambda t: builders.verity(1 + len(t) % 128), 85, "CASE WHEN n % 128 = 0 THEN 4096 ELSE 8192 END"),
     ("headers", "dtb", lambda t: builders.fdt(("", {"model": t.replace(b"\0", b"") + b"\0"}, [])), 85, None),
-    ("headers", "lzop", _lzop_head, 60, "0"),
+    ("headers", "lzop", lambda t: builders.lzop([File("a", t)]), 85, None),
 ]
 
 
