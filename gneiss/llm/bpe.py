@@ -91,6 +91,10 @@ class ByteBpe:
         self.pairs = Remembered(KNOWN_PAIRS)
         self.words = regex.compile(PATTERN)
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the tables of pieces and words: a worker that waits for its next task should not hold them."""
         self.known, self.known_words = Remembered(KNOWN_PIECES), Remembered(KNOWN_PIECES)
 
     def _merge(self, ids: list[int]) -> list[int]:
@@ -275,6 +279,7 @@ def bpe_digests(docs: DataFrame, path: str) -> DataFrame:
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        bpe.forget()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"

@@ -28,12 +28,12 @@ _OUT_ARROW = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "
 #: The id that ends each document.
 END_ID = 2
 
-#: Entries that a worker's table of known words may hold.
-KNOWN_WORDS = 500_000
+#: Entries that a generation of a task's table of known words may hold.
+KNOWN_WORDS = 300_000
 
 
 class WordTokenizer:
-    """A tokenizers file whose tokens never cross ASCII white space; each worker keeps the ids of words it has met.
+    """A tokenizers file whose tokens never cross ASCII white space; each task keeps the ids of words it has met.
 
     The file's normaliser and pre-tokeniser treat white space as a border, so a text's ids are those
     of its words in order; words not met before go to the tokenizers library, many at a time.
@@ -50,6 +50,10 @@ class WordTokenizer:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
+    def forget(self) -> None:
+        """Gives the table's memory back: a worker that waits for its next task should not hold it."""
+        self.known = Remembered(KNOWN_WORDS)
+
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, and END_ID after them, as unsigned 32-bit little-endian numbers."""
         split = [_ascii_split(t) if any(c in t for c in _CONTROL) else t.split() for t in texts]
@@ -191,6 +195,7 @@ def pack(docs: DataFrame, path: str, size: int = 4096, open_windows: int = 32, m
                         _rows(done, serial, out)
                         serial += 1
                 yield _emit(out)
+        tokenizer.forget()
         left = [(part, n, doc, start, total, ids.tobytes()) for n, pieces in enumerate(windows.rest()) for doc, start, ids, total in pieces]
         yield _emit({c: [] for c in _OUT_ARROW.names}, left)
 
