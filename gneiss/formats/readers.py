@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import lzma
 import struct
 import tarfile
 import zipfile
@@ -36,6 +37,9 @@ class Entry:
     diagnostics: list[str] = field(default_factory=list)
 
 
+#: The LZMA parameters of JFFS2.
+JFFS2_LZMA = [{"id": lzma.FILTER_LZMA1, "lc": 0, "lp": 0, "pb": 0, "dict_size": 0x2000}]
+
 Reader = Callable[[bytes], Iterator[Entry]]
 REGISTRY: dict[str, Reader] = {}
 
@@ -372,61 +376,102 @@ def fat(data: bytes) -> Iterator[Entry]:
 
 @reader("jffs2")
 def jffs2(data: bytes) -> Iterator[Entry]:
-    """Live files, older states of each inode as superseded entries, unlinked names as deleted ones."""
+    """Live files under all their names, older states of each inode as superseded entries, unlinked names as deleted ones.
+
+    Nodes whose checksums fail don't count; data of a codec that is not known read as zeros and are told.
+    """
+    from gneiss.formats import lzo
+    from gneiss.formats.validators import _crc0
+
     o = "<" if data[:2] == b"\x85\x19" else ">"
-    dirents, nodes, at = [], {}, 0
+    dirents, nodes, at, bad = [], {}, 0, 0
     while at + 12 <= len(data):
-        magic, kind, size, _ = struct.unpack_from(o + "HHII", data, at)
-        if magic != 0x1985 or size < 12:
+        magic, kind, size, crc = struct.unpack_from(o + "HHII", data, at)
+        if magic != 0x1985 or size < 12 or _crc0(data[at : at + 8]) != crc:
             at += 4
             continue
-        if kind == 0xE001:
+        if kind == 0xE001 and size >= 40:
             parent, version, ino, mtime = struct.unpack_from(o + "IIII", data, at + 12)
-            n = data[at + 28]
-            dirents.append((parent, data[at + 40 : at + 40 + n].decode("utf-8", "surrogateescape"), version, ino, mtime))
-        elif kind == 0xE002:
+            n, (node_crc, name_crc) = data[at + 28], struct.unpack_from(o + "II", data, at + 32)
+            name = data[at + 40 : at + 40 + n]
+            if _crc0(data[at : at + 32]) == node_crc and _crc0(name) == name_crc:
+                dirents.append((parent, name.decode("utf-8", "surrogateescape"), version, ino, mtime))
+            else:
+                bad += 1
+        elif kind == 0xE002 and size >= 68:
             ino, version, mode, uid, gid, isize, _, mtime, _, off, csize, dsize = struct.unpack_from(o + "IIIHHIIIIIII", data, at + 12)
-            nodes.setdefault(ino, []).append((version, mode, uid, gid, isize, mtime, off, dsize, data[at + 56], data[at + 68 : at + 68 + csize]))
+            data_crc, node_crc = struct.unpack_from(o + "II", data, at + 60)
+            raw = data[at + 68 : at + 68 + csize]
+            if _crc0(data[at : at + 60]) == node_crc and _crc0(raw) == data_crc:
+                nodes.setdefault(ino, []).append((version, mode, uid, gid, isize, mtime, off, dsize, data[at + 56], raw))
+            else:
+                bad += 1
         at += -(-size // 4) * 4
 
     def unpacked(codec, raw, size):
-        return {0: lambda: raw, 1: lambda: b"\0" * size, 2: lambda: codecs.rtime(raw, size), 6: lambda: zlib.decompress(raw)}[codec]()
-
-    def state(log):
-        out = bytearray()
-        for _, _, _, _, isize, _, off, size, codec, raw in log:
+        return {0: lambda: raw, 1: lambda: b"\0" * size, 2: lambda: codecs.rtime(raw, size), 6: lambda: zlib.decompress(raw), 7: lambda: lzo.lzo1x(raw, size), 8: lambda: codecs.raw_lzma(raw, JFFS2_LZMA, size)}[codec]()
+
+    def states(log):
+        """(node, bytes, notes) after each node of an inode's log, oldest first."""
+        out, notes = bytearray(), []
+        for n in log:
+            _, mode, _, _, isize, _, off, size, codec, raw = n
+            if isize > max(len(data) * codecs.MAX_RATIO, 1 << 20):
+                raise ValueError("a file beyond all ratios")
             if size:
+                try:
+                    part = unpacked(codec, raw, size)
+                except (KeyError, zlib.error, codecs.CodecError) as e:
+                    part, notes = b"", [f"jffs2-data: {type(e).__name__} {e}"]
                 out += b"\0" * (off - len(out))
-                out[off : off + size] = unpacked(codec, raw, size)
+                out[off : off + size] = part[:size].ljust(size, b"\0")
             del out[isize:]
             out += b"\0" * (isize - len(out))
-        return bytes(out)
+            yield n, bytes(out) if mode & 0o170000 in (0o100000, 0o120000) else b"", list(notes)
 
     newest: dict[tuple[int, str], tuple] = {}
     for d in dirents:
         key = (d[0], d[1])
         if key not in newest or newest[key][2] < d[2]:
             newest[key] = d
-    where = {d[3]: (d[0], d[1]) for d in sorted(dirents, key=lambda d: d[2]) if d[3]}
-
-    def path(ino, depth=0):
-        if ino in (0, 1) or ino not in where or depth > 64:
-            return ""
-        parent, name = where[ino]
-        up = path(parent, depth + 1)
-        return f"{up}/{name}" if up else name
-
-    live = {d[3] for d in newest.values() if d[3]}
-    for ino in sorted(where):
+    live: dict[int, list[tuple[int, str]]] = {}
+    for (parent, name), d in sorted(newest.items(), key=lambda x: x[1][2]):
+        if d[3]:
+            live.setdefault(d[3], []).append((parent, name))
+    last = {d[3]: (d[0], d[1]) for d in sorted(dirents, key=lambda d: d[2]) if d[3]}
+
+    def path(place, depth=0):
+        parent, name = place
+        where = live.get(parent, [last[parent]] if parent in last else [])
+        if parent in (0, 1) or not where or depth > 64:
+            return name
+        return f"{path(where[0], depth + 1)}/{name}"
+
+    for ino in sorted(last):
+        gone = ino not in live
+        places = [last[ino]] if gone else live[ino]
         log = sorted(nodes.get(ino, []), key=lambda x: x[0])
         if not log:
-            yield Entry(path(ino), "directory" if any(d[0] == ino for d in dirents) else "regular", inode=ino, deleted=ino not in live)
-            continue
-        for k in range(len(log), 0, -1):
-            version, mode, uid, gid, _, mtime, *_ = log[k - 1]
+            yield Entry(path(places[0]), "directory" if any(d[0] == ino for d in dirents) else "regular", inode=ino, deleted=gone)
+        for k, (n, body, notes) in reversed(list(enumerate(states(log), 1))):
+            version, mode, uid, gid, _, mtime, *_ = n
             kind = KINDS.get(mode & 0o170000, "regular")
-            body = state(log[:k]) if kind in ("regular", "symlink") else b""
-            yield Entry(path(ino), kind, body if kind == "regular" else None, mode & 0o7777, uid, gid, mtime, body.decode("latin-1") if kind == "symlink" else None, ino, ino not in live, k < len(log), version)
+            yield Entry(path(places[0]), kind, body if kind == "regular" else None, mode & 0o7777, uid, gid, mtime, body.decode("latin-1") if kind == "symlink" else None, ino, gone, k < len(log), version, diagnostics=notes)
+        for place in places[1:]:
+            yield Entry(path(place), "hardlink", link_target=path(places[0]), inode=ino)
+    if bad:
+        yield Entry("", "diagnostic", diagnostics=[f"jffs2-bad-node: {bad}"])
+
+
+@reader("gpt", "mbr")
+def partitions(data: bytes) -> Iterator[Entry]:
+    """The partitions of a table as entries; one that only shields a newer table is left out, one beyond the end is cut."""
+    from gneiss.formats.validators import partition_rows
+
+    for index, start, size, kind, name in partition_rows(data):
+        body = data[start : start + size]
+        notes = ["partition-past-end"] if len(body) < size else []
+        yield Entry(f"p{index}" + (f"-{name}" if name else ""), "regular", body, extra={"start": str(start), "type": kind}, diagnostics=notes)
 
 
 @reader("ext2", "ext3", "ext4", "ext")

@@ -348,6 +348,20 @@ def gpt(s, data, at):
     return _cut(f, data)
 
 
+def partition_rows(data: bytes) -> list[tuple[int, int, int, str, str]]:
+    """(index, start, size, type, name) of the entries of a table at the start of a blob: the newer one where both are there."""
+    from gneiss.operators.discovery import builtin
+
+    found = [validate(s, data, 0) for s in builtin() if s.format in ("gpt", "mbr") and data[s.magic_offset : s.magic_offset + len(s.magic)] == s.magic]
+    best = next((f for k in ("gpt", "mbr") for f in found if f and f.format == k), None)
+    out = []
+    for item in (best.attrs["partitions"].split(";") if best else []):
+        parts = item.split(":", 5)
+        if len(parts) >= 4 and parts[3] != "0xee":
+            out.append((int(parts[0]), int(parts[1]), int(parts[2]), parts[3], parts[5] if len(parts) > 5 else ""))
+    return out
+
+
 def guid(raw: bytes) -> str:
     a, b, c = struct.unpack_from("<IHH", raw)
     return f"{a:08x}-{b:04x}-{c:04x}-{raw[8:10].hex()}-{raw[10:16].hex()}"

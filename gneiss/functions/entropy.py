@@ -22,19 +22,19 @@ def shannon(counts: np.ndarray) -> float:
     return float(-(p * np.log2(p)).sum()) + 0.0
 
 
-def sample_offsets(size: int, window: int = WINDOW, budget: int = BUDGET) -> list[int]:
-    """All windows if they are within the budget, else as many as are, spread evenly and aligned."""
+def sample_offsets(size: int, window: int = WINDOW, budget: int | None = BUDGET) -> list[int]:
+    """All windows if they are within the budget or there is none, else as many as are, spread evenly and aligned."""
     total = -(-size // window)
-    most = max(1, budget // window)
+    most = total if budget is None else max(1, budget // window)
     if total <= most:
         return [k * window for k in range(total)]
     return [k * size // most // window * window for k in range(most)]
 
 
-def profile_of(raw: bytes) -> dict | None:
+def profile_of(raw: bytes, budget: int | None = BUDGET) -> dict | None:
     data = np.frombuffer(raw, np.uint8)
     pooled, each = np.zeros(256, np.int64), []
-    for at in sample_offsets(len(raw)):
+    for at in sample_offsets(len(raw), budget=budget):
         counts = np.bincount(data[at : at + WINDOW], minlength=256)
         pooled += counts
         each.append(shannon(counts))
@@ -48,12 +48,12 @@ def profile_of(raw: bytes) -> dict | None:
     }
 
 
-def profile(c: Column) -> Column:
-    """The profile of a binary column's bytes."""
+def profile(c: Column, budget: int | None = BUDGET) -> Column:
+    """The profile of a binary column's bytes: of windows within the budget, of all for None."""
     kind = pa.struct([("windows", pa.int64()), ("sampled", pa.int64()), ("mean", pa.float64()), ("low", pa.float64()), ("high", pa.float64()), ("printable", pa.float64()), ("chi_square", pa.float64()), ("fill", pa.int32())])
 
     def run(raw: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else profile_of(x) for x in raw.to_pylist()], kind)
+        return pa.array([None if x is None else profile_of(x, budget) for x in raw.to_pylist()], kind)
 
     return F.arrow_udf(run, _PROFILE)(c.cast("binary"))
 

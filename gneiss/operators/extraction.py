@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gneiss.formats import readers
+from gneiss.operators.lineage import cut
 
 ENTRIES = (
     "node_id string, entry_ord long, path string, kind string, mode long, uid long, gid long, size long, mtime long, inode long, link_target string, "
@@ -72,14 +73,16 @@ def budget(limit: int, ratio: int, image_bytes: int, free: int | None = None) ->
 def descend(blobs: DataFrame, identify, depth: int = 8) -> DataFrame:
     """Entries of blobs and of all containers nested in them, with level.
 
-    ``identify`` maps a content column to a format or null. Each level is checkpointed, so that a lost
-    executor repeats one level only; the loop ends when nothing more can be opened.
+    ``identify`` maps a content column to a format or null. Nested blobs are named by their place, repeated paths by
+    their suffixes. Each level is checkpointed, so that a lost executor repeats one level only; the loop ends
+    when nothing more can be opened.
     """
     level, out = blobs, None
     for d in range(depth):
-        found = walk(level).withColumn("level", F.lit(d)).checkpoint()
+        found = walk(level).withColumn("level", F.lit(d))
+        found = cut(found)
         out = found if out is None else out.unionByName(found)
-        level = found.where("kind = 'regular' AND size > 0").select(
+        level = unique_paths(found).where("kind = 'regular' AND size > 0").select(
             F.concat_ws("/", "node_id", "path").alias("node_id"), identify(F.col("content")).alias("format"), "content"
         ).where("format IS NOT NULL")
         if level.isEmpty():
@@ -87,11 +90,23 @@ def descend(blobs: DataFrame, identify, depth: int = 8) -> DataFrame:
     return out
 
 
+#: Magics, in hexadecimal digits, at the start of a blob, and at other places.
+HEADS = {
+    "1f8b08": "gzip", "fd377a585a00": "xz", "425a68": "bzip2", "28b52ffd": "zstd", "04224d18": "lz4", "894c5a4f000d0a1a0a": "lzop", "5d00": "lzma", "504b0304": "zip", "377abcaf271c": "7z",
+    "213c617263683e0a": "ar", "303730373031": "cpio", "303730373032": "cpio", "303730373037": "cpio", "27051956": "uimage", "2d726f6d3166732d": "romfs", "68737173": "squashfs", "73717368": "squashfs",
+    "8519": "jffs2", "1985": "jffs2", "55424923": "ubi", "31181006": "ubifs", "453dcd28": "cramfs", "28cd3d45": "cramfs", "eb7eff00": "qnx-ifs", "d00dfeed": "fit", "414e44524f494421": "android-boot",
+    "564e4452424f4f54": "android-vendor-boot", "3aff26ed": "android-sparse", "0300000001000000ffff": "yaffs2",
+}
+PLACES = ((257, b"ustar", "tar"), (4096, b"gDla", "android-super"), (8192, b"\x22\x11\x19\x68", "qnx6"), (8192, b"\x68\x19\x11\x22", "qnx6"), (1080, b"\x53\xef", "ext"), (82, b"FAT32   ", "fat"), (54, b"FAT16   ", "fat"), (54, b"FAT12   ", "fat"), (512, b"EFI PART", "gpt"), (4096, b"EFI PART", "gpt"), (510, b"\x55\xaa", "mbr"))
+
+
 def format_of(content):
-    """A format by its leading magic, for formats with readers."""
-    heads = {"1f8b08": "gzip", "fd377a585a00": "xz", "425a68": "bzip2", "28b52ffd": "zstd", "04224d18": "lz4", "504b0304": "zip", "213c617263683e0a": "ar", "303730373031": "cpio", "27051956": "uimage", "2d726f6d3166732d": "romfs"}
+    """A format by its magic, for formats with readers: at the start first, then at the places of filesystems and tables."""
     head = F.lower(F.hex(F.substring(content, 1, 16)))
-    out = F.when(F.substring(content, 258, 5) == F.lit(b"ustar"), F.lit("tar"))
-    for magic, name in heads.items():
-        out = out.when(head.startswith(magic), F.lit(name))
+    first, *rest = sorted(HEADS, key=len, reverse=True)
+    out = F.when(head.startswith(first), F.lit(HEADS[first]))
+    for magic in rest:
+        out = out.when(head.startswith(magic), F.lit(HEADS[magic]))
+    for at, magic, name in PLACES:
+        out = out.when(F.substring(content, at + 1, len(magic)) == F.lit(magic), F.lit(name))
     return out

@@ -95,6 +95,44 @@ def compiled(rule: Rule) -> re.Pattern:
     return re.compile(source.encode("latin-1") if rule.kind != "glob-path" else source)
 
 
+def required(rule: Rule) -> bytes:
+    """The longest run of bytes that every match of a rule holds; empty where none can be told.
+
+    A run ends at anything that may vary. Alternatives, classes and optional parts are left out, and so are patterns
+    that ignore case, so what is returned is never too much.
+    """
+    if rule.kind == "literal":
+        return rule.pattern.encode("latin-1")
+    if rule.kind == "glob-path":
+        return b""
+    runs, now = [], bytearray()
+
+    def walk(items) -> None:
+        nonlocal now
+        for op, value in items:
+            name = str(op)
+            if name == "LITERAL" and value < 256:
+                now.append(value)
+                continue
+            if name == "SUBPATTERN" and not value[1]:
+                walk(value[3])
+                continue
+            if name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and value[0] > 0:
+                walk(value[2])  # once at least; what follows need not touch it
+            elif name == "ATOMIC_GROUP":
+                walk(value)
+            if name != "AT" or value is None:
+                runs.append(bytes(now))
+                now = bytearray()
+
+    source = hex_regex(rule.pattern) if rule.kind == "hex" else rule.pattern
+    parsed = re._parser.parse(source.encode("latin-1"))
+    if parsed.state.flags & re.IGNORECASE:
+        return b""
+    walk(parsed)
+    return max([*runs, bytes(now)], key=len)
+
+
 def parse_pack(text: str) -> list[Rule]:
     """The rules of a YAML pack; one bad rule refuses the pack."""
     try:
@@ -165,20 +203,21 @@ def sweep(items: DataFrame, rules: list[Rule], max_hits: int | None = MAX_HITS,
     ``item`` is the encounter order. Paths are matched before contents, and only for files. The first
     ``max_hits`` hits in encounter order stay, and the first ``per_rule`` of a rule in an item; contents
     are read up to ``max_item_bytes``. These are the limits of an interactive scan: None lifts each. One pass over the items with all patterns compiled once
-    a worker; the only shuffle is that of the ordered hits.
+    a worker; a pattern runs only over contents that hold the bytes which every match of it holds. The only shuffle is
+    that of capped hits.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready = [(r, compiled(r)) for r in rules]
+        ready = [(r, compiled(r), required(r)) for r in rules]
         for batch in batches:
             out: list[tuple] = []
             for item, node, path, content, region in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for r, p in ready:
+                for r, p, _ in ready:
                     if r.kind == "glob-path" and not region and p.match(path or ""):
                         out.append((r.pack, r.id, r.category, r.severity, node, path, 0, quote_bytes((path or "").encode(), MATCH_QUOTE), "", item, True))
                 data = (content or b"")[:max_item_bytes]
-                for r, p in ready:
-                    if r.kind != "glob-path" and (r.in_regions if region else r.in_files):
+                for r, p, held in ready:
+                    if r.kind != "glob-path" and (r.in_regions if region else r.in_files) and held in data:
                         for at, found in scan_bytes(r, p, data, per_rule):
                             around = data[max(0, at - CONTEXT_BYTES) : at + len(found) + CONTEXT_BYTES]
                             out.append((r.pack, r.id, r.category, r.severity, node, path, at, quote_bytes(found, MATCH_QUOTE), quote_bytes(around, CONTEXT_QUOTE), item, False))
@@ -191,9 +230,9 @@ def sweep(items: DataFrame, rules: list[Rule], max_hits: int | None = MAX_HITS,
 
 
 def capped(hits: DataFrame, most: int | None) -> DataFrame:
-    """The first ``most`` hits in encounter order, or all for None."""
+    """The first ``most`` hits in encounter order; for None all, in no order, as nothing depends on it then."""
     order = ["item", F.col("by_path").desc(), "offset", "pack", "rule"]
-    return hits.orderBy(*order) if most is None else hits.orderBy(*order).limit(most)
+    return hits if most is None else hits.orderBy(*order).limit(most)
 
 
 def limit_diagnostic(hits: DataFrame, most: int | None) -> str | None:

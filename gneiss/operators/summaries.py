@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gneiss.operators.lineage import cut
+
 SEVERITIES = ("info", "warning", "error")
 
 
@@ -63,17 +65,20 @@ def merge_values(rows: DataFrame, by: list[str], value: str, order: list[Column]
     return rows.groupBy(*by).agg(F.when(F.bool_and(digits), total).otherwise(F.min_by(value, F.struct(*order))).alias("value"))
 
 
-def tree_walk(nodes: DataFrame, depth: int = 32) -> DataFrame:
-    """nodes (id, parent_id, ord) with depth and place: depth first, children by ord; nodes without a known parent are roots.
+def tree_walk(nodes: DataFrame) -> DataFrame:
+    """nodes (id, parent_id, ord) with depth and key: in the order of key a tree is walked depth first, children by ord.
 
-    A path key of zero-padded ords grows level by level; the place is one final row_number over ranges.
+    Nodes without a known parent are roots. Levels are added until one is empty, whatever the depth. Nodes on a
+    cycle, and those below one, are reached from no root: they come out with a null depth and key.
     """
     orphans = nodes.join(nodes.select(F.col("id").alias("parent_id")).distinct(), "parent_id", "left_anti")
     pad = F.format_string("%012d", "ord")
-    level = orphans.select("id", "parent_id", "ord", F.lit(0).alias("depth"), pad.alias("key"))
-    out = level
-    for d in range(1, depth):
+    level = cut(orphans.select("id", "parent_id", "ord", F.lit(0).alias("depth"), pad.alias("key")))
+    out, d = level, 0
+    while not level.isEmpty():
+        d += 1
         above = level.select(F.col("id").alias("parent_id"), F.col("key").alias("above"))
-        level = nodes.join(above, "parent_id").select("id", "parent_id", "ord", F.lit(d).alias("depth"), F.concat_ws("/", "above", pad).alias("key"))
+        level = cut(nodes.join(above, "parent_id").select("id", "parent_id", "ord", F.lit(d).alias("depth"), F.concat_ws("/", "above", pad).alias("key")))
         out = out.unionByName(level)
-    return out
+    lost = nodes.join(out.select("id"), "id", "left_anti")
+    return out.unionByName(lost.select("id", "parent_id", "ord", F.lit(None).cast("int").alias("depth"), F.lit(None).cast("string").alias("key")))

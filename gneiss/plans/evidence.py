@@ -590,5 +590,5 @@ def safe_paths(spark, d):
 @query(f"""WITH {_BYTES.strip()}, t AS (SELECT doc_id, w, sum(n) AS t FROM c GROUP BY ALL), e AS (SELECT doc_id, w, -sum((n / t) * log2(n / t)) + 0.0 AS e FROM c JOIN t USING (doc_id, w) GROUP BY ALL)
 SELECT doc_id, count(*)::BIGINT AS windows, round(min(e), 6) AS low, round(max(e), 6) AS high FROM e GROUP BY ALL""")
 def entropy_windows(spark, d):
-    p = _t(spark, d, "documents").where("text <> ''").select("doc_id", entropy.profile(F.col("text").cast("binary")).alias("p"))
+    p = _t(spark, d, "documents").where("text <> ''").select("doc_id", entropy.profile(F.col("text").cast("binary"), None).alias("p"))
     return p.select("doc_id", "p.windows", F.round("p.low", 6).alias("low"), F.round("p.high", 6).alias("high"))
