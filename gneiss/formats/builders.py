@@ -1178,3 +1178,47 @@ def sevenzip(files: list[File], filters: str = "lzma2", encoded: bool = True) ->
         body, head = body + packed, outer
     start = struct.pack("<QQI", len(body), len(head), zlib.crc32(head))
     return b"7z\xbc\xaf'\x1c\0\x04" + struct.pack("<I", zlib.crc32(start)) + start + body + head
+
+
+# --- kernels ------------------------------------------------------------------------------------
+
+
+def kallsyms(symbols: list[tuple[int, str, str]], mode: str = "relative", word: int = 4, order: str = "<", markers: int | None = None) -> bytes:
+    """A kernel's symbol table: addresses, count, names packed by a few tokens, markers, tokens and their index."""
+    texts = [t + n for _, t, n in symbols]
+    used = set("".join(texts)) | set("0123456789")
+    spare = [k for k in range(256) if chr(k) not in used and k > 0]
+    tokens = [chr(k) if chr(k) in used else "" for k in range(256)]
+    for k, t in zip(spare, ("__", "init", "sys_", "module", "_t"), strict=False):
+        tokens[k] = t
+    whole = [(t, k) for k, t in enumerate(tokens) if len(t) > 1]
+
+    def packed(text: str) -> bytes:
+        out = bytearray()
+        while text:
+            t, k = next(((t, k) for t, k in whole if text.startswith(t)), (text[0], ord(text[0])))
+            out.append(k)
+            text = text[len(t) :]
+        head = bytes([len(out)]) if len(out) < 128 else bytes([len(out) & 0x7F | 0x80, len(out) >> 7])
+        return head + bytes(out)
+
+    names, places = bytearray(), []
+    for k, text in enumerate(texts):
+        if k % 256 == 0:
+            places.append(len(names))
+        names += packed(text)
+    form, base = "I" if word == 4 else "Q", symbols[0][0] if symbols else 0
+    pad = lambda raw, to: raw + bytes(-len(raw) % to)
+    if mode == "absolute":
+        out = b"".join(struct.pack(order + form, a) for a, _, _ in symbols)
+    else:
+        value = (lambda a: a - base) if mode == "relative" else (lambda a: (base - 1 - a) & 0xFFFFFFFF)
+        out = pad(b"".join(struct.pack(order + "I", value(a)) for a, _, _ in symbols), word) + struct.pack(order + form, base)
+    out += pad(struct.pack(order + "I", len(symbols)), word)
+    out += pad(bytes(names), word) + b"".join(struct.pack(order + ("I" if (markers or word) == 4 else "Q"), x) for x in places)
+    table = b"".join(t.encode("latin-1") + b"\0" for t in tokens)
+    index, at = [], 0
+    for t in tokens:
+        index.append(at)
+        at += len(t) + 1
+    return bytes(64) + b"\1" * 64 + bytes(-128 % 16) + out + pad(table, word) + struct.pack(order + "256H", *index)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.formats import structures
+from gneiss.formats import kallsyms, structures
 from gneiss.functions.text import sanitize_bytes
 from gneiss.operators import summaries
 
@@ -239,16 +239,51 @@ def _compiler(text: str) -> str:
 
 
 def read_kernel(path: str, data: bytes) -> Found:
-    """A kernel's banner, version, compiler and machine. The symbol table is not decoded."""
+    """A kernel's banner, version, compiler and machine, and what its symbol table says."""
     out, found = Found(), banner(data)
     if found:
         text, version = found
         fields, elf, compiler = {"banner": text[:300], "version": version}, _elf(data), _compiler(text)
         fields |= ({"compiler": compiler[:200]} if compiler else {}) | ({"arch": elf.machine} if elf else {})
+        table = kallsyms.decode(data)
+        if table is None:
+            out.diagnostics.append(("info", "kernel-no-symbol-table", f"'{path}' holds no symbol table that can be read"))
+        else:
+            fields |= symbol_fields(table, path)
         out.records.append(("linux-kernel", path, "info", text[:300], fields))
     return out
 
 
+def symbol_fields(table: kallsyms.Table, path: str) -> dict[str, str]:
+    """The count of symbols, their types, where the kernel is loaded, whether it can load modules, and the file that lists them."""
+    types: dict[str, int] = {}
+    for _, t, _ in table.symbols:
+        types[t] = types.get(t, 0) + 1
+    names = {n for _, _, n in table.symbols}
+    shown = ",".join(f"{t}={n}" for t, n in sorted(types.items(), key=lambda x: (-x[1], x[0])))
+    out = {"symbols": str(len(table.symbols)), "symbol_types": shown[:120], "loadable_modules": "yes" if names & {"module_layout", "load_module"} else "no", "symbols_file": f"symbols/{path.replace('/', '_')}.txt"}
+    if table.mode:
+        text = [a for a, t, _ in table.symbols if t in "tT"] or [a for a, _, _ in table.symbols]
+        out |= {"address_mode": table.mode, "load_address": hex(min(text))}
+    return out
+
+
+def kernel_symbols(entries: DataFrame) -> DataFrame:
+    """(node, path, ord, address, type, name) of the symbol tables of kernels among entries (node, path, content); addresses in hexadecimal digits, or null."""
+    names = ["node", "path", "ord", "address", "type", "name"]
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, path, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                table = kallsyms.decode(data or b"")
+                rows = [(node, path, k, None if a is None else f"{a:0{2 * table.word}x}", t, n) for k, (a, t, n) in enumerate(table.symbols)] if table else []
+                for at in range(0, len(rows), 5000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 5000], strict=True), kinds, strict=True)], names)
+
+    return entries.select("node", "path", F.col("content").cast("binary")).mapInArrow(run, "node string, path string, ord long, address string, type string, name string")
+
+
 #: By name: (whether it applies to a path and a file's first bytes, what reads the file).
 EXTRACTORS: dict[str, tuple[Callable[[str, bytes], bool], Callable[[str, bytes], Found]]] = {
     "certificates": (lambda path, head: b"-----BEGIN " in head or (len(path) > 4 and path.endswith((".pem", ".crt", ".cer", ".key"))), read_certificates),

@@ -472,6 +472,23 @@ def kernel_records(spark, d):
     return found.select("node", "path", *(F.col("fields")[k].alias(k) for k in ("version", "compiler", "banner")))
 
 
+@query("""SELECT o_custkey::VARCHAR AS node, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1)::BIGINT AS ord, printf('%016x', -274877906944 + 16384 + (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) * 256) AS address,
+CASE o_orderstatus WHEN 'O' THEN 'T' WHEN 'F' THEN 't' ELSE 'D' END AS type, '__init_order_' || o_orderkey AS name FROM orders QUALIFY count(*) OVER (PARTITION BY o_custkey) > 3""")
+def kernel_symbols(spark, d):
+    """A kernel image per customer, with a symbol per order, decoded; images of three symbols and less tell too little of their form."""
+
+    def build(rows):
+        import pandas as pd
+
+        rows = rows.sort_values("k")
+        own = [(0xFFFFFFC000004000 + 256 * n, {"O": "T", "F": "t"}.get(s, "D"), f"__init_order_{k}") for n, (k, s) in enumerate(zip(rows["k"], rows["s"], strict=True))]
+        image = b"\x7fkernel" + bytes(9) + builders.kallsyms(own, ("relative", "absolute", "relative-percpu")[len(own) % 3], 8)
+        return pd.DataFrame([(str(rows["c"].iloc[0]), "boot/vmlinux", image)] if len(own) > 3 else [], columns=["node", "path", "content"])
+
+    o = _t(spark, d, "orders").select(F.col("o_custkey").alias("c"), F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s"))
+    return records.kernel_symbols(o.groupBy("c").applyInPandas(build, "node string, path string, content binary")).select("node", "ord", "address", "type", "name")
+
+
 def _tlv(tag: int, *parts: bytes) -> bytes:
     body = b"".join(parts)
     return bytes([tag]) + (bytes([len(body)]) if len(body) < 128 else b"\x82" + len(body).to_bytes(2, "big")) + body
