@@ -117,3 +117,9 @@ def recovery(truth: DataFrame, found: DataFrame, by: list[str], item: str) -> Da
     want = truth.select(*by, item).distinct()
     got = want.join(found.select(item).distinct().withColumn("__found", F.lit(1)), item, "left")
     return got.groupBy(*by).agg(F.count("*").alias("expected"), F.count("__found").alias("recovered")).withColumn("share", F.round(F.col("recovered") / F.col("expected"), 6))
+
+
+def empty_cases(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(code, side) of each side that holds no entry: then everything on the other one looks removed or added."""
+    empty = lambda d, side: d.agg(F.count("*").alias("n")).where("n = 0").select(F.lit("diff-case-empty").alias("code"), F.lit(side).alias("side"))
+    return empty(a, "a").unionByName(empty(b, "b"))

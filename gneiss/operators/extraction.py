@@ -41,6 +41,11 @@ def walk(blobs: DataFrame, with_content: bool = True) -> DataFrame:
     return blobs.select("node_id", "format", F.col("content").cast("binary")).mapInArrow(run, ENTRIES)
 
 
+def readable() -> list[str]:
+    """The formats that have a reader."""
+    return sorted(readers.REGISTRY)
+
+
 def _batch(rows: list[tuple], names: list[str], kinds: list) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)

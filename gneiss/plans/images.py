@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from gneiss.formats import builders, codecs
 from gneiss.formats.builders import File
-from gneiss.operators import discovery, extraction
+from gneiss.operators import analyze, diff, discovery, extraction, lineage, reports, rules, sinks
 from gneiss.plans.registry import _t, query
 
 PER_IMAGE = 16
@@ -457,3 +457,128 @@ def _scans(group: str) -> None:
 
 for _group in ("filesystems", "containers", "tables", "streams", "headers"):
     _scans(_group)
+
+
+# --- views, sinks, cases --------------------------------------------------------------------------
+
+_SWAPPED = "'U-Boot 2020.01 Linux version 5.4 ' || coalesce(text, '') || repeat(' ', ((4 - (strlen(coalesce(text, '')) + 33) % 4) % 4)::INT)"
+
+
+@query(f"SELECT doc_id, ([0, 2, 4])[doc_id % 3 + 1]::INTEGER AS word_swap, sha256({_SWAPPED}) AS sha256 FROM documents")
+def word_swap(spark, d):
+    """Images stored as they are, and with their 16- or 32-bit words in reverse, in turn: detected, and put right."""
+    from gneiss.functions.text import swap_words
+
+    def build(k: int, text: bytes):
+        raw = b"U-Boot 2020.01 Linux version 5.4 " + text
+        raw += b" " * (-len(raw) % 4)
+        yield str(k), "raw", swap_words(raw, (0, 2, 4)[k % 3]) if k % 3 else raw
+
+    blobs = each(spark, d, build).select(F.col("node_id").alias("image_id"), "content")
+    return sinks.corrected_copy(blobs).select(F.col("image_id").cast("long").alias("doc_id"), "word_swap", "sha256")
+
+
+def _entries(spark, d) -> DataFrame:
+    return extraction.walk(packed(spark, d, "cpio", lambda rows: builders.cpio(files_of(rows))))
+
+
+@query(_WHOLE)
+def tar_sink(spark, d):
+    """Entries as parts of tar archives, put together by image and read again."""
+    parts = sinks.tar_parts(_entries(spark, d))
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], "tar", b"".join(rows.sort_values("entry_ord")["part"]))], columns=["node_id", "format", "content"])
+
+    again = extraction.walk(parts.groupBy("node_id").applyInPandas(run, _IMAGE))
+    return again.select(_doc(), "size", F.sha2("content", 256).alias("sha256"))
+
+
+@query(f"SELECT doc_id, md5({_BODY}) AS md5, sha1({_BODY}) AS sha1, sha256({_BODY}) AS sha256, '| s' || doc_id % 3 || '/d' || doc_id || '.txt | ' || strlen({_BODY}) || ' | regular |' AS row FROM documents")
+def listing_sink(spark, d):
+    """A listing's digests, and its rows as a Markdown table shows them."""
+    rows = sinks.listing(_entries(spark, d))
+    return rows.select(_doc(), "md5", "sha1", "sha256", reports.md_row(F.col("path"), F.col("size"), F.col("kind")).alias("row"))
+
+
+_QUOTED = "replace(replace(replace(replace(coalesce(text, ''), chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"'), chr(10), chr(92) || 'n'), chr(9), chr(92) || 't')"
+
+
+@query(f"SELECT doc_id, '- path: \"' || {_QUOTED} || '\"' || chr(10) || '  kind: \"regular\"' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN '  deleted: \"true\"' || chr(10) ELSE '' END AS item FROM documents")
+def listing_items(spark, d):
+    """Items of a YAML listing; the path here is a whole text, so that there is something to escape."""
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("entry_ord"), F.lit("n").alias("node_id"), F.coalesce("text", F.lit("")).alias("path"), F.lit("regular").alias("kind"), (F.col("doc_id") % 2 == 0).alias("deleted"))
+    return sinks.listing_yaml(docs).select(F.col("entry_ord").alias("doc_id"), "item")
+
+
+@query(f"SELECT doc_id, 3::BIGINT AS \"offset\", greatest(strlen({_BODY}) - 5, 0)::BIGINT AS length, sha256(substr({_BODY}, 4, greatest(length({_BODY}) - 5, 0))) AS sha256 FROM documents WHERE strlen({_BODY}) = length({_BODY})")
+def carve_pieces(spark, d):
+    """Pieces cut from blobs by offset and length; of ASCII texts, where SQL can count bytes as characters."""
+    docs = _t(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") == F.length("text"))
+    blobs = docs.select(F.col("doc_id").alias("image_id"), F.col("text").cast("binary").alias("content"))
+    plan = docs.select(F.col("doc_id").alias("image_id"), F.lit("p").alias("id"), F.lit(3).cast("long").alias("offset"), F.greatest(F.octet_length("text") - 5, F.lit(0)).cast("long").alias("length"))
+    return sinks.carve(blobs, plan).select(F.col("image_id").alias("doc_id"), "offset", "length", "sha256")
+
+
+@query("SELECT true AS same, 0::BIGINT AS unreadable, (SELECT count(*) FROM orders)::BIGINT AS orders, (SELECT count(*) FROM documents)::BIGINT AS entries")
+def case_round_trip(spark, d):
+    """A case written and read back holds the same rows: entries with maps and bytes, and a table of numbers and dates."""
+    tables = {"entries": _entries(spark, d), "orders": _t(spark, d, "orders")}
+    at = lineage.folder(spark, "case")
+    sinks.write_case(tables, at)
+    read, said = sinks.read_case(spark, at)
+    same = sinks.round_trips(tables, read)
+    counts = read["orders"].agg(F.count("*").alias("orders")).join(read["entries"].agg(F.count("*").alias("entries")))
+    return counts.select(F.lit(same).alias("same"), F.lit(len(said)).cast("long").alias("unreadable"), "orders", "entries")
+
+
+@query("SELECT 'diff-case-empty' AS code, 'b' AS side WHERE (SELECT count(*) FROM customer WHERE c_acctbal > 1e12) = 0 AND (SELECT count(*) FROM customer) > 0")
+def empty_cases(spark, d):
+    c = _t(spark, d, "customer")
+    return diff.empty_cases(c, c.where("c_acctbal > 1e12"))
+
+
+_EMAIL = next(r.pattern for r in rules.builtin("pii") if r.id == "email")
+
+
+# --- whole runs -----------------------------------------------------------------------------------
+
+#: Documents of a flash image: with texts of some kilobytes, an image of some ten megabytes.
+PER_FLASH = 4096
+
+
+def flash(rows: pd.DataFrame) -> bytes:
+    """An image with a partition table and three partitions, each a filesystem of a third of the documents, and erased space behind them."""
+    own = files_of(rows)
+    parts = [builders.squashfs(own[0::3], "gzip", 131072), builders.jffs2_log([own[1::3]]), builders.ext(own[2::3], True)]
+    at, table, body = 2048, [], b""
+    for name, part in zip(("system", "data", "vendor"), parts, strict=True):
+        part += bytes(-len(part) % 4096)
+        table.append((name, at, at + len(part) // 512 - 1))
+        at, body = at + len(part) // 512, body + part
+    return builders.gpt(table).ljust(2048 * 512, b"\xff") + body + b"\xff" * 65536
+
+
+def flashes(spark, d) -> DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(f"i{key[0]}", flash(rows))], columns=["image_id", "content"])
+
+    docs = _t(spark, d, "documents").select("doc_id", "text", F.floor(F.col("doc_id") / PER_FLASH).cast("long").alias("image"))
+    return docs.groupBy("image").applyInPandas(run, "image_id string, content binary")
+
+
+@query(f"""SELECT doc_id, 'i' || doc_id // {PER_FLASH} || '/gpt/p' || (row_number() OVER (PARTITION BY doc_id // {PER_FLASH} ORDER BY doc_id) - 1) % 3 || '-' || (['system', 'data', 'vendor'])[((row_number() OVER (PARTITION BY doc_id // {PER_FLASH} ORDER BY doc_id) - 1) % 3 + 1)::INT] AS node,
+strlen({_BODY})::BIGINT AS size, sha256({_BODY}) AS sha256 FROM documents""")
+def analyze_flash(spark, d):
+    """A whole run over images of a partition table and three filesystems: every file is found at its place."""
+    case = analyze.analyze(flashes(spark, d), analyze.Run(packs=None, survey=False, artifacts=False))
+    files = case["entries"].where("kind = 'regular' AND NOT superseded AND node_id LIKE '%/gpt/p%'")
+    return files.select(_doc(), F.col("node_id").alias("node"), "size", F.sha2("content", 256).alias("sha256"))
+
+
+@query(f"""WITH x AS (SELECT doc_id, len(regexp_extract_all(text, '{_EMAIL}')) AS n FROM documents) SELECT doc_id, n::BIGINT AS n FROM x WHERE n > 0""")
+def analyze_hits(spark, d):
+    """The same run with a pack: hits in the files of all partitions."""
+    case = analyze.analyze(flashes(spark, d), analyze.Run(packs=("pii",), survey=False, artifacts=False))
+    own = case["hits"].where("rule = 'email' AND node LIKE '%/gpt/p%'")
+    return own.groupBy(_doc()).agg(F.count("*").alias("n"))
