@@ -17,6 +17,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -123,8 +124,10 @@ def terms_beside(text: str, spans: list[tuple[str, int, int]]) -> dict[str, list
 
 
 _KIND = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-_WORDS = pa.list_(pa.struct([("term", pa.string()), ("at", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]))
+#: Words with their places: starts and ends in turn, as unsigned 32-bit little-endian numbers, which take an eighth of arrays of structs.
+_WORDS = pa.list_(pa.struct([("term", pa.string()), ("at", pa.binary())]))
 _SPANS = "array<struct<kind:string,start:long,end:long>>"
+_TERMS = "array<struct<start:long,end:long,share:double>>"
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +140,7 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             base.append([{"kind": k, "start": a, "end": b} for k, a, b in spans])
             entities.append(sorted({entity(k, text[a:b]) for k, a, b in spans}))
             beside = terms_beside(text, spans) if spans else {}
-            words.append([{"term": t, "at": [{"start": a, "end": b} for a, b in at]} for t, at in beside.items()])
+            words.append([{"term": t, "at": np.array(at, "<u4").tobytes()} for t, at in beside.items()])
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(base, _KIND), pa.array(entities, pa.list_(pa.string())), pa.array(words, _WORDS)],
             ["doc_id", "text_key", "base", "entities", "words"],
@@ -164,6 +167,17 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each document's spans of terms, in order, from its terms' shares and places."""
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("share", pa.float64())]))
+    for batch in batches:
+        out = []
+        for shares, places in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            spans = sorted((a, b, x) for x, raw in zip(shares, places, strict=True) for a, b in np.frombuffer(raw, "<u4").reshape(-1, 2).tolist())
+            out.append([{"start": a, "end": b, "share": x} for a, b, x in spans])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, kind)], ["id", "key", "terms"])
+
+
 def disclosing_terms(scratch: Scratch, docs: DataFrame, found: DataFrame, generalise: float = 0.8) -> DataFrame:
     """id, key, term, at, share: the terms that tell at least ``generalise`` of what there is to know about an entity of
     their document, with the largest such share and all places where they stand.
@@ -214,16 +228,16 @@ def find_spans(docs: DataFrame, generalise: float = 0.8) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = materialize(
         docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(
-            _find, f"doc_id long, text_key long, base {_SPANS}, entities array<string>, words array<struct<term:string,at:array<struct<start:long,end:long>>>>"
+            _find, f"doc_id long, text_key long, base {_SPANS}, entities array<string>, words array<struct<term:string,at:binary>>"
         ),
         "found",
     )
     with Scratch(docs.sparkSession) as scratch:
         told = materialize(disclosing_terms(scratch, docs, found, generalise), "told")
-    terms = told.select("id", "key", "share", F.explode("at").alias("x")).select("id", "key", "x.start", "x.end", "share")
-    terms = terms.groupBy("id", "key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "share"))).alias("terms"))
+    # a document's terms are as many as it has words, and so are its places
+    terms = told.groupBy("id", "key").agg(F.collect_list("share").alias("shares"), F.collect_list("at").alias("places")).mapInArrow(_places, f"id long, key long, terms {_TERMS}")
     same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key"))
-    none = F.array().cast("array<struct<start:long,end:long,share:double>>")
+    none = F.array().cast(_TERMS)
     return found.join(terms.hint("merge"), same, "left").select("doc_id", "text_key", "base", F.coalesce("terms", none).alias("terms"))
 
 
