@@ -17,6 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +32,14 @@ END_ID = 2
 #: Entries that a generation of a task's table of known words may hold.
 KNOWN_WORDS = 300_000
 
+#: Words that the tokenizer is shown at a time; it takes longer runs at a worse rate.
+RUN = 1000
+
+#: Bytes of text that are encoded at a time.
+PART_BYTES = 1 << 20
+
+_TAIL = ".,;:!?"
+
 
 class WordTokenizer:
     """A tokenizers file whose tokens never cross ASCII white space; each task keeps the ids of words it has met.
@@ -47,6 +56,10 @@ class WordTokenizer:
         self.tokenizer.no_padding()
         self.known = Remembered(KNOWN_WORDS)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        from tokenizers import normalizers, pre_tokenizers
+
+        self.whole = (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer)
+        self.bare = (normalizers.Sequence([]), pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]))
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
@@ -59,41 +72,53 @@ class WordTokenizer:
         split = [_ascii_split(t) if any(c in t for c in _CONTROL) else t.split() for t in texts]
         known = self.known
         known.turn()
-        self._learn({w for words in split for w in words if w not in known.now})
-        end = np.array([END_ID], "<u4").tobytes()
-        return [np.frombuffer(b"".join([*map(known.now.__getitem__, words), end]), "<u4") for words in split]
+        self._learn(set().union(*split) - known.now.keys())
+        get, end = known.now.__getitem__, np.array([END_ID], "<u4").tobytes()
+        return [np.frombuffer(b"".join(map(get, words)) + end, "<u4") for words in split]
 
     def _learn(self, words: set[str]) -> None:
         """Ids of words not known yet. Letters and punctuation after them are pre-tokens of their own, so they are learnt apart."""
-        known, cut, wanted = self.known, [], set()
-        for w in words:
-            if (ids := known.old.get(w)) is not None:
-                known.now[w] = ids
-                continue
-            core = w.rstrip(".,;:!?")
-            if core != w and _letters(core):
+        now, old, cut = self.known.now, self.known.old, []
+        hits = words & old.keys()
+        now.update(zip(hits, map(old.__getitem__, hits), strict=True))
+        words -= hits
+        for w in [w for w in words if w[-1] in _TAIL]:
+            core = w.rstrip(_TAIL)
+            if (core.isascii() and core.isalpha()) or _letters(core):
                 cut.append((w, core, w[len(core) :]))
-                wanted.update(x for x in (core, w[len(core) :]) if x not in known.now)
-            else:
-                wanted.add(w)
-        letters = [w for w in wanted if _letters(w)]
-        for k in range(0, len(letters), 20_000):
-            part = letters[k : k + 20_000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+                words.discard(w)
+        for _, core, tail in cut:
+            words.update(x for x in (core, tail) if x not in now)
+        plain = [w for w in words if w.isascii() and w.isalpha()]
+        words.difference_update(plain)
+        # ASCII letters are one pre-token and normalise by lower-casing, so the costly steps are left out for them
+        self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = self.bare
+        words.update(self._runs([w.lower() for w in plain], plain))
+        self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = self.whole
+        letters = [w for w in words if not w.isascii() and _letters(w)]
+        words.difference_update(letters)
+        words.update(self._runs(letters, letters))
+        rest = list(words)
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else [], strict=True):
+            now[w] = np.array(e.ids, "<u4").tobytes()
+        for w, core, tail in cut:
+            now[w] = now[core] + now[tail]
+
+    def _runs(self, shown: list[str], words: list[str]) -> list[str]:
+        """Learns words many at a time, as they are shown to the tokenizer; returns those whose borders can't be told."""
+        now, failed = self.known.now, []
+        for k in range(0, len(words), RUN):
+            part = words[k : k + RUN]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(shown[k : k + RUN])], add_special_tokens=False)[0].ids, "<u4")
             borders = np.flatnonzero(self.ends[ids]) + 1
             if len(borders) != len(part):  # a word that the normaliser splits
-                wanted.update(part)
+                failed += part
                 continue
-            wanted.difference_update(part)
             raw, at = ids.tobytes(), 0
             for w, to in zip(part, (4 * borders).tolist(), strict=True):
-                known.now[w] = raw[at:to]
+                now[w] = raw[at:to]
                 at = to
-        rest = list(wanted)
-        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else [], strict=True):
-            known.now[w] = np.array(e.ids, "<u4").tobytes()
-        for w, core, tail in cut:
-            known.now[w] = known.now[core] + known.now[tail]
+        return failed
 
 
 #: Characters at which str.split() cuts although the tokenizer's white space does not hold them.
@@ -167,6 +192,19 @@ def _emit(out: dict[str, list], left: list[tuple] | None = None) -> pa.RecordBat
     return pa.RecordBatch.from_arrays(columns, [*_OUT_ARROW.names, "part", "place", "ids"])
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of PART_BYTES bytes of text, or one row, at most."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
+    first, held = 0, 0
+    for k, n in enumerate(sizes):
+        if k > first and held + n > PART_BYTES:
+            yield batch.slice(first, k - first)
+            first, held = k, 0
+        held += n
+    if batch.num_rows:
+        yield batch.slice(first)
+
+
 def pack(docs: DataFrame, path: str, size: int = 4096, open_windows: int = 32, merge_fan: int = 64) -> DataFrame:
     """Packs every document's tokens into sequences of at most ``size`` tokens.
 
@@ -183,8 +221,7 @@ def pack(docs: DataFrame, path: str, size: int = 4096, open_windows: int = 32, m
         tokenizer, part = loaded(path), TaskContext.get().partitionId()
         windows, serial = Windows(size, open_windows), part << 32
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                small = batch.slice(k, 256)
+            for small in _parts(batch):
                 out: dict[str, list] = {c: [] for c in _OUT_ARROW.names}
                 for doc, ids in zip(small.column(0).to_pylist(), tokenizer.encode_batch([t or "" for t in small.column(1).to_pylist()]), strict=True):
                     whole = len(ids) // size * size
