@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -92,18 +95,55 @@ def gaps(claims: DataFrame, by: list[str], end: Column, least: int = MIN_REGION)
 
 
 def innermost_parent(points: DataFrame, extents: DataFrame, by: list[str], width: int) -> DataFrame:
-    """points (by, point, at) with the innermost extent (by, ord, off, stop) that holds them; null without one.
+    """points (by, point, at) with the innermost extent (by, ord, off, stop) that holds them as ``parent``; null without one.
 
-    The smallest length wins, the later one on ties. Both sides are dealt into bins of ``width``, so the join
-    is an equi-join on (by, bin); an extent lies in as many bins as it is long.
+    The smallest length wins, the later one on ties. Both sides are dealt into bins of ``width`` and lie in one stream
+    per bin, sorted by place, over which a heap of the open extents runs: work is linear in the rows, and a
+    task holds the extents that are open. An extent lies in as many bins as it reaches, so ``width`` should be above most
+    lengths; a key with many rows is spread over its bins.
     """
-    binned = extents.where("stop > off").withColumn(
-        "bin", F.explode(F.sequence(F.floor(F.col("off") / width), F.floor((F.col("stop") - 1) / width)))
-    )
-    p = points.withColumn("bin", F.floor(F.col("at") / width))
-    hold = p.join(binned, [*by, "bin"]).where("at >= off AND at < stop")
-    best = hold.groupBy(*by, "point").agg(F.max_by("ord", F.struct(-(F.col("stop") - F.col("off")), "ord")).alias("parent"))
-    return points.join(best, [*by, "point"], "left")
+    kinds = {c: points.schema[c].dataType.simpleString() for c in [*by, "point", "at"]}
+    order = extents.schema["ord"].dataType.simpleString()
+    starts = extents.where("stop > off").withColumn("__bin", F.explode(F.sequence(F.floor(F.col("off") / width), F.floor((F.col("stop") - 1) / width))))
+    starts = starts.select(*by, "__bin", F.col("off").cast("long").alias("__x"), F.lit(0).alias("__side"), F.col("stop").cast("long").alias("__stop"), F.col("ord"), F.lit(None).cast(kinds["point"]).alias("point"), F.lit(None).cast(kinds["at"]).alias("at"))
+    asked = points.select(*by, F.floor(F.col("at") / width).alias("__bin"), F.col("at").cast("long").alias("__x"), F.lit(1).alias("__side"), F.lit(None).cast("long").alias("__stop"), F.lit(None).cast(order).alias("ord"), "point", "at")
+    stream = starts.unionByName(asked).repartition(*by, "__bin").sortWithinPartitions(*by, "__bin", "__x", "__side")
+    n, names = len(by), [*by, "point", "at", "parent"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, heap = None, []
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            rows, parents = [], []
+            for k, (key, x, side, stop, own) in enumerate(zip(zip(*columns[: n + 1], strict=True), *columns[n + 1 : n + 5], strict=True)):
+                if key != now:
+                    now, heap = key, []
+                if side == 0:
+                    heapq.heappush(heap, (stop - x, _Later(own), stop))
+                    continue
+                while heap and heap[0][2] <= x:  # it has ended, and places only grow
+                    heapq.heappop(heap)
+                rows.append(k)
+                parents.append(heap[0][1].value if heap else None)
+            kept = batch.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(kept.column(k) for k in range(n)), kept.column(n + 5), kept.column(n + 6), pa.array(parents, batch.schema.field(n + 4).type)], names)
+
+    return stream.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in [*by, "point", "at"]), f"parent {order}"]))
+
+
+class _Later:
+    """A value that sorts before smaller ones."""
+
+    __slots__ = ("value",)
+
+    def __init__(self, value):
+        self.value = value
+
+    def __lt__(self, other: _Later) -> bool:
+        return self.value > other.value
+
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, _Later) and self.value == other.value
 
 
 def clamp(rows: DataFrame, start: str, size: str, limit: str) -> DataFrame:
@@ -116,19 +156,63 @@ def clamp(rows: DataFrame, start: str, size: str, limit: str) -> DataFrame:
 
 
 def overlay(writes: DataFrame, by: list[str]) -> DataFrame:
-    """(by, off, stop, version): the pieces of a key's line, each with the latest write (by, off, stop, version) that covers it.
+    """(by, version, off, stop): the pieces of a key's line, each with the latest write (by, off, stop, version) that covers it.
 
-    Each write is cut at the ends of others by an equi-join on the key; neighbouring pieces of one
-    write are joined again.
+    A key's writes are one stream in the order of their starts, over which a heap of open writes runs, latest first; a
+    task holds the open writes only. Neighbouring pieces of one write are one.
     """
-    cuts = writes.select(*by, F.col("off").alias("x")).union(writes.select(*by, F.col("stop").alias("x"))).distinct()
-    pieces = cuts.withColumn("y", F.lead("x").over(W.partitionBy(*by).orderBy("x"))).where("y IS NOT NULL")
-    held = pieces.join(writes, by).where("off <= x AND stop >= y")
-    top = held.groupBy(*by, "x", "y").agg(F.max("version").alias("version"))
-    order = W.partitionBy(*by).orderBy("x")
-    fresh = F.coalesce((F.lag("version").over(order) != F.col("version")) | (F.lag("y").over(order) != F.col("x")), F.lit(True))
-    numbered = top.withColumn("part", F.sum(fresh.cast("int")).over(order))
-    return numbered.groupBy(*by, "part", "version").agg(F.min("x").alias("off"), F.max("y").alias("stop")).drop("part")
+    kinds = dict(writes.dtypes)
+    stream = writes.where("stop > off").select(*by, "off", "stop", "version").repartition(*by).sortWithinPartitions(*by, "off", F.col("version").desc())
+    n, names = len(by), [*by, "version", "off", "stop"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema, now, heap, at, last, out = None, None, [], 0, None, []
+
+        def advance(to) -> None:
+            """Emits what lies between the current place and ``to``, or all that is open for None."""
+            nonlocal at, last
+            while heap and (to is None or at < to):
+                latest, stop = heap[0]
+                if stop <= at:
+                    heapq.heappop(heap)
+                    continue
+                end = stop if to is None else min(stop, to)
+                if last and last[0] == latest.value and last[2] == at:
+                    last[2] = end
+                else:
+                    emit()
+                    last = [latest.value, at, end]
+                at = end
+
+        def emit() -> None:
+            if last:
+                out.append((*now, *last))
+
+        for batch in batches:
+            schema = batch.schema
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                key, (off, stop, version) = row[:n], row[n:]
+                if key != now:
+                    advance(None)
+                    emit()
+                    now, heap, at, last = key, [], off, None
+                advance(off)
+                at = max(at, off)
+                heapq.heappush(heap, (_Later(version), stop))
+            if out:
+                yield pieces(schema, out)
+                out = []
+        if schema is not None:
+            advance(None)
+            emit()
+            yield pieces(schema, out)
+
+    def pieces(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
+        types = [*(schema.field(k).type for k in range(n)), schema.field(n + 2).type, schema.field(n).type, schema.field(n + 1).type]
+        columns = list(zip(*rows, strict=True)) if rows else [()] * len(types)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+    return stream.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in names))
 
 
 def parse_partitions(text: Column) -> Column:

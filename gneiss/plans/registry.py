@@ -220,9 +220,16 @@ def interval_parent(spark, d):
     return intervals.innermost_parent(p, o, ["shelf"], 64)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_CLAIMS}, f AS (SELECT user_id, event_id, off AS o, greatest(value, 0) AS n, ([25, 60, 85, 99])[event_id % 4 + 1] AS c, event_type FROM cl),
+x AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY o, c DESC, n DESC, event_id, event_type) - 1 AS r FROM f),
+w AS (SELECT user_id, event_id, r, NULL::BIGINT AS owner, CASE WHEN n > 0 THEN [{{r: r, o: o, n: n, c: c}}] ELSE []::STRUCT(r BIGINT, o BIGINT, n BIGINT, c INTEGER)[] END AS open, r AS kept, o AS kept_at FROM x WHERE r = 0
+ UNION ALL SELECT user_id, event_id, r, CASE WHEN here THEN kept ELSE found.r END, CASE WHEN here THEN open WHEN found IS NULL AND n > 0 THEN list_append(still, {{r: r, o: o, n: n, c: c}}) ELSE still END,
+  CASE WHEN here THEN kept WHEN found IS NULL THEN r END, CASE WHEN here THEN kept_at WHEN found IS NULL THEN o END
+ FROM (SELECT *, list_filter(still, lambda y: y.c > c AND o + greatest(n, 1) <= y.o + y.n)[-1] AS found
+  FROM (SELECT x.*, w.open, w.kept, w.kept_at, coalesce(w.kept_at = x.o, false) AS here, list_filter(w.open, lambda y: y.o + y.n > x.o) AS still FROM w JOIN x ON x.user_id = w.user_id AND x.r = w.r + 1)))
+SELECT user_id AS image_id, printf('s%010d', event_id) AS signature, r AS place, owner FROM w""")
 def conflict_resolve(spark, d):
-    tier = F.element_at(F.array(*map(F.lit, (25, 60, 85, 99))), (F.pmod(F.xxhash64("event_type"), F.lit(4)) + 1).cast("int"))
+    tier = F.element_at(F.array(*map(F.lit, (25, 60, 85, 99))), (F.pmod("event_id", F.lit(4)) + 1).cast("int"))
     f = _claims(spark, d).select(
         F.col("user_id").alias("image_id"), F.col("off").alias("offset"), F.greatest("value", F.lit(0)).alias("size"), tier.alias("confidence"), F.col("event_type").alias("format"),
         F.lit("other").alias("category"), F.format_string("s%010d", "event_id").alias("signature"),
