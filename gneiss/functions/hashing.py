@@ -13,6 +13,44 @@ def digests(c: Column) -> Column:
     )
 
 
+def _crc_table(polynomial: int) -> list[int]:
+    out = []
+    for k in range(256):
+        for _ in range(8):
+            k = k >> 1 ^ polynomial if k & 1 else k >> 1
+        out.append(k)
+    return out
+
+
+#: Fixed value: the reversed polynomial of CRC-32C.
+CASTAGNOLI = _crc_table(0x82F63B78)
+
+
+def crc32c(raw: bytes) -> int:
+    crc = 0xFFFFFFFF
+    for b in raw:
+        crc = crc >> 8 ^ CASTAGNOLI[(crc ^ b) & 0xFF]
+    return crc ^ 0xFFFFFFFF
+
+
+def crcs(c: Column) -> Column:
+    """struct(crc32, crc32c, jffs2, ubi, qnx6) of a binary column: the plain one, Castagnoli's, without inversions, without the last one, and highest bit first."""
+    import pyarrow as pa
+
+    names = ("crc32", "crc32c", "jffs2", "ubi", "qnx6")
+    kind = pa.struct([(n, pa.int64()) for n in names])
+
+    def run(raw: pa.Array) -> pa.Array:
+        import zlib
+
+        from gneiss.formats.qnx import crc_be
+        from gneiss.formats.validators import _crc0, crc_ubi
+
+        return pa.array([None if x is None else dict(zip(names, (zlib.crc32(x), crc32c(x), _crc0(x), crc_ubi(x), crc_be(x)), strict=True)) for x in raw.to_pylist()], kind)
+
+    return F.arrow_udf(run, "struct<crc32:bigint,crc32c:bigint,jffs2:bigint,ubi:bigint,qnx6:bigint>")(c.cast("binary"))
+
+
 def chunk_digests(chunks: DataFrame) -> DataFrame:
     """(source_id, md5, sha1, sha256, bytes) of sources that lie in chunks: hash states run over each source's chunks in order.
 

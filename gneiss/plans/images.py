@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from gneiss.formats import builders, codecs
 from gneiss.formats.builders import File
-from gneiss.operators import analyze, diff, discovery, extraction, lineage, reports, rules, sinks
+from gneiss.operators import analyze, diff, discovery, extraction, graph, lineage, reports, rules, sinks
 from gneiss.plans.registry import _t, query
 
 PER_IMAGE = 16
@@ -459,6 +459,16 @@ for _group in ("filesystems", "containers", "tables", "streams", "headers"):
     _scans(_group)
 
 
+@query("SELECT doc_id, 'qnx6' AS format, 512::BIGINT AS \"offset\", 99::INTEGER AS confidence FROM documents")
+def rescan_partitions(spark, d):
+    """A filesystem whose magic must be aligned lies in a partition that is not: only a search of the partition's own span finds it."""
+    blobs = each(spark, d, lambda k, t: [(str(k), "raw", b"table".ljust(512, b"\1") + builders.qnx6([File("a", t)], [File("a", t)]))]).select(F.col("node_id").alias("image_id"), "content")
+    parts = blobs.select("image_id", F.lit(512).cast("long").alias("start"), (F.octet_length("content") - 512).cast("long").alias("length"), F.lit(b"ab").alias("head"))
+    first = discovery.scan(blobs.select(F.col("image_id").alias("source_id"), "content")).where("format = 'qnx6'")
+    found = graph.rescan(blobs, parts, first).where("format = 'qnx6'")
+    return found.select(F.col("image_id").cast("long").alias("doc_id"), "format", "offset", "confidence")
+
+
 # --- views, sinks, cases --------------------------------------------------------------------------
 
 _SWAPPED = "'U-Boot 2020.01 Linux version 5.4 ' || coalesce(text, '') || repeat(' ', ((4 - (strlen(coalesce(text, '')) + 33) % 4) % 4)::INT)"
