@@ -103,7 +103,7 @@ def test_collect(spark):
     got = records.collect(examined).collect()
     assert [(r.kind, r.path) for r in got] == [("certificate-bundle", "etc/ssl/certs"), ("linux-kernel", "boot/vmlinux")]
     assert got[0].fields["certificates"] == "2" and got[0].fields["first_subject"].startswith("CN=root") and got[1].identity == "Linux version 5.4.55 x"
-    assert [r.code for r in examined.where("code IS NOT NULL").collect()] == ["artifact-certificate-unparsable"]
+    assert [r.code for r in examined.where("code IS NOT NULL").collect()] == ["kernel-no-symbol-table", "artifact-certificate-unparsable"]
     assert records.collect(records.examine(df.limit(0))).count() == 0
     assert records.collect(examined, 1).count() == 1
 
