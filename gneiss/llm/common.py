@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +70,25 @@ class Scratch:
         self.clean()
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in slices: what a worker makes of a slice's texts is a twentieth of what it would make of a whole batch's."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: a worker lives on between tasks, and several share an executor."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not this C library
+        pass
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores in front until no column of df has it."""
     taken = {c.lower() for c in df.columns}

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import SPACE, materialize, new_path
+from gneiss.llm.common import SPACE, give_back, materialize, new_path, slices
 
 def line_key(line: bytes) -> bytes:
     """The key of a line: white space stripped at both ends, A-Z lower-cased."""
@@ -28,7 +28,7 @@ def _key_rows(min_chars: int):
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, keys = [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = {k for k in map(line_key, (text or "").encode().split(b"\n")) if k}
@@ -37,6 +37,7 @@ def _key_rows(min_chars: int):
                 ids.extend([doc] * len(own))
                 keys.extend(xxhash.xxh3_128_digest(k) for k in own)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary())], ["doc_id", "key"])
+        give_back()
 
     return run
 
@@ -131,7 +132,7 @@ def strip_lines(text: str | None, gone: list[bytes] | None) -> tuple[int, int, s
 
 
 def _count_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         found = [strip_lines(t, g) for t, g in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
         n_lines, n_dropped, kept = zip(*found, strict=True) if found else ((), (), ())
         yield pa.RecordBatch.from_arrays(
@@ -181,7 +182,7 @@ def drop_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches:
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             columns = {n: batch.column(n) for n in names}
             had = columns["text"]
             kept = [None if t is None else strip_lines(t, g)[2] for t, g in zip(had.to_pylist(), batch.column("__gone").to_pylist(), strict=True)]

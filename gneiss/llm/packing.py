@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import Remembered, materialize
+from gneiss.llm.common import Remembered, give_back, materialize
 
 _OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _OUT_ARROW = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
@@ -30,13 +30,13 @@ _OUT_ARROW = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "
 END_ID = 2
 
 #: Entries that a generation of a task's table of known words may hold.
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 500_000
 
 #: Words that the tokenizer is shown at a time; it takes longer runs at a worse rate.
 RUN = 1000
 
 #: Bytes of text that are encoded at a time.
-PART_BYTES = 1 << 20
+PART_BYTES = 4 << 20
 
 _TAIL = ".,;:!?"
 
@@ -63,25 +63,25 @@ class WordTokenizer:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
-    def forget(self) -> None:
-        """Gives the table's memory back: a worker that waits for its next task should not hold it."""
-        self.known = Remembered(KNOWN_WORDS)
-
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, and END_ID after them, as unsigned 32-bit little-endian numbers."""
         split = [_ascii_split(t) if any(c in t for c in _CONTROL) else t.split() for t in texts]
         known = self.known
         known.turn()
-        self._learn(set().union(*split) - known.now.keys())
-        get, end = known.now.__getitem__, np.array([END_ID], "<u4").tobytes()
+        # difference() of a dictionary asks it for each word; that of its keys would walk all of them
+        own = set().union(*split)
+        self._learn(own.difference(known.now))
+        # a small table of the words at hand stays in the processor's cache
+        get, end = dict(zip(own, map(known.now.__getitem__, own), strict=True)).__getitem__, np.array([END_ID], "<u4").tobytes()
         return [np.frombuffer(b"".join(map(get, words)) + end, "<u4") for words in split]
 
     def _learn(self, words: set[str]) -> None:
         """Ids of words not known yet. Letters and punctuation after them are pre-tokens of their own, so they are learnt apart."""
         now, old, cut = self.known.now, self.known.old, []
-        hits = words & old.keys()
-        now.update(zip(hits, map(old.__getitem__, hits), strict=True))
-        words -= hits
+        if old:
+            hits = words & old.keys()
+            now.update(zip(hits, map(old.__getitem__, hits), strict=True))
+            words -= hits
         for w in [w for w in words if w[-1] in _TAIL]:
             core = w.rstrip(_TAIL)
             if (core.isascii() and core.isalpha()) or _letters(core):
@@ -205,7 +205,7 @@ def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(first)
 
 
-def pack(docs: DataFrame, path: str, size: int = 4096, open_windows: int = 32, merge_fan: int = 64) -> DataFrame:
+def pack(docs: DataFrame, path: str, size: int = 4096, open_windows: int = 32, merge_fan: int = 16) -> DataFrame:
     """Packs every document's tokens into sequences of at most ``size`` tokens.
 
     Returns one row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. A
@@ -232,7 +232,9 @@ def pack(docs: DataFrame, path: str, size: int = 4096, open_windows: int = 32, m
                         _rows(done, serial, out)
                         serial += 1
                 yield _emit(out)
-        tokenizer.forget()
+        del tokenizer
+        loaded.cache_clear()
+        give_back()
         left = [(part, n, doc, start, total, ids.tobytes()) for n, pieces in enumerate(windows.rest()) for doc, start, ids, total in pieces]
         yield _emit({c: [] for c in _OUT_ARROW.names}, left)
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import Scratch, materialize
+from gneiss.llm.common import Scratch, materialize, slices
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -132,7 +132,7 @@ _TERMS = "array<struct<start:long,end:long,share:double>>"
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per row its base spans, its distinct entities, and, where there are any, its words with their places."""
-    for batch in batches:
+    for batch in slices(batches):
         base, entities, words = [], [], []
         for text in batch.column(2):
             text = text.as_py() or ""
@@ -273,7 +273,7 @@ def sanitise(docs: DataFrame, generalise: float = 0.8, remove: float = 0.95) ->
     names = [f.name for f in docs.schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             clean = next(_sanitise(remove)(iter([batch.select(["doc_id", "text", "__base", "__terms"])]))).column(1)
             had = batch.column("text")
             columns = {n: batch.column(n) for n in names}

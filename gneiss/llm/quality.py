@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gneiss.llm.common import SPACE, materialize
+from gneiss.llm.common import SPACE, give_back, materialize, slices
 
 #: The shares that get adaptive fences, and the least spread that counts for each: a fence never comes closer to the median
 #: than ``fence`` of them. At 3 that is 0.15 of repeated words where the base rule stands at 0.30.
@@ -76,10 +76,11 @@ def measured(docs: DataFrame) -> DataFrame:
     counts = [f"__q_{c}" for c in MEASURED]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [measure(t.as_py()) for t in batch.column(at)]
             columns = [pa.array([x[k] for x in found], pa.int64()) for k in range(len(counts))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*names, *counts])
+        give_back()
 
     schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in counts)])
     return docs.mapInArrow(run, schema)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import Scratch, components, free_name, materialize
+from gneiss.llm.common import Scratch, components, free_name, give_back, materialize, slices
 
 #: Base of the registers' scale, and the rate of the exponential values.
 BASE, RATE = 1.001, 20.0
@@ -151,7 +151,7 @@ def _sketches(k: int, m: int):
         from hashlib import blake2b
 
         shingler, sketch = Shingler(k), SetSketch(m)
-        for batch in batches:
+        for batch in slices(batches):
             size, key, registers = [], [], []
             for text in batch.column(1):
                 h = shingler.hashes(text.as_py())
@@ -162,6 +162,8 @@ def _sketches(k: int, m: int):
                 [batch.column(0), batch.column(2), pa.array(size, pa.int64()), pa.array(key, pa.binary()), pa.array(registers, pa.binary())],
                 ["doc_id", "text_key", "n_shingles", "set_key", "registers"],
             )
+        del shingler
+        give_back()
 
     return run
 
@@ -220,7 +222,7 @@ def _sets(k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(k)
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingler.hashes(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], ["id", "hashes"])
 
     return run
