@@ -343,6 +343,55 @@ def test_pii_terms_of_whole_documents(spark):
     assert "Zanzibar" not in clean[1000] and "uagga" not in clean[2000] and filler in clean[1000] and clean[7] == dict(rows)[7]
 
 
+def test_pii_terms_against_brute_force(spark):
+    import math
+
+    rnd = random.Random(21)
+    common, rare = [f"w{k}" for k in range(60)], [f"Rare{k}" for k in range(80)]
+    people = [f"p{k}@x.org" for k in range(8)] + ["10.0.0.1", "+49 30 1234567"]
+    rows = []
+    for k in range(700):
+        words = [rnd.choice(common) for _ in range(rnd.randint(0, 25))]
+        if rnd.random() < 0.15:
+            own = rnd.sample(people, rnd.randint(1, 3))
+            words += own + [f"Rare{people.index(e)}," for e in own if rnd.random() < 0.8] + [rnd.choice(rare)]
+        elif rnd.random() < 0.05:
+            words.append(rnd.choice(rare))
+        rnd.shuffle(words)
+        rows.append((k if rnd.random() < 0.97 else None, " ".join(words)))
+    rows += [rows[5], rows[5], rows[40], (9999, None), (9999, "")]
+    held, holds_term, holds_entity = [], Counter(), Counter()
+    for _, text in rows:
+        text = text or ""
+        spans = pii.base_spans(text)
+        entities = {pii.entity(kind, text[a:b]) for kind, a, b in spans}
+        beside = {}
+        for w, a, b in pii.words_of(text):
+            if not any(a < y and x < b for _, x, y in spans):
+                beside.setdefault(w, []).append((a, b))
+        held.append((entities, beside))
+        holds_term.update({w for w, _, _ in pii.words_of(text)})
+        holds_entity.update(entities)
+    both = Counter((e, w) for entities, beside in held for e in entities for w in beside)
+    n = len(rows)
+
+    def share(e, w):
+        there = math.log(n / holds_entity[e])
+        return math.log(both[e, w] * n / (holds_entity[e] * (max(holds_term[w], both[e, w]) + pii.UNSEEN))) / there if there > 0 else 0.0
+
+    want = []
+    for (d, text), (entities, beside) in zip(rows, held, strict=True):
+        found = []
+        for w, at in beside.items():
+            best = max((share(e, w) for e in entities), default=0.0)
+            found += [(a, b, round(best, 9)) for a, b in at if best >= 0.8]
+        want.append((d, text or "", sorted(found)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    keyed = {(r.doc_id, r.k): r.text or "" for r in docs.select("doc_id", "text", F.xxhash64("text").alias("k")).collect()}
+    got = [(r.doc_id, keyed[r.doc_id, r.text_key], [(t.start, t.end, round(t.share, 9)) for t in r.terms]) for r in pii.find_spans(docs).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and sum(len(x) for _, _, x in want) > 100
+
+
 def told_texts(rows):
     return [(r[0], r[1]) for r in rows]
 
