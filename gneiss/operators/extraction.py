@@ -79,12 +79,12 @@ def descend(blobs: DataFrame, identify, depth: int = 8) -> DataFrame:
     """Entries of blobs and of all containers nested in them, with level.
 
     ``identify`` maps a content column to a format or null. Nested blobs are named by their place, repeated paths by
-    their suffixes. Each level is checkpointed, so that a lost executor repeats one level only; the loop ends
-    when nothing more can be opened.
+    their suffixes. States within a write are no versions and are left out. Each level is checkpointed, so that a lost
+    executor repeats one level only; the loop ends when nothing more can be opened.
     """
     level, out = blobs, None
     for d in range(depth):
-        found = walk(level).withColumn("level", F.lit(d))
+        found = walk(level).where(F.col("extra")["partial"].isNull()).withColumn("level", F.lit(d))
         found = cut(found)
         out = found if out is None else out.unionByName(found)
         level = unique_paths(found).where("kind = 'regular' AND size > 0").select(

@@ -136,3 +136,13 @@ def test_analyze(spark, swapped):
     assert "Search hits" in page and "Platforms" in page and "Structure" in page
     fewer = analyze.analyze(spark.createDataFrame([("img", bytearray(raw))], "image_id string, content binary"), analyze.Run(packs=None, survey=False, artifacts=False, depth=1, history=False, files=2))
     assert "hits" not in fewer and "facts" not in fewer and fewer["entries"].agg(F.max("level")).first()[0] == 0
+
+
+def test_a_long_write_is_swept_once(spark):
+    """A file longer than a page is several nodes of a JFFS2 log, but one version: its hits count once."""
+    body = b"write to jo@example.org " + bytes(9000) + b" or to al@example.org"
+    log = builders.jffs2_log([[File("a/long", body)], [File("a/long", body, mtime=5), File("a/b", b"b")]])
+    blobs = spark.createDataFrame([("i/jffs2", "jffs2", bytearray(log))], "node_id string, format string, content binary")
+    found = extraction.descend(blobs, extraction.format_of).where("kind = 'regular'").collect()
+    assert sorted((r.path, r.superseded, len(r.content)) for r in found) == [("a/b", False, 1), ("a/long", False, len(body))]
+    assert sum(r.superseded for r in extraction.walk(blobs).collect()) == 2
