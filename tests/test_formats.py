@@ -128,3 +128,8 @@ def test_damage_never_raises(files):
 def test_parity_and_crc():
     assert yaffs.parity(bytes(16)) == (0, 0, 0) and yaffs.parity(b"\1" + bytes(15)) != yaffs.parity(b"\2" + bytes(15))
     assert qnx.crc_be(b"123456789") == 0x89A1897F
+
+
+def test_long_luks_header_keeps_its_size():
+    found = discovery.findings_of(bytes(8192) + builders.luks2(90_000) + bytes(32768), discovery.builtin())
+    assert [(f.offset, f.size, f.diagnostics) for _, f, _ in found if f.format == "luks"] == [(8192, 90_000, [])]
