@@ -101,7 +101,8 @@ def rescan(images: DataFrame, partitions: DataFrame, findings: DataFrame, signat
     """Findings of the spans that to_rescan chooses, offsets counted in the image (image_id, content): what is aligned to its partition only comes out here."""
     from gneiss.operators import discovery, sinks
 
-    chosen = to_rescan(partitions, findings).select("image_id", F.col("start").cast("string").alias("id"), F.col("start").alias("offset"), "length")
+    chosen = to_rescan(partitions, findings).groupBy("image_id", "start").agg(F.max("length").alias("length"))
+    chosen = chosen.select("image_id", F.col("start").cast("string").alias("id"), F.col("start").alias("offset"), "length")
     pieces = sinks.carve(images, chosen).select(F.concat_ws("@", "image_id", "id").alias("source_id"), "content")
     found = discovery.scan(pieces, signatures).where("owner IS NULL").withColumn("start", F.element_at(F.split("image_id", "@"), -1).cast("long"))
     return found.withColumns({"image_id": F.regexp_replace("image_id", "@[0-9]+$", ""), "offset": F.col("offset") + F.col("start")})

@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from functools import reduce
+from typing import NamedTuple
 
 import pandas as pd
 import pyarrow as pa
@@ -21,6 +22,45 @@ def before() -> list[Column]:
     return [F.col("offset"), F.col("confidence").desc(), F.col("size").desc(), F.col("signature"), F.col("format")]
 
 
+class Find(NamedTuple):
+    """What of a find decides whether it is kept."""
+
+    offset: int
+    size: int
+    confidence: int
+    format: str
+    category: str
+
+
+def owners(rows: list[Find]) -> list[int | None]:
+    """The place of each find's owner, or None where it is kept, over an image's finds in their total order."""
+    owner: list[int | None] = []
+    open_: list[int] = []
+    kept_here: int | None = None
+    for k, f in enumerate(rows):
+        absorbs = lambda o, f=f: f.category != "partition-table" or rows[o].category == "partition-table"
+        if kept_here is not None and rows[kept_here].offset != f.offset:
+            kept_here = None
+        if kept_here is not None and absorbs(kept_here):
+            owner.append(kept_here)
+            continue
+        open_ = [o for o in open_ if rows[o].offset + rows[o].size > f.offset]
+        found = None
+        for o in reversed(open_):
+            x = rows[o]
+            outranks = _tier(x.confidence) > _tier(f.confidence) or x.format == "ubi" or (f.category == "compressed" and x.category != "compressed")
+            if outranks and f.offset + max(f.size, 1) <= x.offset + x.size and absorbs(o):
+                found = o
+                break
+        owner.append(found)
+        if found is None:
+            if kept_here is None:
+                kept_here = k
+            if f.size > 0:
+                open_.append(k)
+    return owner
+
+
 def resolve(findings: DataFrame, by: str = "image_id") -> DataFrame:
     """Adds owner (null if the find is kept) and place, over findings (by, offset, size, confidence, format, category, signature).
 
@@ -32,32 +72,8 @@ def resolve(findings: DataFrame, by: str = "image_id") -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["offset", "confidence", "size", "signature", "format"], ascending=[True, False, False, True, True]).reset_index(drop=True)
-        owner: list[int | None] = []
-        open_: list[int] = []
-        kept_here: int | None = None
-        rows = list(pdf[["offset", "size", "confidence", "format", "category"]].itertuples(index=False))
-        for k, f in enumerate(rows):
-            absorbs = lambda o, f=f: f.category != "partition-table" or rows[o].category == "partition-table"
-            if kept_here is not None and rows[kept_here].offset != f.offset:
-                kept_here = None
-            if kept_here is not None and absorbs(kept_here):
-                owner.append(kept_here)
-                continue
-            open_ = [o for o in open_ if rows[o].offset + rows[o].size > f.offset]
-            found = None
-            for o in reversed(open_):
-                x = rows[o]
-                outranks = _tier(x.confidence) > _tier(f.confidence) or x.format == "ubi" or (f.category == "compressed" and x.category != "compressed")
-                if outranks and f.offset + max(f.size, 1) <= x.offset + x.size and absorbs(o):
-                    found = o
-                    break
-            owner.append(found)
-            if found is None:
-                if kept_here is None:
-                    kept_here = k
-                if f.size > 0:
-                    open_.append(k)
-        return pdf.assign(place=range(len(pdf)), owner=pd.array(owner, "Int64"))
+        rows = list(map(Find._make, pdf[list(Find._fields)].itertuples(index=False, name=None)))
+        return pdf.assign(place=range(len(pdf)), owner=pd.array(owners(rows), "Int64"))
 
     schema = ", ".join(f"`{n}` {t}" for n, t in findings.dtypes) + ", place long, owner long"
     return findings.groupBy(by).applyInPandas(run, schema)

@@ -43,7 +43,10 @@ def packed(spark, d, format_: str, build: Callable[[pd.DataFrame], bytes]) -> Da
 
 
 def each(spark, d, build: Callable[[int, bytes], Iterator[tuple[str, str, bytes]]]) -> DataFrame:
-    """Images of single documents: (node_id, format, content) as often as ``build`` gives."""
+    """Images of single documents: (node_id, format, content) as often as ``build`` gives.
+
+    Building takes far longer than reading, and a table may lie in few row groups, so rows are dealt over all cores first.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -51,7 +54,9 @@ def each(spark, d, build: Callable[[int, bytes], Iterator[tuple[str, str, bytes]
                 rows = list(build(batch.column(0)[k].as_py(), (batch.column(1)[k].as_py() or "").encode()))
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.binary())], ["node_id", "format", "content"])
 
-    return _t(spark, d, "documents").select("doc_id", "text").mapInArrow(run, _IMAGE)
+    docs = _t(spark, d, "documents").select("doc_id", "text")
+    tasks = max(docs.rdd.getNumPartitions(), 4 * spark.sparkContext.defaultParallelism)
+    return docs.repartition(tasks, "doc_id").mapInArrow(run, _IMAGE)
 
 
 

@@ -290,3 +290,11 @@ def test_human_bytes_are_exact(spark):
     n = [1127428915, 2144047674162, 1 << 50, (1 << 63) - 1]
     got = spark.createDataFrame([(x,) for x in n], "n long").select(text.human_bytes(F.col("n")).alias("h"), text.human_bytes(F.col("n"), "TiB").alias("t")).collect()
     assert [r.h for r in got] == ["1.0 GiB", "1.9 TiB", "1.0 PiB", "8.0 EiB"] and [r.t for r in got] == ["1.0 GiB", "1.9 TiB", "1024.0 TiB", "8388608.0 TiB"]
+
+
+def test_scans_deal_rows_over_all_cores(spark, tmp_path):
+    """However few row groups a table has, building and scanning are dealt over all cores, and finds are resolved without a shuffle."""
+    spark.createDataFrame([(k, "text") for k in range(40)], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    found = registry.queries()["scan_filesystems"](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and plan.count("Exchange hashpartitioning") == 1 and found.count() == 40

@@ -133,3 +133,19 @@ def test_parity_and_crc():
 def test_long_luks_header_keeps_its_size():
     found = discovery.findings_of(bytes(8192) + builders.luks2(90_000) + bytes(32768), discovery.builtin())
     assert [(f.offset, f.size, f.diagnostics) for _, f, _ in found if f.format == "luks"] == [(8192, 90_000, [])]
+
+
+def test_quiet_pages_hide_no_magic():
+    """The spans that are searched hold every place of every magic, also at the ends of runs of one byte."""
+    rnd, magics = random.Random(5), {s.magic for s in discovery.builtin()} | {b"\0\0\xff", b"\xff\0"}
+    reach = max(map(len, magics))
+    for _ in range(300):
+        data = bytearray(b"".join(rnd.choice([bytes(4096), b"\xff" * 8192, bytes(5000), rnd.randbytes(4096)]) for _ in range(rnd.randrange(9))))
+        for _ in range(4 if len(data) > 64 else 0):
+            m = rnd.choice(sorted(magics))
+            at = max(0, min(len(data) - len(m), 4096 * rnd.randrange(len(data) // 4096 + 1) - rnd.randrange(-5, 30)))
+            data[at : at + len(m)] = m
+        raw = bytes(data)
+        spans = discovery.busy(raw, reach)
+        assert all([p for a, b in spans for p in discovery.places(raw, m, b - len(m) + 1, a)] == list(discovery.places(raw, m)) for m in magics if len(set(m)) > 1)
+    assert sum(b - a for a, b in discovery.busy(bytes(1 << 20) + b"hsqs" + bytes(1 << 20), 16)) < 4 * 4096
