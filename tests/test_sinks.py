@@ -146,3 +146,15 @@ def test_a_long_write_is_swept_once(spark):
     found = extraction.descend(blobs, extraction.format_of).where("kind = 'regular'").collect()
     assert sorted((r.path, r.superseded, len(r.content)) for r in found) == [("a/b", False, 1), ("a/long", False, len(body))]
     assert sum(r.superseded for r in extraction.walk(blobs).collect()) == 2
+
+
+def test_prose_that_swaps_to_a_magic_is_put_right():
+    """Letters that read "ustar" in reversed words are no archive; an archive's own header is one."""
+    prose = b"U-Boot 2020.01 Linux version 5.4 " + b"...su xxrat"
+    text = prose + b" " * (-len(prose) % 4)
+    raw = swap_words(text, 4)
+    at = raw.find(b"ustar")
+    assert at >= 0 and swap.detect(raw)[0] == 4
+    for archive in (builders.tar(FILES), builders.cpio(FILES), builders.REGISTRY["cpio-odc"](FILES)):
+        assert swap.detect(archive)[0] == 0 and swap.scores(archive)[2] >= 1
+        assert swap.detect(swap_words(archive + bytes(-len(archive) % 4), 4))[0] == 4
