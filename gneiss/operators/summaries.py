@@ -45,11 +45,14 @@ def fold_coverage(rows: DataFrame) -> DataFrame:
 
 
 def merge_records(records: DataFrame, by: list[str], order: str, fields: str = "fields", severity: str | None = None) -> DataFrame:
-    """One record a key: per field the sum if all its values are digits, else the first value."""
+    """One record a key: per field the sum if all its values are digits, else the first value that is there.
+
+    Of rows alike in ``order`` any may be the first, so it should tell all rows apart.
+    """
     parts = records.select(*by, order, F.explode(fields).alias("field", "value"))
     digits = F.col("value").rlike("^[0-9]+$")
     merged = parts.groupBy(*by, "field").agg(
-        F.when(F.bool_and(digits), F.sum(F.when(digits, F.col("value").cast("decimal(38,0)"))).cast("string")).otherwise(F.min_by("value", order)).alias("value")
+        F.when(F.bool_and(digits), F.sum(F.when(digits, F.col("value").cast("decimal(38,0)"))).cast("string")).otherwise(F.min_by("value", F.when(F.col("value").isNotNull(), F.col(order)))).alias("value")
     )
     out = merged.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "value")))).alias(fields))
     if severity:

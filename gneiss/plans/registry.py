@@ -418,9 +418,10 @@ def json_top_level(spark, d):
 @query("""WITH v AS (SELECT l_partkey, 'quantity' AS field, l_quantity::BIGINT::VARCHAR AS v, l_orderkey, l_linenumber FROM lineitem UNION ALL SELECT l_partkey, 'flag', l_returnflag, l_orderkey, l_linenumber FROM lineitem)
 SELECT l_partkey, field, CASE WHEN bool_and(regexp_matches(v, '^[0-9]+$')) THEN sum(TRY_CAST(v AS BIGINT))::VARCHAR ELSE arg_min(v, struct_pack(a := l_orderkey, b := l_linenumber)) END AS value FROM v GROUP BY ALL""")
 def record_merge(spark, d):
-    l = _t(spark, d, "lineitem")  # noqa: E741
+    # lines alike in both keys come in the order of the table
+    l = _t(spark, d, "lineitem").select("*", "_metadata.file_path", "_metadata.row_index")  # noqa: E741
     fields = F.create_map(F.lit("quantity"), F.col("l_quantity").cast("long").cast("string"), F.lit("flag"), F.col("l_returnflag"))
-    records = l.select("l_partkey", F.struct("l_orderkey", "l_linenumber").alias("ord"), fields.alias("fields"))
+    records = l.select("l_partkey", F.struct("l_orderkey", "l_linenumber", "file_path", "row_index").alias("ord"), fields.alias("fields"))
     return summaries.merge_records(records, ["l_partkey"], "ord").select("l_partkey", F.explode("fields").alias("field", "value"))
 
 

@@ -298,3 +298,18 @@ def test_scans_deal_rows_over_all_cores(spark, tmp_path):
     found = registry.queries()["scan_filesystems"](spark, str(tmp_path))
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and plan.count("Exchange hashpartitioning") == 1 and found.count() == 40
+
+
+def test_stamps_beyond_year_9999(spark):
+    got = spark.createDataFrame([(0,), (253402300799,), (253402300800,), (518478000000,)], "s long").select(text.iso8601(F.col("s")).alias("t")).collect()
+    assert [r.t for r in got] == ["1970-01-01T00:00:00Z", "9999-12-31T23:59:59Z", "10000-01-01T00:00:00Z", "18399-11-30T18:40:00Z"]
+
+
+def test_merged_records_take_the_first_of_equal_lines(spark, tmp_path):
+    """Lines with the same keys come in the order of the table, as DuckDB's arg_min has them; missing values are passed over."""
+    rows = pd.DataFrame({"l_partkey": [1, 1, 1, 2, 2, 3], "l_orderkey": [7, 7, 9, 4, 4, 5], "l_linenumber": pd.array([1, 1, 1, 2, 2, 1], "int32"), "l_quantity": [1.0, 2.0, 3.0, 4.0, 5.0, 6.0], "l_returnflag": ["R", "A", "N", None, "A", None]})
+    rows.to_parquet(tmp_path / "lineitem.parquet")
+    got = {(r.l_partkey, r.field): r.value for r in registry.queries()["record_merge"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    assert got == {x[:2]: x[2] for x in con.execute(registry.oracle_sql()["record_merge"]).fetchall()} and got[1, "flag"] == "R" and got[2, "flag"] == "A"
