@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -628,3 +629,11 @@ def test_registered():
     names = queries.queries()
     assert [n for n in names if n.startswith("op")] == sorted((n for n in names if n.startswith("op")), key=lambda n: int(n[2:].split("_")[0]))
     assert len(names) == 11 and set(queries.oracle_sql()) <= set(names)
+
+
+def test_words_of_arrow_texts():
+    """Texts as an Arrow array, also a slice, give the library's ids, whatever white space they hold."""
+    words, odd = packing.loaded(WORD), ["skipped", "", " ", "\n\na  b\t", "a b c d", "x\x1cy\x85z", "word, Word. ... café; é", "\x0b\x0cend"]
+    for texts in (pa.array(odd)[1:], pa.array(odd[:1])[1:]):
+        got = words.encode_batch(texts)
+        assert [g.tolist() for g in got] == [[*words.tokenizer.encode(t, add_special_tokens=False).ids, packing.END_ID] for t in texts.to_pylist()]
