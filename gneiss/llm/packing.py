@@ -82,9 +82,11 @@ class WordTokenizer:
         word = coded.indices.to_numpy(zero_copy_only=False)
         each = sizes[word]
         last = np.concatenate(([0], np.cumsum(each)))
-        # where a word's ids lie among those of the distinct ones, less where they come to lie
-        shift = np.repeat((np.cumsum(sizes) - sizes)[word] - last[:-1], each)
-        ids = np.frombuffer(b"".join(found), "<u4")[shift + np.arange(last[-1])]
+        # where a word's ids lie among those of the distinct ones, less where they come to lie; Arrow's strings hold under 2 GiB, so 32 bits do
+        place = np.repeat(((np.cumsum(sizes) - sizes)[word] - last[:-1]).astype(np.int32), each)
+        place += np.arange(len(place), dtype=np.int32)
+        ids = np.frombuffer(b"".join(found), "<u4")[place]
+        del own, found, word, each, place
         ends = last[np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))]
         return np.split(np.insert(ids, ends, END_ID), ends + np.arange(1, len(ends) + 1))[:-1]
 
